@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from . import license_scan, quality_rules
 from .packing import op2_packing
 from .token_counts import op8_token_counts
 from .token_files import op9_token_files
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_packing": op2_packing,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
 }
 #: DuckDB SQL where it can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules.ORACLE,
+    "op3_license_scan": license_scan.ORACLE,
+}
