@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import license_scan, quality_rules
+from .minhash import op4_minhash_dedup
 from .packing import op2_packing
 from .token_counts import op8_token_counts
 from .token_files import op9_token_files
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_packing": op2_packing,
     "op3_license_scan": license_scan.op3_license_scan,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
 }
