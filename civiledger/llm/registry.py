@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import license_scan, quality_rules
+from .decontamination import op10_decontamination
 from .minhash import op4_minhash_dedup
 from .packing import op2_packing
 from .token_counts import op8_token_counts
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
+    "op10_decontamination": op10_decontamination,
 }
 #: DuckDB SQL where it can express the operator.
 ORACLES: dict[str, str] = {
