@@ -8,6 +8,7 @@ from .minhash import op4_minhash_dedup
 from .packing import op2_packing
 from .pii import op5_pii
 from .quality_model import op7_quality_model
+from .repeats import op6_repeated_bytes
 from .token_counts import op8_token_counts
 from .token_files import op9_token_files
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_pii": op5_pii,
+    "op6_repeated_bytes": op6_repeated_bytes,
     "op7_quality_model": op7_quality_model,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
