@@ -101,8 +101,10 @@ def line_quality(line: Column) -> Column:
 def repair_mojibake(c: Column) -> Column:
     """Text read in the wrong charset, repaired where that leaves fewer marks of it."""
     marks = lambda x: F.length(x) - F.length(F.regexp_replace(x, "[ÃÂ]", ""))
-    fixed = F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")
-    return F.when(c.rlike("[ÃÂ]") & ~c.rlike("[^\\x00-\\xFF]") & (marks(fixed) < marks(c)) & ~fixed.contains("�"), fixed).otherwise(c)
+    # strict coding functions fail on what they cannot code, so that is put aside first
+    low = F.regexp_replace(c, "[^\\x00-\\xFF]", "?")
+    fixed = F.try_validate_utf8(F.encode(low, "ISO-8859-1").cast("string"))
+    return F.when(c.rlike("[ÃÂ]") & ~c.rlike("[^\\x00-\\xFF]") & fixed.isNotNull() & (marks(fixed) < marks(c)), fixed).otherwise(c)
 
 
 def references(c: Column) -> Column:

@@ -38,10 +38,10 @@ def sheet_rows(lines: DataFrame, order: str = "line_no", text: str = "line") ->
     """Pipe-separated sheet lines to item rows: the last header above a line names its columns."""
     from pyspark.sql import Window
 
-    cells = F.transform(F.split(text, r"\|"), F.trim)
+    cells = F.transform(F.split(text, r"\|"), lambda x: F.trim(x))
     is_header = F.lower(F.col(text)).rlike(r"descri") & F.lower(F.col(text)).rlike(r"(quant|qtd|qty).*\|.*(unit|price|value|valor)|(unit|price|value|valor).*\|.*(quant|qtd|qty)")
     rows = lines.withColumns({"cells": cells, "is_header": is_header})
-    above = F.last(F.when(F.col("is_header"), F.transform("cells", F.lower)), ignorenulls=True).over(Window.partitionBy("sheet_id").orderBy(order))
+    above = F.last(F.when(F.col("is_header"), F.transform("cells", lambda x: F.lower(x))), ignorenulls=True).over(Window.partitionBy("sheet_id").orderBy(order))
     rows = rows.withColumn("header", above).filter("NOT is_header AND header IS NOT NULL")
     at = lambda p: F.get("cells", F.array_position(F.transform("header", lambda h: h.rlike(p)), F.lit(True)).cast("int") - 1)
     number = lambda c: F.expr("try_cast(replace(replace(" + c + ", '.', ''), ',', '.') AS decimal(18,2))")
