@@ -6,8 +6,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from civiledger.plans import catalogue
+from comparing import SF, duck_rows, rows_of
 
-from conftest import SF, duck_rows, rows_of
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
