@@ -58,7 +58,7 @@ def from_planes(planes: np.ndarray, n: int, kind: str) -> np.ndarray:
     if kind == "byte":
         return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
     bits = np.unpackbits(planes, axis=1, count=n, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u4").reshape(-1)
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u4").reshape(-1)
 
 
 class ShardWriter:
