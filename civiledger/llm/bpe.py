@@ -10,13 +10,22 @@ and looked up afterwards. Texts with rarer white space are not cut at all.
 from __future__ import annotations
 
 import json
+import os
 import re
+import struct
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 
 #: Distinct units kept by a worker before the table starts anew: a bound on memory, not on work.
 CACHE_UNITS = 400_000
+#: Words with their ids in each of two tables, the newer and the older.
+WORD_UNITS = 450_000
+_ENCODED_AT_ONCE = 4096
+_JOINED = 64
+#: Lower-case words that normalising and splitting leave whole.
+_PLAIN_WORD = re.compile("[a-zß-öø-ÿ]+")
 #: Blanks that both vocabularies and Python agree on.
 _UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
 #: White space of any other kind: such a text is one unit.
@@ -33,6 +42,8 @@ def tokenizer_path(name: str) -> str:
 
 @lru_cache(maxsize=4)
 def load_tokenizer(path: str):
+    # a task has one core; threads of the library would only add memory
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -41,29 +52,75 @@ def load_tokenizer(path: str):
 class WordIds:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    For vocabularies that drop white space: a text's ids are those of its
-    blank-separated words, one after another.
+    For vocabularies that drop white space and case and split words from signs:
+    a text's ids are those of its blank-separated words, one after another, and
+    a word with a comma or full stop behind it has the ids of both.
     """
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.sign = dict(zip(".,", self._ids([".", ","]), strict=True))
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Plain words go many at once: each is one piece, whose last token alone ends a word."""
+        out: dict[str, bytes] = {}
+        plain = [w for w in words if _PLAIN_WORD.fullmatch(w)]
+        groups = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
+        for at in range(0, len(groups), 64):
+            got = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups[at : at + 64]], add_special_tokens=False)
+            for group, e in zip(groups[at : at + 64], got, strict=True):
+                ids = np.array(e.ids, "<u4")
+                raw, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+                if len(ends) == len(group):
+                    out.update(zip(group, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        rest = [w for w in words if w not in out]
+        for at in range(0, len(rest), _ENCODED_AT_ONCE):
+            got = self.tokenizer.encode_batch_fast(rest[at : at + _ENCODED_AT_ONCE], add_special_tokens=False)
+            out.update((w, struct.pack(f"<{len(e)}I", *e.ids)) for w, e in zip(rest[at : at + _ENCODED_AT_ONCE], got, strict=True))
+        return [out[w] for w in words]
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        split = {w: w[:-1] for w in new if w[-1] in ".," and _PLAIN_WORD.fullmatch(w, 0, len(w) - 1)}
+        plain = list({split.get(w, w) for w in new}.difference(self.known))
+        got = dict(zip(plain, self._ids(plain), strict=True))
+        for w, body in split.items():
+            got[w] = (got.get(body) or self.known[body]) + self.sign[w[-1]]
+        return got
+
+    def _units(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        lower = text.isascii()
+        if not lower:
+            try:
+                text.encode("latin-1")  # in this range, too, lower case is one letter for one
+                lower = True
+            except UnicodeEncodeError:
+                pass
+        words = (text.lower() if lower else text).split()
+        # rarer white space than these four is left to the library
+        plain = len(text) - sum(map(text.count, " \n\t\r"))
+        return words if sum(map(len, words)) == plain else [text]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [[] if not t else [t] if _RARE_SPACE.search(t) else t.split() for t in texts]
-        new = sorted({w for words in cut for w in words}.difference(self.known))
-        got = self.tokenizer.encode_batch(new, add_special_tokens=False) if new else []
-        known = self.known
-        if len(known) + len(new) > CACHE_UNITS:
-            keep = {w for words in cut for w in words if w in known}
-            self.known = known = {w: known[w] for w in keep}
-        for word, ids in zip(new, got, strict=True):
-            known[word] = np.asarray(ids.ids, "<u4").tobytes()
-        out = [b"".join([known[w] for w in words]) for words in cut]
-        for word in new:
-            if len(word) > _LONG_UNIT:
-                del known[word]
-        return out
+        cut = [self._units(t) for t in texts]
+        flat = list(chain.from_iterable(cut))
+        ids = list(map(self.known.get, flat))
+        if None in ids:
+            absent = {w for w, x in zip(flat, ids, strict=True) if x is None}
+            new = {w: self.older[w] for w in absent if w in self.older}
+            new |= self._learn(absent.difference(new))
+            ids = [new[w] if x is None else x for w, x in zip(flat, ids, strict=True)]
+            if len(self.known) + len(new) > WORD_UNITS:
+                self.known, self.older = {}, self.known  # words in use move on to the new table
+            self.known.update((w, x) for w, x in new.items() if len(w) <= _LONG_UNIT)
+        ends = [0, *accumulate(map(len, cut))]
+        return [b"".join(ids[a:b]) for a, b in pairwise(ends)]
 
 
 @lru_cache(maxsize=2)
