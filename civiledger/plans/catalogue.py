@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import aggregates, linking, retrieval, ordering, textual
+from . import aggregates, detection, linking, ordering, retrieval, textual
 
-_PARTS = (aggregates, linking, ordering, retrieval, textual)
+_PARTS = (aggregates, detection, linking, ordering, retrieval, textual)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
