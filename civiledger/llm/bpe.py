@@ -26,6 +26,8 @@ _ENCODED_AT_ONCE = 4096
 _JOINED = 64
 #: Lower-case words that normalising and splitting leave whole.
 _PLAIN_WORD = re.compile("[a-zß-öø-ÿ]+")
+#: Those with signs behind them, which are one piece, too (an apostrophe may start another).
+_SIGNED_WORD = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 #: Blanks that both vocabularies and Python agree on.
 _UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
 #: White space of any other kind: such a text is one unit.
@@ -54,7 +56,7 @@ class WordIds:
 
     For vocabularies that drop white space and case and split words from signs:
     a text's ids are those of its blank-separated words, one after another, and
-    a word with a comma or full stop behind it has the ids of both.
+    a word with signs behind it has the ids of both.
     """
 
     def __init__(self, path: str):
@@ -64,7 +66,7 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.sign = dict(zip(".,", self._ids([".", ","]), strict=True))
+        self.signs: dict[str, bytes] = {}
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of each word. Plain words go many at once: each is one piece, whose last token alone ends a word."""
@@ -85,11 +87,15 @@ class WordIds:
         return [out[w] for w in words]
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
-        split = {w: w[:-1] for w in new if w[-1] in ".," and _PLAIN_WORD.fullmatch(w, 0, len(w) - 1)}
-        plain = list({split.get(w, w) for w in new}.difference(self.known))
+        split = {w: m.groups() for w in new if (m := _SIGNED_WORD.fullmatch(w))}
+        signs = list({tail for _, tail in split.values()}.difference(self.signs))
+        if len(self.signs) + len(signs) > _ENCODED_AT_ONCE:
+            self.signs, signs = {}, list({tail for _, tail in split.values()})
+        self.signs.update(zip(signs, self._ids(signs), strict=True))
+        plain = list({split[w][0] if w in split else w for w in new}.difference(self.known))
         got = dict(zip(plain, self._ids(plain), strict=True))
-        for w, body in split.items():
-            got[w] = (got.get(body) or self.known[body]) + self.sign[w[-1]]
+        for w, (body, tail) in split.items():
+            got[w] = (got.get(body) or self.known[body]) + self.signs[tail]
         return got
 
     def _units(self, text: str | None) -> list[str]:
