@@ -9,10 +9,14 @@ on the full sets, and verified links are joined to components.
 
 Big buckets never become all their pairs. Documents with equal sets are one
 class from the start. In each bucket every class is first compared with the one
-class that shares most buckets with others; what is linked by then needs no
-further look. Pairs across components that are left are compared one by one,
-after more such rounds where they outnumber the rows by far. So every pair that
-shares a bucket is either verified or already in one component, with no cap on
+class (the hub) that shares most buckets with others. The classes of a hub get a
+common core, the shingles that most of them have, and are described by how they
+depart from it. That alone tells that pairs with few departures are alike, so
+they need one link each to the least departing class; and that any other two can
+only be alike if they share a certain number of departures. Such pairs are found
+through their rarest departures, bounded once more by bit masks of all their
+departures, and verified. So every pair that shares a
+bucket is verified, in one component, or proven too far apart, with no cap on
 the size of a bucket.
 
 With 32 bands of 5 coordinates, a pair at similarity 0.8 shares no bucket once
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import DOC_COLUMNS, documents, pick, stored
@@ -43,8 +47,8 @@ BANDS, ROWS = 32, 5
 PERCENT = 80
 #: Pairs of one class that a task of the verification takes at most.
 PAIRS_A_COPY = 256
-#: Pairs across components, per row of the buckets, that are compared at once.
-REST = 2
+#: 64-bit numbers of a mask of departures.
+MASK_LONGS = 8
 _WORDS = 1_000_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -124,7 +128,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """node, found: the full set as 64-bit numbers in order."""
+    """name, found: the full set as 64-bit numbers in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,87 +136,179 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
                 found = [shingles(t, size) for t in batch.column(0).slice(at, 256).to_pylist()]
                 found = [f for f in found if len(f)]
                 nodes = [hashlib.md5(f).digest() for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], ["node", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], ["name", "found"])
 
-    return docs.select("text").mapInArrow(run, "node binary, found binary")
+    return docs.select("text").mapInArrow(run, "name binary, found binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. A class in many pairs is copied for parts of them."""
+def _with_sets(pairs: DataFrame, sets: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """a, b, found_a, found_b (of ``others``, or sets). A ``b`` in many pairs is copied for parts of them."""
     copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies"))
-    hubs = sets.join(copies.withColumnRenamed("b", "node"), "node").select(
-        F.col("node").alias("b"), F.col("found").alias("found_b"), "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
+    hubs = (sets if others is None else others).join(copies.withColumnRenamed("b", "node"), "node").select(
+        F.col("node").alias("b"), F.col("found").alias("found_b"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
     )
     dealt = pairs.join(copies, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")).drop("copies")
-    both = dealt.join(sets.select(F.col("node").alias("a"), F.col("found").alias("found_a")), "a").join(hubs.drop("copies"), ["b", "copy"])
+    both = dealt.join(sets.select(F.col("node").alias("a"), F.col("found").alias("found_a")), "a").join(hubs, ["b", "copy"])
+    return both.select("a", "b", "found_a", "found_b")
+
+
+def shared_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, n_a, n_b, shared: sizes of the full sets and of what they share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = np.sort(np.frombuffer(x + y, np.uint64), kind="stable")
+                rows.append((len(x) // 8, len(y) // 8, int(np.count_nonzero(both[1:] == both[:-1]))))
+            columns = [pa.array(list(c), pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", "n_a", "n_b", "shared"])
+
+    return _with_sets(pairs, sets).mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, shared bigint")
+
+
+def similar(percent: int) -> str:
+    return f"100 * shared >= {percent} * (n_a + n_b - shared)"
+
+
+def departures(pairs: DataFrame, sets: DataFrame, cores: DataFrame) -> DataFrame:
+    """a, b, size, h (of the core), lacking, added, the shingles that one of ``a`` and the core of ``b`` has, and their bit mask.
+
+    ``slack`` departures share a bit with others of the same class, so two
+    classes share at most the bits that both masks have and the lesser slack.
+    """
+    both = _with_sets(pairs, sets, cores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
+            rows, parts, masks = [], [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                n = len(x) + len(y)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    good.append(False)
-                    continue
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                good.append(100 * shared >= percent * (n - shared))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
+                added, lacking = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                parts.append(np.concatenate([added, lacking]).view(np.int64))
+                mask = np.zeros(MASK_LONGS * 8, np.uint8)
+                bit = np.unique((parts[-1].view(np.uint64) * _MULT[5] >> np.uint64(40)) % np.uint64(MASK_LONGS * 64)).astype(np.int64)
+                np.bitwise_or.at(mask, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+                masks.append(mask.view(np.int64).tolist())
+                rows.append((len(x), len(y), len(lacking), len(added), len(parts[-1]) - len(bit)))
+            ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            columns = [pa.array(list(c), pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)]
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(masks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *lists], ["a", "b", "size", "h", "lacking", "added", "slack", "shingles", "mask"])
+
+    return both.mapInArrow(run, "a bigint, b bigint, size bigint, h bigint, lacking bigint, added bigint, slack bigint, shingles array<bigint>, mask array<bigint>")
+
+
+def cores_of(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """node (the hub), found: the shingles that more than half of a hub's classes have, in order."""
 
-    return both.select("a", "b", "found_a", "found_b").mapInArrow(run, "a binary, b binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(flat)], ["b", "shingle"])
+
+    held = groups.join(sets.withColumnRenamed("node", "a"), "a").select("b", "found").mapInArrow(run, "b bigint, shingle bigint")
+    often = held.groupBy("b", "shingle").agg(F.count("*").alias("n"))
+    members = groups.groupBy("b").agg(F.count("*").alias("members"))
+    common = often.join(members, "b").filter("2 * n > members").groupBy("b").agg(F.collect_list("shingle").alias("core"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            core = [np.sort(np.array(x, np.int64).view(np.uint64)).tobytes() if x else b"" for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(core, pa.binary())], ["node", "found"])
+
+    # a core is at most twice as large as a set of the group
+    return members.join(common, "b", "left").select("b", "core").mapInArrow(packed, "node bigint, found binary")
+
+
+def open_groups(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: the classes of each hub (itself among them) that has classes of several components and a pair without the hub."""
+    groups = rows.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    rooted = groups.join(labels, groups["a"] == labels["node"], "left").select("a", "b", F.coalesce("root", "a").alias("root"))
+    split = rooted.groupBy("b").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1 AND n > 2").select("b")
+    return groups.join(split, "b").select("a", "b")
+
+
+def core_links(described: DataFrame, percent: int) -> DataFrame:
+    """a, b: each class with the least departing one of its hub, where both depart so little that they are alike.
+
+    Two classes that depart by weights ``c`` and share ``k`` departures are
+    alike just if ``(100 + percent) * k >= c_a + c_b - (100 - percent) * h``.
+    """
+    least = described.groupBy("b").agg(F.min(F.struct("c", "a")).alias("low")).select("b", F.col("low.c").alias("c_low"), F.col("low.a").alias("low"))
+    return described.join(least, "b").filter(f"a <> low AND c + c_low <= {100 - percent} * h").select("a", F.col("low").alias("b")).distinct()
+
+
+def open_pairs(described: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of classes of one hub and different components that share one of their rarest departures.
+
+    After ``core_links`` such a pair is alike only if it shares at least
+    ``(c_a + c_b - (100 - percent) * h) / (100 + percent)`` departures, at least
+    one. With ``d`` departures, one of the rarest ``d - least + 1`` is shared.
+    """
+    rooted = described.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    low = rooted.groupBy("b").agg(F.min(F.struct("c", "root")).alias("low")).select("b", F.col("low.c").alias("c_low"), F.col("low.root").alias("core_root"))
+    rooted = rooted.join(low, "b")
+    others = rooted.filter("root <> core_root").groupBy("b").agg(F.min("c").alias("c_other"))
+    rooted = rooted.join(others, "b")  # hubs whose classes are of one component by now drop out
+    facing = F.when(F.col("root") == F.col("core_root"), F.col("c_other")).otherwise(F.col("c_low"))
+    need = F.greatest(F.ceil((F.col("c") + facing - (100 - percent) * F.col("h")) / (100 + percent)), F.lit(1))
+    take = F.col("lacking") + F.col("added") - need + 1
+    kept = rooted.withColumn("take", take).filter("take > 0").select("a", "b", "root", "size", "h", "c", "slack", "mask", "take", "shingles")
+    long = kept.select("a", "b", "take", F.explode("shingles").alias("shingle"))
+    often = long.groupBy("b", "shingle").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("n", "shingle"))
+    rare = stored(long.join(often, ["b", "shingle"]).withColumn("rank", rank).filter("rank <= take AND n > 1").select("a", "b", "shingle"), "minhash-rare")
+    rare = rare.join(kept.drop("take", "shingles"), ["a", "b"])
+    one = rare.select(F.col("b").alias("hub"), "shingle", "a", "h", *[F.col(n).alias(f"{n}_a") for n in ("root", "size", "c", "slack", "mask")])
+    two = rare.select(F.col("b").alias("hub"), "shingle", F.col("a").alias("b"), *[F.col(n).alias(f"{n}_b") for n in ("root", "size", "c", "slack", "mask")])
+    sizes = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
+    shared = " + ".join(f"bit_count(mask_a[{i}] & mask_b[{i}])" for i in range(MASK_LONGS)) + " + least(slack_a, slack_b)"
+    enough = f"{100 + percent} * ({shared}) >= c_a + c_b - {100 - percent} * h"
+    return one.join(two, ["hub", "shingle"]).filter("root_a < root_b").filter(sizes).filter(enough).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     docs = pick(docs, "doc_id", "text")
     signed = stored(signatures(docs, size), "minhash-documents")
-    classes = stored(signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")), "minhash-classes")
-    rows = classes.select("node", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    classes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"))
+    # short names for the classes, fixed by writing them
+    classes = stored(classes.withColumnRenamed("node", "name").withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
+    # dealt by key once: both uses need all three columns, so Spark makes one exchange of it
+    rows = classes.select("node", "size", F.explode("keys").alias("key")).repartition("key")
+    shared = rows.groupBy("key").agg(F.count("node").alias("n"), F.max("size").alias("largest")).filter("n > 1 AND largest > 0").select("key", "n")
     rows = stored(rows.join(shared, "key"), "minhash-buckets")
     weight = rows.groupBy("node").agg(F.sum("n").alias("weight"))
-    rows = stored(rows.join(weight, "node").select("key", "node", "weight"), "minhash-buckets")
-
-    texts = classes.join(rows.select("node").distinct(), "node", "left_semi").select(F.col("first_id"))
-    texts = docs.join(texts, docs["doc_id"].eqNullSafe(texts["first_id"]), "left_semi")
-    sets = stored(full_sets(texts, size).join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "minhash-sets")
-
-    hub = rows.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub")).select("key", F.col("hub.node").alias("b"))
-    pairs = stored(rows.join(hub, "key").select(F.col("node").alias("a"), "b").filter("a <> b").distinct(), "minhash-pairs")
-    edges = stored(verified(pairs, sets, percent), "minhash-edges")
-    used = hub
-    while True:
-        labels = components(edges)
-        placed = rows.join(labels, "node", "left").select("key", "node", "weight", F.coalesce("root", "node").alias("root"))
-        parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-        open_ = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("parts")).filter("parts > 1")
-        placed = stored(placed.join(open_.select("key", "n", "squares"), "key"), "minhash-open")
-        rest, n_rows = placed.agg(F.sum((F.col("n") - F.col("squares") / F.col("n")) / 2), F.count("*")).first()
-        if not n_rows:
-            break
-        last = rest <= REST * n_rows + 10_000
-        if last:
-            one, two = placed.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), placed.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-            new = one.join(two, "key").filter("ra < rb").select("a", "b")
-        else:
-            fresh = placed.join(used.withColumnRenamed("b", "node"), ["key", "node"], "left_anti")
-            hub = stored(fresh.groupBy("key").agg(F.max(F.struct("weight", "node", "root")).alias("hub")).select("key", F.col("hub.node").alias("b"), F.col("hub.root").alias("rb")), "minhash-hubs")
-            new = placed.join(hub, "key").filter("root <> rb").select(F.col("node").alias("a"), "b")
-            used = used.union(hub.select("key", "b"))
-        new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = stored(new.join(done, ["a", "b"], "left_anti"), "minhash-pairs")
-        found = stored(verified(new, sets, percent), "minhash-edges")
-        edges, pairs = edges.union(found), pairs.union(new)
-        if last:
-            labels = components(edges) if not found.isEmpty() else labels
-            break
-
-    known = classes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    rows = stored(rows.join(weight, "node").select("key", "node", "size", "weight"), "minhash-buckets")
+
+    linked = stored(classes.join(weight.select("node"), "node", "left_semi").select("node", "name", "first_id"), "minhash-linked")
+    texts = docs.join(linked, docs["doc_id"].eqNullSafe(linked["first_id"]), "left_semi")
+    sets = full_sets(texts, size).join(linked.select("node", "name"), "name").groupBy("node").agg(F.first("found").alias("found"))
+    sets = stored(sets, "minhash-sets")
+
+    hub = rows.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
+    rows = stored(rows.join(hub, "key").select("key", "node", "size", "hub"), "minhash-buckets")
+    pairs = rows.select(F.col("node").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
+    measured = stored(shared_counts(pairs, sets), "minhash-measured")
+    edges = measured.filter(similar(percent)).select("a", "b")
+    labels = components(edges)
+    groups = stored(open_groups(rows, labels), "minhash-groups")
+    cores = stored(cores_of(groups, sets), "minhash-cores")
+    described = departures(groups, sets, cores).withColumn("c", percent * F.col("added") + 100 * F.col("lacking"))
+    described = stored(described, "minhash-departures")
+    for find in (lambda: core_links(described, percent), lambda: open_pairs(described, labels, percent)):
+        more = stored(shared_counts(stored(find(), "minhash-pairs"), sets).filter(similar(percent)).select("a", "b"), "minhash-edges")
+        if not more.isEmpty():
+            edges = edges.union(more)
+            labels = components(edges)
+
+    known = classes.select("name", "node", "first_id").join(labels, "node", "left").select("name", "first_id", F.coalesce("root", "node").alias("root"))
     least = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = known.join(least, "root").select("node", "component_id")
+    named = known.join(least, "root").select(F.col("name").alias("node"), "component_id")
     out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
