@@ -1,43 +1,39 @@
 """Burrows-Wheeler transforms of string collections and their merging.
 
 A shard's strings are sorted as rotations, each behind a terminator of its own
-string. Shards are merged without sorting suffixes again: an interleave (which
-shard the next suffix comes from) is refined by one symbol a round, as a stable
-sort of the interleave by the transforms' symbols puts suffixes in order of one
-symbol more. Blocks of the interleave are suffixes with a common prefix of as
-many symbols as there were rounds; those of two or more are repeated intervals.
+string. Shards are merged without sorting suffixes again: their interleave, at
+first one shard after another, is refined by one symbol a round, as a stable
+sort by the transforms' symbols, followed to the suffixes that those symbols
+begin, puts suffixes in order of one symbol more. Blocks of the interleave are
+suffixes with a common prefix of as many symbols as there were rounds; those of
+two or more are repeated intervals.
+
+A symbol is one byte, or two where the depth is even: then each string stands
+for two, those of its even and of its odd places, and half the rounds do.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Bytes of a shard.
-SHARD_BYTES = 1 << 17
+#: Symbols of a shard.
+SHARD_SYMBOLS = 1 << 17
 
 
 class Shard:
-    """Suffix order and transform of some strings."""
+    """Suffix order, transform and the step from each suffix to the one that begins a symbol earlier."""
 
-    def __init__(self, strings: list[bytes]):
-        lengths = np.array([len(s) + 1 for s in strings])
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        n = int(lengths.sum())
-        symbols = np.zeros(n, np.uint16)
-        ends = starts + lengths - 1
-        inside = np.ones(n, bool)
-        inside[ends] = False
-        symbols[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
-        self.left = np.repeat(ends, lengths) - np.arange(n)  # symbols before the terminator
+    def __init__(self, symbols: np.ndarray, lengths: np.ndarray):
+        """``symbols`` of all strings with their terminators (0); ``lengths`` count those in."""
+        n = len(symbols)
+        ends = np.cumsum(lengths) - 1
+        starts = ends - lengths + 1
         after = np.arange(1, n + 1)
         after[ends] = starts
         before = np.arange(-1, n - 1)
         before[starts] = ends
-        key, jump = symbols.astype(np.int64), after
-        for _ in range(2):
-            key = key << (9 if key.max(initial=0) < 512 else 18) | key[jump]
-            jump = jump[jump]
-        longest, seen = int(lengths.max(initial=1)), 4
+        wide = symbols.astype(np.int64)
+        key, jump, seen, longest = wide << 16 | wide[after], after[after], 2, int(lengths.max(initial=1))
         while True:
             order = np.argsort(key, kind="stable")
             new = np.concatenate([[False], key[order][1:] != key[order][:-1]])
@@ -47,45 +43,78 @@ class Shard:
                 break
             key = rank * n + rank[jump]
             jump, seen = jump[jump], 2 * seen
-        self.order, self.transform, self.n = order, symbols[before[order]], n
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.order, self.transform, self.earlier = order, symbols[before[order]], place[before[order]]
+
+
+def _symbols(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Symbols of all strings, the length of each sequence, and the byte at which each symbol starts."""
+    raw = np.frombuffer(b"".join(strings), np.uint8)
+    code = raw.astype(np.int32) + 1
+    if width == 2:
+        code = code * 257 + np.append(code[1:], 0)
+        ends = np.cumsum([len(s) for s in strings]) - 1
+        ends = ends[[len(s) > 0 for s in strings]] if len(raw) else ends[:0]
+        code[ends] = (raw[ends].astype(np.int32) + 1) * 257  # nothing follows the last byte
+        used, code = np.unique(code, return_inverse=True)
+        if len(used) >= 1 << 16:
+            return None
+        code = code + 1
+    parts, places, lengths, a = [], [], [], 0
+    zero = np.zeros(1, np.int32)
+    for s in strings:
+        for phase in range(width):
+            part = code[a + phase : a + len(s) : width]
+            parts += [part, zero]
+            places += [np.arange(a + phase, a + len(s), width), zero - 1]
+            lengths.append(len(part) + 1)
+        a += len(s)
+    return np.concatenate(parts).astype(np.uint16), np.array(lengths), np.concatenate(places)
 
 
-def repeated(strings: list[bytes], depth: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
+def repeated(strings: list[bytes], depth: int, shard_symbols: int = SHARD_SYMBOLS) -> list[np.ndarray]:
     """For each string, the offsets at which a substring of ``depth`` bytes begins that begins elsewhere in the collection too.
 
     The strings are distinct.
     """
-    shards, at, held = [], 0, 0
-    for i, s in enumerate(strings):
-        held += len(s) + 1
-        if held >= shard_bytes or i == len(strings) - 1:
-            shards.append(Shard(strings[at : i + 1]))
-            at, held = i + 1, 0
-    if not shards:
+    if not strings:
         return []
-    n = sum(s.n for s in shards)
-    base = np.cumsum([0, *(s.n for s in shards)])
-    symbols = np.concatenate([s.transform for s in shards])
-    merged = np.repeat(np.arange(len(shards), dtype=np.uint16), [s.n for s in shards])
-    block = np.zeros(n, np.int32)
-    symbol = np.empty(n, np.uint16)
-    for _ in range(depth):
-        symbol[np.argsort(merged, kind="stable")] = symbols  # each shard's symbols in its order
-        order = np.argsort(symbol, kind="stable")
-        merged, block, sorted_ = merged[order], block[order], symbol[order]
-        cut = np.empty(n, bool)
-        cut[0] = False
+    width = 2 if depth % 2 == 0 else 1
+    got = _symbols(strings, width)
+    if got is None:
+        width = 1
+        got = _symbols(strings, width)
+    symbols, lengths, places = got
+    ends = np.cumsum(lengths)
+    n = int(ends[-1])
+    orders, transforms, steps, base, at = [], [], [], 0, 0
+    while at < len(lengths):
+        to = max(at + 1, int(np.searchsorted(ends, base + shard_symbols, side="right")))
+        top = int(ends[to - 1])
+        shard = Shard(symbols[base:top], lengths[at:to])
+        orders.append(shard.order + base)
+        transforms.append(shard.transform)
+        steps.append(shard.earlier + base)
+        base, at = top, to
+    order, transform, earlier = np.concatenate(orders), np.concatenate(transforms), np.concatenate(steps).astype(np.int32)
+    merged, block = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
+    cut = np.zeros(n, bool)
+    for _ in range(depth // width):
+        symbol = transform[merged]
+        sorted_ = np.argsort(symbol, kind="stable")
+        symbol, block = symbol[sorted_], block[sorted_]
+        merged = earlier[merged[sorted_]]
         np.not_equal(block[1:], block[:-1], out=cut[1:])
-        cut[1:] |= sorted_[1:] != sorted_[:-1]
+        cut[1:] |= symbol[1:] != symbol[:-1]
         block = np.cumsum(cut, dtype=np.int32)
         if int(block[-1]) == n - 1:  # all suffixes differ
             return [np.zeros(0, np.int64) for _ in strings]
-    shared = np.bincount(block)[block] > 1
-    place = np.empty(n, np.int64)
-    place[np.argsort(merged, kind="stable")] = np.concatenate([s.order + b for s, b in zip(shards, base[:-1], strict=True)])
-    left = np.concatenate([s.left for s in shards])
-    hits = place[shared]
-    hits = np.sort(hits[left[hits] >= depth])
-    starts = np.cumsum([0, *(len(s) + 1 for s in strings)])
+    hits = places[order[merged[np.bincount(block)[block] > 1]]]
+    sizes = np.array([len(s) for s in strings])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    hits = np.sort(hits[hits >= 0])
+    owner = np.searchsorted(starts, hits, side="right") - 1
+    hits = hits[starts[owner] + sizes[owner] - hits >= depth]
     cuts = np.searchsorted(hits, starts)
     return [hits[a:b] - s for a, b, s in zip(cuts[:-1], cuts[1:], starts[:-1], strict=True)]

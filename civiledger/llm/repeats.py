@@ -230,7 +230,9 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     all_runs = stored(runs(docs), "repeat-runs")
     equal = all_runs.groupBy("gram", "run").agg(F.count("*").alias("copies"))
     grams = equal.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).filter("total > 1")
-    live = stored(all_runs.join(grams.select("gram", "kinds"), "gram"), "repeat-live")
+    # written first, so that the join is of two plain exchanges and Spark can split the rows of a hot gram
+    grams = stored(grams.select("gram", "kinds"), "repeat-grams")
+    live = stored(all_runs.join(grams, "gram"), "repeat-live")
     equal = stored(
         live.groupBy("gram", "run", "kinds").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "tag", "first", "n", "gram_at")).alias("one")), "repeat-equal"
     )
