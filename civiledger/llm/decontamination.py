@@ -9,7 +9,10 @@ windows with few edits soon walk in step again, so a few sampled steps agree
 often. Windows of the size of an item, from every word on, are looked up by
 such samples; enough repetitions are taken for ``RECALL`` on edited copies of
 the items themselves (simulated, at the full number of edits), and unedited
-passages agree in all of them. Each hit is verified by exact edit distance.
+passages agree in all of them. Where ``MAX_REPEATS`` do not reach ``RECALL``, as
+for long items, an exact search stands in for the walks: ``e`` edits leave one of
+``e + 1`` pieces of an item untouched, so every place of a piece is a hit. Each
+hit is verified by exact edit distance.
 
 Windows that cannot match are passed over first: ``e`` edits leave an item of
 ``n`` words at least ``n - 2 - 3 e`` of its word triples, so a window with fewer
@@ -132,6 +135,42 @@ class LengthClass:
             self.repeats.append((bits, sample, lookup, sieve))
             found |= self.keys(edited, at, bits, sample) == keys[owner]
         self.recall = float(found.mean())
+        self.pieces: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        self.heads = np.zeros(0, bool)
+        if self.recall < RECALL:
+            self._seed()
+
+    def _seed(self) -> None:
+        """Take pieces of the items in place of the walks: by size, then hash, the items and offsets that have them."""
+        self.repeats = []
+        self.heads = np.zeros(_SIEVE, bool)
+        for k, (_, x) in enumerate(self.items):
+            size = len(x) // (edits_of(len(x)) + 1)
+            offsets = np.arange(edits_of(len(x)) + 1) * size
+            self.heads[triples(x)[offsets]] = True
+            lookup = self.pieces.setdefault(size, {})
+            for offset, key in zip(offsets.tolist(), self.piece_keys(x, offsets, size).tolist(), strict=True):
+                lookup.setdefault(key, []).append((k, offset))
+
+    @staticmethod
+    def piece_keys(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the ``size`` words from each start on."""
+        key = np.zeros(len(starts), np.uint64)
+        for j in range(size):
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + ids[starts + j].astype(np.uint64) + np.uint64(1))
+        return key
+
+    def seeded(self, ids: np.ndarray, grams: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, start, place) for each place of a piece in the windows from these starts."""
+        cover = np.zeros(len(grams) + 1, np.int32)
+        np.add.at(cover, starts, 1)
+        np.add.at(cover, np.minimum(starts + self.span, len(grams)), -1)
+        places = np.flatnonzero((np.cumsum(cover[:-1]) > 0) & self.heads[grams])
+        for size, lookup in self.pieces.items():
+            good = places[places + size <= len(ids)]
+            for p, key in zip(good.tolist(), self.piece_keys(ids, good, size).tolist(), strict=True):
+                for k, offset in lookup.get(key, ()):
+                    yield k, p - offset, p
 
     @staticmethod
     def _flat(sequences: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +184,7 @@ class LengthClass:
         for k in rng.integers(0, len(self.items), 400):
             x = self.items[k][1].tolist()
             for _ in range(edits_of(len(x))):
-                kind, i = rng.integers(3), int(rng.integers(1, len(x)))
+                kind, i = rng.integers(3), int(rng.integers(len(x)))
                 other = int(rng.integers(0, n_words + 1))
                 if kind == 0:
                     x[i] = other
@@ -206,7 +245,7 @@ class Index:
         n = len(ids)
         ids = np.concatenate([ids, np.zeros(self.pad + 1, np.int32)])
         grams = triples(ids)
-        begins = np.flatnonzero(ids[:n])
+        begins = np.arange(n)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for c in self.classes:
             seen = np.zeros(len(grams) + 1, np.int32)
@@ -219,6 +258,9 @@ class Index:
                 keys = c.keys(ids, starts, bits, sample)
                 for i in np.flatnonzero(sieve[(keys & np.uint64(0xFFFF)).astype(np.int64)]).tolist():
                     hits.update((k, int(starts[i])) for k in lookup.get(int(keys[i]), ()))
+            if c.pieces:
+                # the first word of a document bounds where a passage in it starts
+                hits.update((k, max(s, int(ends[row[p]]))) for k, s, p in c.seeded(ids, grams, starts) if p < n)
             last: dict[int, tuple[int, int]] = {}
             for k, s in sorted(hits):
                 item, x = c.items[k]

@@ -389,6 +389,25 @@ def test_decontamination_against_all_distances(spark):
     assert kept == set(range(len(texts))) - {k for k, _ in got}
 
 
+def test_edited_copies_of_long_items_are_found():
+    r = random.Random(8)
+    items = [(i, decontamination.words(prose(500 + i, n))) for i, n in enumerate([100, 120, 150, 200, 250])]
+    index = decontamination.Index(items)
+    texts, want = [], []
+    for k in range(100):
+        i, x = items[k % len(items)]
+        w = list(x)
+        w[0] = "zz"
+        for _ in range(decontamination.edits_of(len(x)) - 1):
+            at, kind = r.randrange(len(w)), r.randrange(3)
+            w[at : at + (kind > 0)] = ["zz"] * (kind < 2)
+        # some stand at the very start or end of their text
+        texts.append(" ".join([*(prose(k, 30).split() if k % 3 else []), *w, *(prose(900 + k, 20).split() if k % 4 else [])]))
+        want.append((k, i))
+    assert {(row, i) for row, i, *_ in index.matches(texts)} >= set(want)
+    assert all(c.recall >= decontamination.RECALL or c.pieces for c in index.classes)
+
+
 def test_decontamination_on_awkward_rows(spark, awkward, nothing):
     bench = spark.createDataFrame([(1, prose(1, 40)), (1, prose(1, 40))], "item_id bigint, text string")
     got = decontamination.leaks(awkward, bench).collect()
