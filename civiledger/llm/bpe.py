@@ -171,7 +171,6 @@ class PrefixCounts:
 
         import public_tokenizers
 
-        self.tokenizer = load_tokenizer(path)
         self.totals: dict[str, int] = {}
         self.pieces = regex.compile(public_tokenizers.PATTERN)
         self.blank_runs = regex.compile(r"\s{2,}")
@@ -296,8 +295,8 @@ class PrefixCounts:
     def unit_ends(self, texts: list[str | None]) -> list[tuple[list[str], list[int]]]:
         """The units of each text and the tokens of each unit.
 
-        Their running sum is the prefix table at the ends of units; new units
-        are encoded by the library, each once.
+        Their running sum is the prefix table at the ends of units; the last
+        entry of a unit's own table is its count, worked out once.
         """
         cut = [self.units(t) for t in texts]
         totals = self.totals
@@ -305,9 +304,8 @@ class PrefixCounts:
         if len(totals) + len(new) > CACHE_UNITS:
             keep = {u: totals[u] for units in cut for u in units if u in totals}
             self.totals = totals = keep
-        if new:
-            for u, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                totals[u] = len(got)
+        for u in new:
+            totals[u] = int(self.unit(u)[-1])
         out = [(units, [totals[u] for u in units]) for units in cut]
         for u in new:
             if len(u) > _LONG_UNIT:

@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 from awkward_rows import awkward_rows, prose
-from civiledger.llm import bwt, decontamination, license_scan, minhash, packing, pii, quality_model, quality_rules, repeats, tagger, token_counts, token_files
+from civiledger.llm import bpe, bwt, decontamination, license_scan, minhash, packing, pii, quality_model, quality_rules, repeats, tagger, token_counts, token_files
 from civiledger.llm.bpe import load_tokenizer, tokenizer_path, word_ids
 from civiledger.llm.common import scratch_path
 from civiledger.llm.components import components
@@ -314,6 +314,19 @@ def test_token_counts_and_prefixes(spark, awkward, nothing):
             assert counts[len(text[:k].encode()) - 1] == len(library.encode(text[:k], add_special_tokens=False).ids)
 
 
+def test_counts_come_from_the_prefix_tables(monkeypatch):
+    path = tokenizer_path(token_counts.VOCABULARY)
+    library = load_tokenizer(path)
+
+    def refuse(path):
+        raise AssertionError("the library is the check, not the method")
+
+    monkeypatch.setattr(bpe, "load_tokenizer", refuse)
+    texts = [t for _, t, *_ in ROWS]
+    got = [sum(counts) for _, counts in bpe.PrefixCounts(path).unit_ends(texts)]
+    assert got == [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_token_files_round_trip(spark, awkward, nothing, kind):
     path = tokenizer_path(token_files.VOCABULARY)
