@@ -2,8 +2,9 @@
 
 The base spans are those of fixed patterns. A bidirectional LSTM with a CRF
 (``tagger``) reads windows of characters around every place that could be
-personal data (digits, "@", a bracketed "at"), in steps of half a window, so
-each place lies well within some window. The windows' spans are then reconciled
+personal data (digits, "@", a bracketed "at" or "dot"), in steps of half a
+window, so each place lies well within some window; where a span meets the edge
+of what was read, reading goes on beyond it. The windows' spans are then reconciled
 over the whole text: a span that is cut at the edge of its window gives way to
 the neighbour's, spans of a kind that touch are united, of spans that overlap
 the longer stays. A united span is added if it holds what its kind must hold
@@ -44,8 +45,12 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _HAS_DIGIT = re.compile("[0-9]")
 #: Where personal data may be.
-_TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]", re.IGNORECASE)
-REACH = 24
+_TRIGGER = re.compile(r"[0-9@]|[\[(] ?(?:at|dot) ?[\])]", re.IGNORECASE)
+#: Characters read on either side of a trigger, at first.
+REACH = LENGTH
+#: The rest of a word and what bracketed dots join to it; no address is longer than 254 characters.
+_REST = re.compile(r"\S{0,256}(?:\s?[\[(] ?dot ?[\])]\s?\S{1,256})*", re.IGNORECASE)
+_BEFORE = re.compile(r"\S{0,256}\Z")
 _ROWS = 512
 _ADDED = {
     "email": re.compile(r"([A-Za-z0-9._%+-]+)\s?(?:@|[\[(] ?at ?[\])])\s?([A-Za-z0-9-]+)((?:\.|\s?[\[(] ?dot ?[\])]\s?)[A-Za-z0-9-]+)+", re.IGNORECASE),
@@ -148,7 +153,10 @@ def reconciled(found: list[tuple[int, int, str, bool]]) -> list[Span]:
 
 def _holds(text: str, a: int, b: int, kind: str) -> Span | None:
     """The part of a tagged span that has what its kind must have, if any."""
-    m = _ADDED[kind].search(text, max(0, a - 1), min(len(text), b + 1))
+    # a tagged span may end within a word: look as far as the words on its edges go
+    start = a - len(_BEFORE.search(text[max(0, a - 256) : a])[0])
+    end = max(min(len(text), b + 1), _REST.match(text, b).end())
+    m = next((m for m in _ADDED[kind].finditer(text, max(0, start - 1), end) if m.start() < b and m.end() > a), None)
     if not m or (m.start() and text[m.start() - 1].isalnum()) or text[m.end() : m.end() + 1].isalnum():
         return None
     digits = _NOT_DIGIT.sub("", m[0])
@@ -163,16 +171,31 @@ def _holds(text: str, a: int, b: int, kind: str) -> Span | None:
 
 def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> list[list[Span]]:
     """What the tagger adds to each text's base spans."""
-    places = [(i, a, b) for i, t in enumerate(texts) for a, b in windows(t)]
+    # with each window: whether nothing is read before it, and nothing after it
+    places: list[tuple[int, int, int, bool, bool]] = []
+    for i, t in enumerate(texts):
+        cut = windows(t)
+        for k, (a, b) in enumerate(cut):
+            places.append((i, a, b, k == 0 or cut[k - 1][1] <= a, k + 1 == len(cut) or cut[k + 1][0] >= b))
     raw: dict[int, list] = {}
-    for at in range(0, len(places), _ROWS):
+    further: set[tuple[int, int]] = set()
+    half, at = LENGTH // 2, 0
+    while at < len(places):
         part = places[at : at + _ROWS]
+        at += len(part)
         x = np.full((len(part), LENGTH), PAD, np.int16)
-        for k, (i, a, b) in enumerate(part):
+        for k, (i, a, b, *_) in enumerate(part):
             x[k, : b - a] = encode(texts[i][a:b])
-        for (i, a, b), tags in zip(part, tagger.decode(x).tolist(), strict=True):
-            if any(tags):
-                raw.setdefault(i, []).extend(_tagged(tags, a, b - a, len(texts[i])))
+        for (i, a, b, first, last), tags in zip(part, tagger.decode(x).tolist(), strict=True):
+            if not any(tags):
+                continue
+            size = len(texts[i])
+            raw.setdefault(i, []).extend(_tagged(tags, a, b - a, size))
+            # further windows start at multiples of half a window, so each is read once
+            for start, goes_on in (((a - 1) // half * half, first and a > 0 and tags[0]), ((b - half) // half * half, last and b < size and tags[b - a - 1])):
+                if goes_on and (i, start) not in further:
+                    further.add((i, start))
+                    places.append((i, start, min(size, start + LENGTH), True, True))
     out: list[list[Span]] = [[] for _ in texts]
     for i, found in raw.items():
         # a window's spans meet only those of its neighbours: reconcile run by run

@@ -226,6 +226,21 @@ def test_personal_data(spark, awkward, nothing):
     assert pii.added_spans([clean], [[]], model) == [[]]
 
 
+def test_long_addresses_are_masked_whole():
+    bi = tagger.trained()
+    for address in (
+        "ana (at) research.example (dot) org",
+        "tailmast23 (at) chstermator9 (dot) example (dot) com",
+        "ioneilouermathchtaenmaiorilst.ertaou_marina (at) ionest.org",
+    ):
+        text = f"please write to {address} for the full report of the year"
+        more = pii.added_spans([text], [pii.base_spans(text)], bi)[0]
+        assert pii.masked(text, more) == "please write to <EMAIL> for the full report of the year", address
+    # the end of a tagged span inside a label does not cut or lose the address
+    text = "ana (at) research.example (dot) org, and more"
+    assert pii._holds(text, 0, 14, "email") == pii._holds(text, 0, 25, "email") == (0, 35, "email")
+
+
 def test_merged_transforms_against_counts():
     r = random.Random(5)
     for _ in range(60):
