@@ -3,7 +3,9 @@
 A text is cut into sentences, each sentence is normalised (ASCII lower case,
 runs of anything but letters and digits as one blank) and looked up among known
 licence sentences; sentences that speak of licences but are not known stay as
-``unknown``. The sequence of identifiers is then matched against licence rules
+``unknown``. A sentence ends at punctuation or a blank line; one that is wrapped
+over several lines, with or without comment marks, is put together if it is
+known, and else each of its lines stands alone. The sequence of identifiers is then matched against licence rules
 in their order: each rule that matches takes its identifiers out of the
 sequence, so a longer rule stands before the shorter ones that it contains.
 
@@ -48,6 +50,21 @@ SENTENCES = {
     "this is free and unencumbered software released into the public domain": "unlicense-name",
     "all rights reserved": "rights-reserved",
 }
+# Published wordings in full. The SQL does not list them and looks at
+# single lines only, so on wrapped or full licence texts it says less.
+PUBLISHED = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liability",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-warranty",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2-warranty",
+    "see the license for the specific language governing permissions and limitations under the license": "apache2-see",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-name",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-name",
+    "this program is distributed in the hope that it will be useful but without any warranty": "gpl-warranty",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
+}
 # Licence rules in order; the pattern is matched against identifiers in blanks.
 RULES = (
     ("Apache-2.0", " apache2-name (?:apache2-use )?(?:apache2-copy )?"),
@@ -65,14 +82,24 @@ RULES = (
 )
 #: A word of each known sentence; others that have one are unknown licence sentences.
 TRIGGER = "licen[sc]|copyright|warrant|redistribut|permission notice|public domain|rights reserved"
-_ENDS = "[.!?;:][ \\t\\r]+|[.!?;:]?\\n+"
+_ENDS = "[.!?;:][ \\t\\r\\n]+"
 
 
 def identifiers() -> Column:
     """Identifiers of the licence sentences of ``text`` in order."""
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    sentences = SENTENCES | PUBLISHED
+    known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     normal = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    said = F.filter(F.transform(F.split("text", _ENDS), normal), lambda s: s.rlike(TRIGGER))
+
+    def lines(sentence: Column) -> Column:
+        # an empty line, or one of comment marks only, stays and parts what is around it
+        out = F.array_join(F.transform(F.split(sentence, "\n"), normal), "\n")
+        whole = out
+        for s in sorted(sentences, key=len, reverse=True):
+            whole = F.regexp_replace(whole, "(?m)^" + s.replace(" ", "[ \\n]") + "$", s)
+        return F.split(F.when(F.contains(out, F.lit("\n")), whole).otherwise(out), "\n")
+
+    said = F.filter(F.flatten(F.transform(F.split("text", _ENDS), lines)), lambda s: s.rlike(TRIGGER))
     found = F.transform(said, lambda s: F.coalesce(F.try_element_at(known, s), F.lit("unknown")))
     none = F.array().cast("array<string>")
     return F.when(F.coalesce(F.col("text").rlike(f"(?i){TRIGGER}"), F.lit(False)), found).otherwise(none)

@@ -67,6 +67,40 @@ def test_licences(spark):
     assert (got[4]["n_unknown"], got[3]["n_sentences"]) == (1, 0)
 
 
+def test_wrapped_licence_texts(spark):
+    mit = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS"""
+    bsd = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice,
+ *    this list of conditions and the following disclaimer."""
+    apache = """# Licensed under the Apache License, Version 2.0 (the
+# "License"); you may not use this file except in compliance
+# with the License. You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0"""
+    parted = "Released under the\n\nMIT license."
+    got = {r["doc_id"]: r for r in license_scan.scan(docs_of(spark, [mit, bsd, apache, parted, mit.replace("\n", "\r\n")])).collect()}
+    assert [got[i]["licenses"] for i in range(5)] == ["MIT", "BSD", "Apache-2.0", "", "MIT"]
+    assert "mit-grant,mit-notice,mit-warranty" in got[0]["sentence_ids"] and got[1]["sentence_ids"] == "bsd-grant,bsd-source"
+    assert got[2]["sentence_ids"].startswith("apache2-name,apache2-use,apache2-copy")
+
+
 def test_licences_on_awkward_rows(awkward, nothing):
     assert license_scan.scan(awkward).count() == len(ROWS) and license_scan.scan(nothing).count() == 0
 
