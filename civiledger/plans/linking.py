@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_lower, overlap, tokens
@@ -81,6 +81,25 @@ def range_containment_attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type", "user_id").agg(F.count("*").alias("expected"), F.max("present").alias("present"))
 
 
+@_R.add("""
+WITH s AS (SELECT DISTINCT event_type, CAST(ts AS DATE) AS day FROM events WHERE event_type IN ('error', 'signup')),
+p AS (SELECT event_type, user_id, min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b, count(DISTINCT CAST(ts AS DATE)) AS present FROM events GROUP BY ALL)
+SELECT event_type, user_id, count(*) AS expected, max(present) AS present FROM s JOIN p USING (event_type) WHERE day BETWEEN a AND b GROUP BY ALL""")
+def range_containment_attendance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session days within each person's first and last day, for everybody.
+
+    Both days are session days themselves, so their numbers among all of them give the count.
+    """
+    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("error", "signup")).withColumn("day", F.to_date("ts"))
+    order = Window.partitionBy("event_type").orderBy("day")
+    days = e.select("event_type", "day").filter("day IS NOT NULL").distinct().withColumn("k", F.row_number().over(order))
+    people = e.groupBy("event_type", "user_id").agg(F.min("day").alias("a"), F.max("day").alias("b"), F.countDistinct("day").alias("present"))
+    first = days.select("event_type", F.col("day").alias("a"), F.col("k").alias("ka"))
+    last = days.select("event_type", F.col("day").alias("b"), F.col("k").alias("kb"))
+    rows = people.join(first, ["event_type", "a"]).join(last, ["event_type", "b"])
+    return rows.select("event_type", "user_id", (F.col("kb") - F.col("ka") + 1).cast("bigint").alias("expected"), "present")
+
+
 @_R.add("""
 WITH p AS (SELECT lower(p_brand) || '|' || lower(p_type) || '|' || p_size AS k, min(p_partkey) AS p_partkey, count(*) > 1 AS ambiguous FROM part GROUP BY 1)
 SELECT s.s_suppkey, p.p_partkey, k AS key, ambiguous FROM (SELECT s_suppkey, 'brand#' || (s_suppkey % 25) || '|economy|' || (s_suppkey % 40 + 1) AS k FROM supplier) s JOIN p USING (k)""")

@@ -66,6 +66,12 @@ def test_anchored_buckets_hold_every_event_once(spark):
     assert all((b - a).total_seconds() >= 6 * 3600 for x in by.values() for a, b in zip(sorted(x), sorted(x)[1:], strict=False))
 
 
+def test_attendance_covers_everybody(spark, duck):
+    got = catalogue.QUERIES["range_containment_attendance_all"](spark, SF).select("event_type", "user_id").collect()
+    want = duck.execute("SELECT DISTINCT event_type, user_id FROM events WHERE event_type IN ('error', 'signup')").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_snippets_mark_a_hit(spark):
     got = catalogue.QUERIES["snippets"](spark, SF).collect()
     assert got and all("[" in r["snippet"] for r in got)
