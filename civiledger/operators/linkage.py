@@ -40,6 +40,20 @@ def scored_match(left: DataFrame, right: DataFrame, block: Column, block_right:
     return both.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").select(left_id, right_id, "score")
 
 
+def token_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, length: int, least: int) -> DataFrame:
+    """The right row whose tokens each left row shares most of, of the smaller set, by percent, then id.
+
+    Candidates share a token. Only ids and counts are shuffled, never the sets.
+    """
+    one = left.select(left_id, F.array_distinct(tokens(F.col("text"), length)).alias("x"))
+    two = right.select(right_id, F.array_distinct(tokens(F.col("text"), length)).alias("y"))
+    both = one.select(left_id, F.size("x").alias("nx"), F.explode("x").alias("w")).join(two.select(right_id, F.size("y").alias("ny"), F.explode("y").alias("w")), "w")
+    shared = both.groupBy(left_id, right_id, "nx", "ny").agg(F.count("*").alias("n"))
+    rows = shared.select(left_id, right_id, F.floor(100.0 * F.col("n") / F.least("nx", "ny") + 0.5).cast("int").alias("score")).filter(F.col("score") >= least)
+    best = rows.groupBy(left_id).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(right_id))).alias("b"))
+    return best.select(left_id, F.col(f"b.{right_id}").alias(right_id), (-F.col("b.s")).alias("score"))
+
+
 def identity_cascade(new: DataFrame, known: DataFrame, new_id: str, known_id: str, *keys: tuple[str, ...]) -> DataFrame:
     """The known id of each new row by the first of several keys that finds one, and which key it was."""
     out = new

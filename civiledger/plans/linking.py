@@ -138,6 +138,12 @@ def scored_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_row(rows, ["doc_id"], F.desc("score"), F.col("item_id"))
 
 
+@_R.add()
+def scored_fuzzy_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of any length with the item whose tokens they hold most of. It has no SQL; a test compares it by brute force."""
+    return linkage.token_match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", 5, 40)
+
+
 @_R.add("""
 WITH k AS (SELECT doc_id, sha256(text) AS h, source || '|' || n_chars AS s FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id, sha256(text) AS h, source || '|' || n_chars AS s FROM documents WHERE doc_id % 2 = 1),
 a AS (SELECT h, min(doc_id) AS i FROM k GROUP BY h), b AS (SELECT s, min(doc_id) AS i FROM k GROUP BY s)

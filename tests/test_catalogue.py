@@ -1,6 +1,8 @@
 """Every query against its SQL, or against a brute-force version where SQL has none."""
 
 import datetime
+import re
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -72,6 +74,26 @@ def test_attendance_covers_everybody(spark, duck):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_scored_match_of_any_length(spark, duck, tmp_path):
+    docs = duck.execute("(SELECT doc_id, text FROM documents WHERE length(text) < 1000 ORDER BY doc_id LIMIT 60) UNION ALL (SELECT doc_id, text FROM documents WHERE length(text) >= 1000 ORDER BY doc_id LIMIT 60)").fetchall()
+    items = duck.execute("SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 50").fetchall()
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: (r["item_id"], r["score"]) for r in catalogue.QUERIES["scored_fuzzy_match_all"](spark, str(tmp_path)).collect()}
+
+    def words(text):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        return {w for w in re.split("[^a-z0-9]+", plain.lower()) if len(w) >= 5}
+
+    sets, want = {i: words(t) for i, t in items}, {}
+    for d, t in docs:
+        x = words(t)
+        scores = [(-int(100 * len(x & y) / min(len(x), len(y)) + 0.5), i) for i, y in sets.items() if x and y]
+        if scores and -min(scores)[0] >= 40:
+            want[d] = (min(scores)[1], -min(scores)[0])
+    assert got == want and any(len(t) >= 1000 and d in got for d, t in docs)
+
+
 def test_snippets_mark_a_hit(spark):
     got = catalogue.QUERIES["snippets"](spark, SF).collect()
     assert got and all("[" in r["snippet"] for r in got)
