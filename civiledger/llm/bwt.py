@@ -1,120 +1,183 @@
-"""Burrows-Wheeler transforms of string collections and their merging.
-
-A shard's strings are sorted as rotations, each behind a terminator of its own
-string. Shards are merged without sorting suffixes again: their interleave, at
-first one shard after another, is refined by one symbol a round, as a stable
-sort by the transforms' symbols, followed to the suffixes that those symbols
-begin, puts suffixes in order of one symbol more. Blocks of the interleave are
-suffixes with a common prefix of as many symbols as there were rounds; those of
-two or more are repeated intervals.
-
-A symbol is one byte, or two where the depth is even: then each string stands
-for two, those of its even and of its odd places, and half the rounds do.
+"""Burrows-Wheeler transforms of shards of a string collection, merged by refining their interleave.
+
+A symbol is a word of ``WIDTH`` bytes together with its distance from its
+string's anchor (and the string's group), so only stretches at equal distances
+from the anchors of one group are ever compared. A string stands for ``WIDTH``
+sequences of words, one for each place modulo ``WIDTH``.
+
+Each shard is sorted on its own: suffixes by their words, from the ends on. Its
+transform is the word before each suffix in that order, and ``earlier`` leads
+from each suffix to the one that begins with this word (the step of a backward
+search). Shards are merged without sorting suffixes again. The interleave is
+held as blocks, and of each block and shard the interval of the shard's order:
+because a shard is sorted, the suffixes that begin with one word before a block
+are again an interval of it. At first a block is all that stands at one
+distance; each round splits the blocks by the word before them and so makes the
+common prefix one word longer. A block is open while it has two suffixes and one
+that is not known as repeated; all others are closed for good, as whatever
+begins earlier is as single. The round in which a block closes is the length of
+its common prefix; blocks open at the full depth are the repeated intervals.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
-#: Symbols of a shard.
-SHARD_SYMBOLS = 1 << 17
-
-
-class Shard:
-    """Suffix order, transform and the step from each suffix to the one that begins a symbol earlier."""
-
-    def __init__(self, symbols: np.ndarray, lengths: np.ndarray):
-        """``symbols`` of all strings with their terminators (0); ``lengths`` count those in."""
-        n = len(symbols)
-        ends = np.cumsum(lengths) - 1
-        starts = ends - lengths + 1
-        after = np.arange(1, n + 1)
-        after[ends] = starts
-        before = np.arange(-1, n - 1)
-        before[starts] = ends
-        wide = symbols.astype(np.int64)
-        key, jump, seen, longest = wide << 16 | wide[after], after[after], 2, int(lengths.max(initial=1))
-        while True:
-            order = np.argsort(key, kind="stable")
-            new = np.concatenate([[False], key[order][1:] != key[order][:-1]])
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new)
-            if seen >= longest or int(rank[order[-1]]) == n - 1:
-                break
-            key = rank * n + rank[jump]
-            jump, seen = jump[jump], 2 * seen
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        self.order, self.transform, self.earlier = order, symbols[before[order]], place[before[order]]
-
-
-def _symbols(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Symbols of all strings, the length of each sequence, and the byte at which each symbol starts."""
-    raw = np.frombuffer(b"".join(strings), np.uint8)
-    code = raw.astype(np.int32) + 1
-    if width == 2:
-        code = code * 257 + np.append(code[1:], 0)
-        ends = np.cumsum([len(s) for s in strings]) - 1
-        ends = ends[[len(s) > 0 for s in strings]] if len(raw) else ends[:0]
-        code[ends] = (raw[ends].astype(np.int32) + 1) * 257  # nothing follows the last byte
-        used, code = np.unique(code, return_inverse=True)
-        if len(used) >= 1 << 16:
-            return None
-        code = code + 1
-    parts, places, lengths, a = [], [], [], 0
-    zero = np.zeros(1, np.int32)
-    for s in strings:
-        for phase in range(width):
-            part = code[a + phase : a + len(s) : width]
-            parts += [part, zero]
-            places += [np.arange(a + phase, a + len(s), width), zero - 1]
-            lengths.append(len(part) + 1)
-        a += len(s)
-    return np.concatenate(parts).astype(np.uint16), np.array(lengths), np.concatenate(places)
-
-
-def repeated(strings: list[bytes], depth: int, shard_symbols: int = SHARD_SYMBOLS) -> list[np.ndarray]:
-    """For each string, the offsets at which a substring of ``depth`` bytes begins that begins elsewhere in the collection too.
-
-    The strings are distinct.
+WIDTH = 8
+#: Bytes of strings in a shard.
+SHARD_BYTES = 1 << 18
+
+
+@dataclass
+class Shards:
+    """The suffixes of all shards, column by column, in each shard's order within a column.
+
+    ``place`` is the byte at which a suffix starts, ``block`` its column and
+    group, ``shard`` its shard, ``transform`` the word before it (0: none),
+    ``earlier`` the suffix that begins with that word.
+    """
+
+    place: np.ndarray
+    block: np.ndarray
+    shard: np.ndarray
+    transform: np.ndarray
+    earlier: np.ndarray
+
+
+def _sorted(*keys: np.ndarray) -> np.ndarray:
+    """Stable order by the first key, then the second and so on; keys are not negative."""
+    bits = [int(k.max(initial=0)).bit_length() for k in keys]
+    if sum(bits) > 62:
+        return np.lexsort(keys[::-1])
+    whole = keys[0].astype(np.int64)
+    for k, b in zip(keys[1:], bits[1:], strict=True):
+        whole = (whole << b) | k
+    return np.argsort(whole, kind="stable")
+
+
+def _by_symbol(symbol: np.ndarray, top: int) -> np.ndarray:
+    """Stable order of symbols, by distribution of 16 bits at a time."""
+    if top < 1 << 16:
+        return np.argsort(symbol.astype(np.uint16), kind="stable")
+    order = np.argsort((symbol & 0xFFFF).astype(np.uint16), kind="stable")
+    return order[np.argsort((symbol[order] >> 16).astype(np.uint16), kind="stable")]
+
+
+def transforms(raw: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, groups: np.ndarray, shards: np.ndarray) -> Shards:
+    """Sort each shard and transform it. Strings lie side by side in ``raw``."""
+    # a suffix may be empty: one place more than bytes for each string
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+    firsts = np.cumsum(sizes + 1) - sizes - 1
+    at = np.arange(len(owner)) - firsts[owner]
+    byte = np.cumsum(sizes) - sizes
+    left = sizes[owner] - at
+    padded = np.concatenate([raw, np.zeros(WIDTH, np.uint8)])
+    word = np.zeros(len(owner), np.int64)
+    full = left >= WIDTH
+    view = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    used, code = np.unique(view[(byte[owner] + at)[full]], return_inverse=True)
+    word[full] = code + 1
+    column = at + (int(anchors.max(initial=0)) - anchors)[owner]
+    step, phase = column // WIDTH, column % WIDTH
+    ahead = np.zeros(len(owner), np.int64)  # rank of the suffix one word later
+    order = np.argsort(step, kind="stable")
+    ends = np.searchsorted(step[order], np.arange(int(step.max(initial=-1)) + 2))
+    kind = (groups[owner] * WIDTH + phase) * (int(shards.max(initial=0)) + 1) + shards[owner]
+    suffix = np.zeros(len(owner), np.int64)
+    for t in range(len(ends) - 2, -1, -1):
+        here = order[ends[t] : ends[t + 1]]
+        here = here[_sorted(kind[here], word[here], ahead[here])]
+        suffix[ends[t] : ends[t + 1]] = here
+        rank = np.arange(1, len(here) + 1)
+        has = at[here] >= WIDTH
+        ahead[here[has] - WIDTH] = rank[has]
+    number = np.empty(len(owner), np.int64)
+    number[suffix] = np.arange(len(suffix))
+    has = at[suffix] >= WIDTH
+    before = suffix[has] - WIDTH
+    transform, earlier = np.zeros(len(suffix), np.int32), np.zeros(len(suffix), np.int32)
+    transform[has], earlier[has] = word[before], number[before]
+    blocks = step[suffix] * (int(groups.max(initial=0)) + 1) * WIDTH + groups[owner[suffix]] * WIDTH + phase[suffix]
+    return Shards(suffix, blocks, shards[owner[suffix]].astype(np.int32), transform, earlier)
+
+
+def merged(shards: Shards, known: np.ndarray, depth: int) -> tuple[np.ndarray, list[int]]:
+    """Suffixes in blocks with a common prefix of ``depth`` bytes, and the open suffixes in each round.
+
+    ``known`` marks suffixes whose repeats are known already: they keep blocks
+    open for others only.
     """
-    if not strings:
-        return []
-    width = 2 if depth % 2 == 0 else 1
-    got = _symbols(strings, width)
-    if got is None:
-        width = 1
-        got = _symbols(strings, width)
-    symbols, lengths, places = got
-    ends = np.cumsum(lengths)
-    n = int(ends[-1])
-    orders, transforms, steps, base, at = [], [], [], 0, 0
-    while at < len(lengths):
-        to = max(at + 1, int(np.searchsorted(ends, base + shard_symbols, side="right")))
-        top = int(ends[to - 1])
-        shard = Shard(symbols[base:top], lengths[at:to])
-        orders.append(shard.order + base)
-        transforms.append(shard.transform)
-        steps.append(shard.earlier + base)
-        base, at = top, to
-    order, transform, earlier = np.concatenate(orders), np.concatenate(transforms), np.concatenate(steps).astype(np.int32)
-    merged, block = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
-    cut = np.zeros(n, bool)
-    for _ in range(depth // width):
-        symbol = transform[merged]
-        sorted_ = np.argsort(symbol, kind="stable")
-        symbol, block = symbol[sorted_], block[sorted_]
-        merged = earlier[merged[sorted_]]
-        np.not_equal(block[1:], block[:-1], out=cut[1:])
-        cut[1:] |= symbol[1:] != symbol[:-1]
-        block = np.cumsum(cut, dtype=np.int32)
-        if int(block[-1]) == n - 1:  # all suffixes differ
-            return [np.zeros(0, np.int64) for _ in strings]
-    hits = places[order[merged[np.bincount(block)[block] > 1]]]
-    sizes = np.array([len(s) for s in strings])
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    hits = np.sort(hits[hits >= 0])
-    owner = np.searchsorted(starts, hits, side="right") - 1
-    hits = hits[starts[owner] + sizes[owner] - hits >= depth]
-    cuts = np.searchsorted(hits, starts)
-    return [hits[a:b] - s for a, b, s in zip(cuts[:-1], cuts[1:], starts[:-1], strict=True)]
+    top = int(shards.transform.max(initial=0))
+    change = lambda x: np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
+
+    fresh = (~known).astype(np.int32)
+
+    def opened(starts: np.ndarray, new: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Intervals (first suffix, size, block) of the blocks that stay open; ``at`` are the suffixes by block, then shard."""
+        heads = np.flatnonzero(starts)
+        if not len(heads):
+            return at[:0], at[:0], at[:0]
+        tails = np.append(heads[1:], len(at)) - 1
+        upto = np.cumsum(fresh[at], dtype=np.int32)
+        good = (tails > heads) & (upto[tails] - upto[heads] + fresh[at[heads]] > 0)
+        begins = np.flatnonzero(new)
+        size = np.diff(np.append(begins, len(at))).astype(np.int32)
+        number = np.cumsum(starts[begins], dtype=np.int32) - 1
+        stay = good[number]
+        return at[begins[stay]], size[stay], number[stay]
+
+    every = np.arange(len(shards.place), dtype=np.int32)
+    starts = change(shards.block)
+    first, size, block = opened(starts, starts | change(shards.shard), every)
+    sizes = []
+    for _ in range(depth // WIDTH):
+        total = int(size.sum())
+        sizes.append(total)
+        if not total:
+            break
+        interval = np.repeat(every[: len(size)], size)
+        at = every[:total] + np.repeat(first - (np.cumsum(size, dtype=np.int32) - size), size)
+        symbol = shards.transform[at]
+        has = np.flatnonzero(symbol)
+        symbol = symbol[has]
+        order = _by_symbol(symbol, top)
+        symbol, order = symbol[order], has[order]
+        interval = interval[order]
+        other = change(symbol)
+        new = other | change(interval)
+        # a shard's suffixes that one word puts before an interval are an interval: its first one and its size say all
+        begins = np.flatnonzero(new)
+        lengths = np.diff(np.append(begins, len(order)))
+        heads = shards.earlier[at[order[begins]]]
+        own = block[interval[begins]]
+        starts = np.zeros(len(order), bool)
+        starts[begins] = other[begins] | change(own)
+        first, size, block = opened(starts, new, every[: len(order)] + np.repeat(heads - begins.astype(np.int32), lengths))
+    total = int(size.sum())
+    out = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(total) if total else np.zeros(0, np.int64)
+    return out, [*sizes, total]
+
+
+def repeated(strings: list[bytes], anchors: np.ndarray, groups: np.ndarray, known: np.ndarray, depth: int, n_shards: int | None = None) -> list[np.ndarray]:
+    """For each string, the starts of ``depth`` bytes that another string of its group has at the same distance from its anchor.
+
+    Strings of a group that are ``known`` as repeated answer nothing themselves.
+    Groups are numbered from 0 on and lie together. ``depth`` is a multiple of
+    ``WIDTH``.
+    """
+    if depth % WIDTH:
+        raise ValueError(f"depth must be a multiple of {WIDTH}")
+    sizes = np.array([len(s) for s in strings], np.int64)
+    if not sizes.sum():
+        return [np.zeros(0, np.int64) for _ in strings]
+    raw = np.frombuffer(b"".join(strings), np.uint8)
+    n = n_shards or max(2, -(-len(raw) // SHARD_BYTES))
+    found = transforms(raw, sizes, anchors, groups, np.arange(len(sizes)) % n)
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)[found.place]
+    hits, _ = merged(found, known[owner], depth)
+    hits = np.sort(found.place[hits[~known[owner[hits]]]])
+    firsts = np.cumsum(sizes + 1) - sizes - 1
+    cuts = np.searchsorted(hits, np.append(firsts, len(owner)))
+    return [hits[a:b] - s for a, b, s in zip(cuts[:-1], cuts[1:], firsts, strict=True)]

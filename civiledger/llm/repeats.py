@@ -8,17 +8,16 @@ only where a comparison is open:
    grams. Windows in a row with the same least gram form a run; equal windows
    have the same gram at the same place, so a run whose gram occurs nowhere else
    holds no repeat and goes no further.
-2. Runs with equal bytes are counted before anything is sent. Equal runs are
-   repeats as a whole.
-3. Runs with the same gram that differ are cut into parts of ``PART`` starts,
-   aligned at the gram. All windows of a part hold its core; parts with a core
-   of their own are done, equal parts are repeats.
-4. What is left straddles the edges of repeats. Parts with the same core are
-   brought together, shards of them are sorted, their transforms are merged by
-   interleave refinement, and the intervals of common prefixes of ``DEPTH``
-   bytes are the repeats. Tasks take bounded chunks of whole groups; a group of
-   more than ``MOST_PARTS`` parts is taken window by window, as counts of equal
-   windows, so none is ever gathered in one task.
+2. Runs with equal bytes are repeats as a whole; one of them goes on.
+3. The distinct runs of a gram, anchored at it, are dealt to shards. Each shard is
+   sorted and transformed, the transforms are merged by interleave refinement,
+   and the intervals of common prefixes of ``DEPTH`` bytes are the repeats. Tasks
+   take bounded chunks of whole groups.
+4. A gram with more than ``GROUP_STRINGS`` distinct runs is divided exactly before
+   the merge: its runs are cut into parts of 16 starts, aligned at the gram, and
+   grouped by the core that all windows of a part hold; groups still too large
+   are cut into parts of 4 starts, then 1, where equal cores are equal parts. So
+   no group of any size is ever gathered in one task.
 
 Documents are read by partition; gathered for one document is only what its own
 length bounds.
@@ -44,11 +43,14 @@ from pyspark.sql import functions as F
 from .bwt import repeated
 from .common import documents, pick, stored
 
-DEPTH, GRAM, PART = 200, 32, 16
+DEPTH, GRAM = 200, 32
 #: Bytes of texts that are scanned at once; longer texts go in overlapping slabs.
 SLAB = 1 << 20
-CHUNK_BYTES = 1 << 20
-MOST_PARTS = 4096
+#: Bytes of whole groups that are merged at once, and strings of a group that one task takes without cutting them finer.
+CHUNK_BYTES = 1 << 17
+GROUP_STRINGS = 1024
+#: Starts of the parts into which the strings of larger groups are cut, in turn.
+FINER = (16, 4, 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -159,17 +161,18 @@ def _same_text(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tag"] == b["tag"])
 
 
-_PIECES = "doc_id bigint, tag bigint, first bigint, gram bigint, copies bigint, bytes binary, parts array<struct<j:bigint,core:bigint,part:bigint,at:bigint,n:bigint>>"
+#: Strings that the merge compares: their group, how many it has, place in the text, place of the gram from there, whether their repeats are known.
+_STRINGS = "key bigint, kinds bigint, doc_id bigint, tag bigint, at bigint, gram_at bigint, known boolean, bytes binary"
+_COLUMNS = [c.split()[0] for c in _STRINGS.split(", ")]
+_FOUND = "doc_id bigint, tag bigint, at bigint, n bigint"
 
 
-def cut_parts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the wanted runs and their aligned parts."""
-    lists = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "n", "gram_at", "gram", "copies")).alias("runs"))
+def cut_runs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bytes of the wanted runs, grouped by their gram."""
+    lists = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "n", "gram_at", "gram", "kinds", "copies")).alias("runs"))
     texts = docs.join(lists, _same_text(docs, lists)).select(docs["doc_id"], docs["tag"], "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = xxhash.xxh3_64_intdigest
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -177,52 +180,79 @@ def cut_parts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for doc_id, tag, text, found in zip(*[part.column(i).to_pylist() for i in range(4)], strict=True):
                     raw = text.encode()
                     for r in found:
-                        first, n, gram_at = r["first"], r["n"], r["gram_at"]
-                        middle, parts = first + gram_at, []
-                        for j in range((gram_at - n + 1) // PART, gram_at // PART + 1):
-                            a = max(first, middle - PART * j - PART + 1)
-                            b = min(first + n - 1, middle - PART * j)
-                            core = hashed(raw[middle - PART * j : middle - PART * j - PART + 1 + DEPTH])
-                            parts.append({"j": j, "core": signed(core), "part": signed(hashed(raw[a : b + DEPTH], a - middle & 0xFFFF)), "at": a, "n": b - a + 1})
-                        rows.append((doc_id, tag, first, r["gram"], r["copies"], raw[first : first + n + DEPTH - 1], parts))
-                names = [c.split()[0] for c in _PIECES.split(", ")]
-                kinds = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.struct([(x, pa.int64()) for x in ("j", "core", "part", "at", "n")]))]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows.append((r["gram"], r["kinds"], doc_id, tag, r["first"], r["gram_at"], r["copies"] > 1, raw[r["first"] : r["first"] + r["n"] + DEPTH - 1]))
+                kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _COLUMNS)
 
-    return texts.mapInArrow(run, _PIECES)
+    return texts.mapInArrow(run, _STRINGS)
 
 
-def merged_repeats(parts: DataFrame) -> DataFrame:
-    """doc_id, tag, at, n: repeated starts of the distinct parts (…, bytes, once) of whole groups (gram, j, core), by merging transforms."""
-    grouped = parts.select("gram", "j", "core", "doc_id", "tag", "at", "once", "bytes").repartition("gram", "j", "core").sortWithinPartitions("gram", "j", "core")
+def finer(strings: DataFrame, starts: int) -> tuple[DataFrame, DataFrame]:
+    """Cut strings into parts of ``starts`` starts, aligned at the gram, and group those with the same core.
+
+    All windows of a part hold its core, and equal windows lie in the same part of
+    their strings, so only parts with the same core can share any. Gives what
+    equal parts settle (doc_id, tag, at, n) and one string for each distinct part.
+    """
+    hashed = xxhash.xxh3_64_intdigest
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = []
+                for key, _, doc_id, tag, first, gram_at, known, raw in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns], strict=True):
+                    n = len(raw) - DEPTH + 1
+                    for j in range((gram_at - n + 1) // starts, gram_at // starts + 1):
+                        a, b = max(0, gram_at - starts * j - starts + 1), min(n - 1, gram_at - starts * j)
+                        core = hashed(raw[gram_at - starts * j : gram_at - starts * j - starts + 1 + DEPTH], (key ^ j) & 0xFFFFFFFFFFFFFFFF)
+                        part = raw[a : b + DEPTH]
+                        rows.append((signed(core), signed(hashed(part, (a - gram_at) & 0xFFFF)), doc_id, tag, first + a, gram_at - a, known, part))
+                kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "part", *_COLUMNS[2:]])
+
+    parts = stored(strings.mapInArrow(run, _STRINGS.replace("kinds", "part")), "repeat-parts")
+    equal = parts.groupBy("key", "part").agg(
+        (F.max("known") | (F.count("*") > 1)).alias("known"), F.min(F.struct("doc_id", "tag", "at", "gram_at", "bytes")).alias("one")
+    )
+    equal = stored(equal, "repeat-equal-parts")
+    lone = parts.filter("NOT known").drop("known")
+    settled = lone.join(equal.filter("known").select("key", "part"), ["key", "part"])
+    cores = equal.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    left = equal.join(cores, "key").select("key", "kinds", "one.doc_id", "one.tag", "one.at", "one.gram_at", "known", "one.bytes")
+    return settled.select("doc_id", "tag", "at", (F.length("bytes") - (DEPTH - 1)).cast("bigint").alias("n")), left
+
+
+def merged_repeats(strings: DataFrame) -> DataFrame:
+    """doc_id, tag, at, n: repeated starts of strings that are not known yet, from whole groups, by merging transforms."""
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        found, out = repeated([r[7] for r in rows], DEPTH), []
+        keys = np.array([r[0] for r in rows])
+        known = np.array([r[6] for r in rows])
+        found = repeated([r[7] for r in rows], np.array([r[5] for r in rows]), np.unique(keys, return_inverse=True)[1], known, DEPTH)
+        out = []
         for r, starts in zip(rows, found, strict=True):
-            if r[6] and len(starts):
-                breaks = np.flatnonzero(np.diff(starts) != 1) + 1
-                for s in np.split(starts, breaks):
-                    out.append((r[3], r[4], r[5] + int(s[0]), len(s)))
+            if len(starts):
+                for s in np.split(starts, np.flatnonzero(np.diff(starts) != 1) + 1):
+                    out.append((r[2], r[3], r[4] + int(s[0]), len(s)))
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], ["doc_id", "tag", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        held, last, seen = 0, None, set()
+        held, last = 0, None
         for batch in batches:
-            for r in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
-                if r[:3] != last:
+            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if r[0] != last:
                     if held >= CHUNK_BYTES:
                         yield flush(rows)
-                        rows, held, seen = [], 0, set()
-                    last = r[:3]
-                if r[7] not in seen:  # the same bytes under another name: a hash cannot tell, the merge needs distinct strings
-                    seen.add(r[7])
-                    rows.append(r)
-                    held += len(r[7])
+                        rows, held = [], 0
+                    last = r[0]
+                rows.append(r)
+                held += len(r[7])
         if rows:
             yield flush(rows)
 
-    return grouped.mapInArrow(run, "doc_id bigint, tag bigint, at bigint, n bigint")
+    return strings.repartition("key").sortWithinPartitions("key").mapInArrow(run, _FOUND)
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
@@ -237,32 +267,18 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
         live.groupBy("gram", "run", "kinds").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "tag", "first", "n", "gram_at")).alias("one")), "repeat-equal"
     )
     many = equal.filter("copies > 1").select("gram", "run")
-    whole = live.join(many, ["gram", "run"]).select("doc_id", "tag", F.col("first").alias("at"), "n")
-
-    wanted = equal.filter("kinds > 1").select("one.*", "gram", "copies")
-    pieces = stored(cut_parts(docs, wanted), "repeat-pieces")
-    parts = pieces.select("doc_id", "tag", "first", "gram", "copies", F.inline("parts"))
-    key = ["gram", "j", "core", "part"]
-    same = parts.groupBy(*key).agg(F.sum("copies").alias("c"), F.min(F.struct("doc_id", "tag", "first", "at", "n")).alias("one"))
-    cores = same.groupBy("gram", "j", "core").agg(F.count("*").alias("kinds"))
-    same = stored(same.join(cores, ["gram", "j", "core"]), "repeat-parts")
-    alike = parts.filter("copies = 1").join(same.filter("c > 1").select(*key), key).select("doc_id", "tag", "at", "n")
-
-    open_ = same.filter("kinds > 1").select("gram", "j", "core", "kinds", "c", "one.*")
-    rows = pieces.select("doc_id", "tag", "first", "gram", "bytes")
-    hit = rows["doc_id"].eqNullSafe(open_["doc_id"]) & (rows["tag"] == open_["tag"]) & (rows["first"] == open_["first"]) & (rows["gram"] == open_["gram"])
-    open_ = rows.join(open_, hit).select(
-        open_["gram"], "j", "core", "kinds", rows["doc_id"], rows["tag"], "at", "n", (F.col("c") == 1).alias("once"), "c",
-        F.substring("bytes", (F.col("at") - rows["first"] + 1).cast("int"), (F.col("n") + (DEPTH - 1)).cast("int")).alias("bytes"),
-    )
-    open_ = stored(open_, "repeat-open")
-    merged = merged_repeats(open_.filter(F.col("kinds") <= MOST_PARTS))
-
-    wide = open_.filter(F.col("kinds") > MOST_PARTS).select("gram", "doc_id", "tag", "at", "c", "bytes", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"))
-    wide = wide.select("gram", "doc_id", "tag", (F.col("at") + F.col("i")).alias("at"), "c", F.md5(F.expr(f"substring(bytes, i + 1, {DEPTH})")).alias("window"))
-    twice = wide.groupBy("gram", "window").agg(F.sum("c").alias("n")).filter("n > 1")
-    by_window = wide.filter("c = 1").join(twice.select("gram", "window"), ["gram", "window"]).select("doc_id", "tag", "at", F.lit(1).cast("bigint").alias("n"))
-    return whole.union(alike).union(merged).union(by_window)
+    found = live.join(many, ["gram", "run"]).select("doc_id", "tag", F.col("first").alias("at"), "n")
+
+    strings = stored(cut_runs(docs, equal.filter("kinds > 1").select("one.*", "gram", "kinds", "copies")), "repeat-strings")
+    for starts in FINER:
+        found = found.union(merged_repeats(strings.filter(F.col("kinds") <= GROUP_STRINGS)))
+        strings = strings.filter(F.col("kinds") > GROUP_STRINGS)
+        if strings.isEmpty():
+            return found
+        settled, strings = finer(strings, starts)
+        strings = stored(strings, "repeat-strings")
+        found = found.union(settled)
+    return found  # parts of one start are equal if they have the same core: nothing is left
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

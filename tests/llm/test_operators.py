@@ -275,14 +275,56 @@ def test_long_addresses_are_masked_whole():
     assert pii._holds(text, 0, 14, "email") == pii._holds(text, 0, 25, "email") == (0, 35, "email")
 
 
+def anchored_strings(r):
+    """Stretches of edited copies of one text, groups and anchors."""
+    letters, n = r.choice([b"a", b"ab", b"abc\0"]), r.randint(1, 12)
+    base = bytes(r.choice(letters) for _ in range(r.randint(1, 90)))
+    strings, anchors = [], []
+    for _ in range(n):
+        copy = bytearray(base)
+        for _ in range(r.randint(0, 2)):
+            copy[r.randrange(len(copy))] = r.choice(letters)
+        a = r.randint(0, len(copy))
+        strings.append(bytes(copy[a : r.randint(a, len(copy))]))
+        anchors.append(r.choice([60, 90]) - a)
+    groups = np.unique(np.sort([r.randint(0, 2) for _ in range(n)]), return_inverse=True)[1]
+    return strings, np.array(anchors), groups, np.array([r.random() < 0.3 for _ in range(n)])
+
+
 def test_merged_transforms_against_counts():
     r = random.Random(5)
-    for _ in range(60):
-        depth = r.choice([1, 2, 3, 5, 8])
-        strings = sorted({bytes(r.choice(b"abc") for _ in range(r.randint(0, 30))) for _ in range(r.randint(1, 25))})
-        seen = collections.Counter(s[i : i + depth] for s in strings for i in range(len(s) - depth + 1))
-        want = [[i for i in range(len(s) - depth + 1) if seen[s[i : i + depth]] > 1] for s in strings]
-        assert [g.tolist() for g in bwt.repeated(strings, depth, r.choice([10, 40, 1000]))] == want
+    for _ in range(150):
+        strings, anchors, groups, known = anchored_strings(r)
+        depth = 8 * r.randint(1, 4)
+        seen = collections.Counter((g, i - a, s[i : i + depth]) for s, a, g in zip(strings, anchors, groups, strict=True) for i in range(len(s) - depth + 1))
+        want = [
+            [] if k else [i for i in range(len(s) - depth + 1) if seen[g, i - a, s[i : i + depth]] > 1]
+            for s, a, g, k in zip(strings, anchors, groups, known, strict=True)
+        ]
+        for shards in (1, 2, 3):
+            assert [x.tolist() for x in bwt.repeated(strings, anchors, groups, known, depth, shards)] == want
+
+
+def test_the_merge_needs_sorted_shards_and_stops_by_itself():
+    """Shards in any other order give wrong repeats; without common prefixes refinement ends early."""
+    r = random.Random(6)
+    strings = [bytes(r.choice(b"abcd") for _ in range(r.randint(30, 60))) for _ in range(6)]
+    strings += [s[:20] + s[24:] for s in strings] + [s[:9] + b"x" + s[10:] for s in strings]
+    sizes, anchors, groups = np.array([len(s) for s in strings]), np.zeros(18, int), np.zeros(18, int)
+    made = bwt.transforms(np.frombuffer(b"".join(strings), np.uint8), sizes, anchors, groups, np.arange(18) % 2)
+    right, rounds = bwt.merged(made, np.zeros(len(made.place), bool), 16)
+    assert len(right) and rounds == sorted(rounds, reverse=True)
+    # the same columns and shards, but no order of suffixes within them
+    mixed = np.lexsort([np.random.default_rng(1).random(len(made.place)), made.shard, made.block])
+    back = np.empty_like(mixed)
+    back[mixed] = np.arange(len(mixed))
+    wrong = bwt.Shards(made.place[mixed], made.block[mixed], made.shard[mixed], made.transform[mixed], back[made.earlier[mixed]].astype(np.int32))
+    got, _ = bwt.merged(wrong, np.zeros(len(made.place), bool), 16)
+    assert sorted(wrong.place[got]) != sorted(made.place[right])
+    apart = [bytes(r.choice(range(256)) for _ in range(300)) for _ in range(4)]
+    made = bwt.transforms(np.frombuffer(b"".join(apart), np.uint8), np.full(4, 300), np.zeros(4, int), np.zeros(4, int), np.arange(4) % 2)
+    hits, rounds = bwt.merged(made, np.zeros(len(made.place), bool), 200)
+    assert not len(hits) and len(rounds) < 5
 
 
 def plain_removal(texts, depth=repeats.DEPTH):
@@ -300,9 +342,9 @@ def plain_removal(texts, depth=repeats.DEPTH):
     return out
 
 
-@pytest.mark.parametrize("most", [repeats.MOST_PARTS, 1])
+@pytest.mark.parametrize("most", [repeats.GROUP_STRINGS, 4, 1])
 def test_repeats_against_a_plain_count(spark, most, monkeypatch):
-    monkeypatch.setattr(repeats, "MOST_PARTS", most)
+    monkeypatch.setattr(repeats, "GROUP_STRINGS", most)
     monkeypatch.setattr(repeats, "CHUNK_BYTES", 3000)
     r, passage = random.Random(2), prose(90, 70)
     texts = [prose(i, 60) + passage[r.randint(0, 60) :] + prose(100 + i, 30) for i in range(14)]
