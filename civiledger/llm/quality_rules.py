@@ -3,11 +3,14 @@
 No rule holds a fixed cutoff. Each metric of each (language, source) group is
 summarised by a mergeable quantile sketch: counts of values rounded down to
 seven significant bits, so a quantile is off by less than 1/64 of its value and
-two sketches merge by adding counts. Groups of under ``MIN_GROUP`` documents
-take the merged sketch of their language, small languages that of all
-documents. The fences are ``q25 - SPREADS * spread`` and ``q75 + SPREADS *
-spread`` with ``spread`` the distance of the quartiles (at least the metric's
-``unit``); a join on language and source then filters the documents.
+two sketches merge by adding counts. Rates count one event more than seen, over
+one place more, so that a short text's rate spreads as widely as it is uncertain.
+A group's sketch is joined by ``PRIOR`` documents' weight of its language's
+sketch, a language's by as much of that of all documents: small groups lean on
+their parents, large ones stand for themselves, and nothing switches at a size.
+The fences are ``SPREADS`` quartile distances beyond the quartiles (a distance
+is at least the sketch's resolution); a join on language and source then filters
+the documents.
 
 Cases: a null or empty text has no words and fails the base rule. Null
 languages and sources are groups of their own. Repeated rows count and are
@@ -25,16 +28,18 @@ from .common import documents, pick, stored
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
-MIN_GROUP = 100
-SPREADS = 4
-#: metric: (integer expression over the features, least spread, whether low values are outliers too)
+PRIOR = 100
+SPREADS = 8
+#: Integer parts that a sketch's weights are counted in.
+UNIT = 1_000_000
+#: metric: (integer expression over the features, in hundred-thousandths, whether low values are outliers too)
 METRICS = {
-    "symbol_rate": ("n_symbols * 1000 div n_words", 25, False),
-    "dup_line_rate": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 75, False),
-    "repeat_rate": ("n_repeat_words * 1000 div n_words", 60, False),
-    "stutter_rate": ("n_stutter * 1000 div n_words", 40, False),
-    "upper_rate": ("n_upper * 1000 div greatest(word_chars, 1)", 40, False),
-    "word_length": ("word_chars * 100 div n_words", 60, True),
+    "symbol_rate": ("(n_symbols + 1) * 100000 div (n_words + 1)", False),
+    "dup_line_rate": ("(n_dup_lines + 1) * 100000 div (n_lines + 1)", False),
+    "repeat_rate": ("(n_repeat_words + 8) * 100000 div (n_words + 8)", False),
+    "stutter_rate": ("(n_stutter + 1) * 100000 div (n_words + 1)", False),
+    "upper_rate": ("(n_upper + 1) * 100000 div (word_chars + 1)", False),
+    "word_length": ("word_chars * 100000 div n_words", True),
 }
 _SPACE = r"[\\x20\\x09-\\x0D]+"
 _FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutter", "n_upper")
@@ -81,7 +86,7 @@ def base_failed():
 
 
 def _metrics(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({m: F.when(F.col("n_words") > 0, F.expr(e)) for m, (e, _, _) in METRICS.items()})
+    return rows.withColumns({m: F.when(F.col("n_words") > 0, F.expr(e)) for m, (e, _) in METRICS.items()})
 
 
 def sketches(rows: DataFrame) -> DataFrame:
@@ -92,37 +97,39 @@ def sketches(rows: DataFrame) -> DataFrame:
     return cells.withColumn("bucket", F.expr(f"shiftleft(shiftright(value, {shift}), {shift})")).groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source, and low and high fences of each metric, from the group's sketch or the merged one that stands in for it."""
+def _limits(sketch: str, div: str) -> str:
+    """SQL for lang, source and the fences of each metric, out of the groups' sketches (lang, source, metric, bucket, n)."""
+    spread = f"greatest(q75 - q25, q75 {div} 64 + 1)"
     fences = ", ".join(
-        f"max(CASE WHEN metric = '{m}' THEN q75 + {SPREADS} * greatest(q75 - q25, {unit}) END) AS {m}_high"
-        + (f", max(CASE WHEN metric = '{m}' THEN q25 - {SPREADS} * greatest(q75 - q25, {unit}) END) AS {m}_low" if low else "")
-        for m, (_, unit, low) in METRICS.items()
-    )
-    names = [f"{m}_high" for m in METRICS] + [f"{m}_low" for m, x in METRICS.items() if x[2]]
-    chosen = ", ".join(f"CASE WHEN g.n >= {MIN_GROUP} THEN g.{c} WHEN l.n >= {MIN_GROUP} THEN l.{c} ELSE a.{c} END AS {c}" for c in names)
-    return sketch.sparkSession.sql(
-        f"""
-        WITH merged AS (
-          SELECT 2 * grouping(lang) + grouping(source) AS level, lang, source, metric, bucket, sum(n) AS n FROM {{sketch}}
-          GROUP BY GROUPING SETS ((lang, source, metric, bucket), (lang, metric, bucket), (metric, bucket))
-        ), ranked AS (
-          SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto,
-                 sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM merged
-        ), quartiles AS (
-          SELECT level, lang, source, metric, max(total) AS total,
-                 min(CASE WHEN 4 * upto >= total THEN bucket END) AS q25,
-                 min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q75
-          FROM ranked GROUP BY level, lang, source, metric
-        ), fences AS (
-          SELECT level, lang, source, max(total) AS n, {fences} FROM quartiles GROUP BY level, lang, source
-        )
-        SELECT g.lang, g.source, {chosen}
-        FROM fences g JOIN fences l ON g.lang <=> l.lang AND l.level = 1 AND g.level = 0
-        JOIN fences a ON a.level = 3 AND a.level = g.level + 3
-        """,
-        sketch=sketch,
+        f"max(CASE WHEN metric = '{m}' THEN q75 + {SPREADS} * {spread} END) AS {m}_high"
+        + (f", max(CASE WHEN metric = '{m}' THEN q25 - {SPREADS} * {spread} END) AS {m}_low" if low else "")
+        for m, (_, low) in METRICS.items()
     )
+    # a parent's sketch as parts of UNIT; its children take PRIOR of them
+    return f"""
+      every_n AS (SELECT metric, bucket, sum(n) AS n FROM {sketch} GROUP BY metric, bucket),
+      every AS (SELECT metric, bucket, n * {UNIT} {div} sum(n) OVER (PARTITION BY metric) AS share FROM every_n),
+      lang_parts AS (
+        SELECT lang, metric, bucket, n * {UNIT} AS w FROM {sketch} UNION ALL
+        SELECT g.lang, e.metric, e.bucket, {PRIOR} * e.share FROM (SELECT DISTINCT lang, metric FROM {sketch}) g JOIN every e ON g.metric = e.metric),
+      lang_n AS (SELECT lang, metric, bucket, CAST(sum(w) AS BIGINT) AS w FROM lang_parts GROUP BY lang, metric, bucket),
+      langs AS (SELECT lang, metric, bucket, w {div} greatest(CAST(sum(w) OVER (PARTITION BY lang, metric) AS BIGINT) {div} {UNIT}, 1) AS share FROM lang_n),
+      group_parts AS (
+        SELECT lang, source, metric, bucket, n * {UNIT} AS w FROM {sketch} UNION ALL
+        SELECT g.lang, g.source, l.metric, l.bucket, {PRIOR} * l.share
+        FROM (SELECT DISTINCT lang, source, metric FROM {sketch}) g JOIN langs l ON g.metric = l.metric AND g.lang IS NOT DISTINCT FROM l.lang),
+      group_n AS (SELECT lang, source, metric, bucket, sum(w) AS w FROM group_parts GROUP BY lang, source, metric, bucket),
+      ranked AS (
+        SELECT *, sum(w) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto, sum(w) OVER (PARTITION BY lang, source, metric) AS total FROM group_n),
+      quartiles AS (
+        SELECT lang, source, metric, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q25, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q75
+        FROM ranked GROUP BY lang, source, metric),
+      limits AS (SELECT lang, source, {fences} FROM quartiles GROUP BY lang, source)"""
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """lang, source, and low and high fences of each metric."""
+    return sketch.sparkSession.sql(f"WITH sketch AS (SELECT * FROM {{sketch}}), {_limits('sketch', 'div')} SELECT * FROM limits", sketch=sketch)
 
 
 def judge(rows: DataFrame) -> DataFrame:
@@ -130,7 +137,7 @@ def judge(rows: DataFrame) -> DataFrame:
     limits = thresholds(sketches(rows)).withColumnsRenamed({"lang": "group_lang", "source": "group_source"})
     joined = _metrics(rows).join(limits, F.col("lang").eqNullSafe(F.col("group_lang")) & F.col("source").eqNullSafe(F.col("group_source")), "left")
     good = ~base_failed()
-    for m, (_, _, low) in METRICS.items():
+    for m, (_, low) in METRICS.items():
         good &= F.col(m) <= F.col(f"{m}_high")
         if low:
             good &= F.col(m) >= F.col(f"{m}_low")
@@ -154,16 +161,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle(docs: str = "documents") -> str:
     space = r"[\x20\x09-\x0D]+"
-    fences = ", ".join(
-        f"max(CASE WHEN metric = '{m}' THEN q75 + {SPREADS} * greatest(q75 - q25, {unit}) END) AS {m}_high"
-        + (f", max(CASE WHEN metric = '{m}' THEN q25 - {SPREADS} * greatest(q75 - q25, {unit}) END) AS {m}_low" if low else "")
-        for m, (_, unit, low) in METRICS.items()
-    )
-    names = [f"{m}_high" for m in METRICS] + [f"{m}_low" for m, x in METRICS.items() if x[2]]
-    chosen = ", ".join(f"CASE WHEN g.n >= {MIN_GROUP} THEN g.{c} WHEN l.n >= {MIN_GROUP} THEN l.{c} ELSE a.{c} END AS {c}" for c in names)
-    metrics = ", ".join(f"CASE WHEN n_words > 0 THEN {e.replace(' div ', ' // ')} END AS {m}" for m, (e, _, _) in METRICS.items())
+    metrics = ", ".join(f"CASE WHEN n_words > 0 THEN {e.replace(' div ', ' // ')} END AS {m}" for m, (e, _) in METRICS.items())
     cells = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS value FROM measured WHERE NOT base_failed" for m in METRICS)
-    good = " AND ".join([f"{m} <= {m}_high" for m in METRICS] + [f"{m} >= {m}_low" for m, x in METRICS.items() if x[2]])
+    good = " AND ".join([f"{m} <= {m}_high" for m in METRICS] + [f"{m} >= {m}_low" for m, x in METRICS.items() if x[1]])
     return rf"""
 WITH src AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t, lang, source FROM {docs}),
 cut AS (SELECT *, list_filter(string_split_regex(t, '{space}'), lambda x: x <> '') AS w,
@@ -186,15 +186,8 @@ counted AS (SELECT row_id, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_wor
 measured AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {metrics} FROM counted),
 cells AS ({cells}),
 bucketed AS (SELECT lang, source, metric, (value >> greatest(length(bin(value)) - 7, 0)) << greatest(length(bin(value)) - 7, 0) AS bucket FROM cells),
-merged AS (SELECT grouping(lang, source) AS level, lang, source, metric, bucket, count(*) AS n FROM bucketed
-  GROUP BY GROUPING SETS ((lang, source, metric, bucket), (lang, metric, bucket), (metric, bucket))),
-ranked AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto,
-  sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM merged),
-quartiles AS (SELECT level, lang, source, metric, max(total) AS total, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q25,
-  min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q75 FROM ranked GROUP BY level, lang, source, metric),
-fences AS (SELECT level, lang, source, max(total) AS n, {fences} FROM quartiles GROUP BY level, lang, source),
-limits AS (SELECT g.lang, g.source, {chosen} FROM fences g JOIN fences l ON g.lang IS NOT DISTINCT FROM l.lang AND l.level = 1 AND g.level = 0
-  JOIN fences a ON a.level = 3)
+sketch AS (SELECT lang, source, metric, bucket, count(*) AS n FROM bucketed GROUP BY ALL),
+{_limits("sketch", "//")}
 SELECT m.doc_id, {", ".join(f"m.{f}" for f in _FEATURES)}, m.base_failed, coalesce(NOT m.base_failed AND {good}, false) AS kept
 FROM measured m LEFT JOIN limits t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source
 """

@@ -16,6 +16,7 @@ from civiledger.llm.bpe import load_tokenizer, tokenizer_path, word_ids
 from civiledger.llm.common import scratch_path
 from civiledger.llm.components import components
 from comparing import SF, duck_rows, rows_of
+from pyspark.sql import functions as F
 
 
 ROWS = awkward_rows()
@@ -56,8 +57,37 @@ def test_repeat_words_against_a_plain_count(spark):
         assert got[i] == len({k + j for k in range(len(w) - 7) if grams[tuple(w[k : k + 8])] > 1 for j in range(8)})
 
 
-def test_thresholds_follow_the_groups():
-    assert all(unit > 0 for _, unit, _ in quality_rules.METRICS.values())
+def test_thresholds_follow_the_groups(spark):
+    """The same texts are outliers in a plain source and usual ones in a source of that kind; a small group leans on its language."""
+    r = random.Random(12)
+    plain = lambda: prose(r.randint(0, 10**6), r.randint(40, 90))
+    marked = lambda: " ".join(w + r.choice([" # *", " |", " $ % &", ""]) for w in plain().split())
+    rows = [(i, plain(), "en", "books") for i in range(300)] + [(300 + i, marked(), "en", "tables") for i in range(300)]
+    odd = [marked() for _ in range(5)]
+    rows += [(1000 + i, t, "en", "books") for i, t in enumerate(odd)] + [(2000 + i, t, "en", "tables") for i, t in enumerate(odd)]
+    rows += [(3000 + i, plain(), "en", "tiny") for i in range(3)]
+    rows += [(4000 + i, t, None, None) for i, t in enumerate(odd)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    kept = {x["doc_id"]: x["kept"] for x in quality_rules.quality(docs).collect()}
+    assert not any(kept[1000 + i] for i in range(5)) and all(kept[2000 + i] for i in range(5))
+    assert all(kept[3000 + i] for i in range(3)) and all(kept[4000 + i] for i in range(5))
+    assert sum(kept[i] for i in range(600)) > 590
+    high = {x["source"]: x["symbol_rate_high"] for x in quality_rules.thresholds(quality_rules.sketches(quality_rules.features(docs))).collect()}
+    assert high["tables"] > 2 * high["books"] and high["books"] < high["tiny"]
+    # 300 copies more of one group leave a threshold of another where it was, up to its share of the language's sketch
+    more = quality_rules.thresholds(quality_rules.sketches(quality_rules.features(docs.union(docs.filter("source = 'tables'")))))
+    again = {x["source"]: x["symbol_rate_high"] for x in more.collect()}
+    assert abs(again["tables"] - high["tables"]) < 0.3 * high["tables"]
+
+
+def test_quality_rules_match_sql_where_groups_stand_for_themselves(spark, duck):
+    """The SQL on larger tables, whose groups outweigh what they take from their languages."""
+    folder = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("source", F.expr("substring(source, 1, 1)")).filter("doc_id % 2 = 0")
+    duck.execute(f"CREATE OR REPLACE VIEW some_documents AS SELECT * REPLACE (source[1:1] AS source) FROM '{folder}/documents.parquet' WHERE doc_id % 2 = 0")
+    names, want = duck_rows(duck, quality_rules._oracle("some_documents"))
+    got = quality_rules.quality(docs)
+    assert sorted(got.columns) == names and rows_of(got) == want
 
 
 def test_licences(spark):
