@@ -13,8 +13,9 @@ document is held out of training where ``crc32(doc_id as text) mod 5`` is 0.
 Features come from the text alone.
 
 Cases: null texts count as empty and get a score from their (zero) features.
-Repeated rows are scored each; repeated labels count each. Labels that are null
-are not used. With no labels at all every score is 0.5, with one class near that
+Repeated rows are scored each; a label that is repeated for an id counts once, two
+different ones count each; of several texts with a labelled id the one with the
+least features teaches. Labels that are null are not used. With no labels at all every score is 0.5, with one class near that
 class. A row without an id is not held out. Other columns are ignored. Empty
 tables give no rows.
 """
@@ -185,7 +186,7 @@ def _rows(texts: list[str | None]) -> np.ndarray:
 
 def fit_model(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> AdditiveModel:
     """Fit on a bounded sample of labelled documents, the same one for the same ids."""
-    known = pick(labels, "doc_id", "quality").select("doc_id", F.col("quality").cast("double").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
+    known = pick(labels, "doc_id", "quality").select("doc_id", F.col("quality").cast("double").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL").distinct()
     chosen = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +195,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Add
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     texts = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")  # at most ``rows`` ids
-    found = texts.mapInArrow(run, "doc_id bigint, y double, x array<double>").limit(4 * rows).toArrow()
+    # one row for each labelled id and label: at most ``rows``, whatever copies the documents hold
+    found = texts.mapInArrow(run, "doc_id bigint, y double, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x")).toArrow()
     order = np.lexsort([found["y"].to_numpy(), found["doc_id"].to_numpy()])
     x = np.array(found["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     return AdditiveModel().fit(x[order], found["y"].to_numpy()[order])
