@@ -18,11 +18,16 @@ Windows that cannot match are passed over first: ``e`` edits leave an item of
 ``n`` words at least ``n - 2 - 3 e`` of its word triples, so a window with fewer
 triples of any item is no match. That is a necessary condition, not a heuristic.
 
+Items under ``SHORT`` words allow one edit at most and are always searched by
+pieces: under five words these are the whole items.
+
 The items are read in blocks of bounded size, so what a task holds does not
 grow with the benchmark; each block takes one pass over the documents.
 
-Cases: null and empty texts, and items without ``MIN_WORDS`` words, match
-nothing. Repeated documents come out each; repeated item ids count once, with
+Cases: null and empty texts, and items without words, match nothing. Texts of
+any length are read whole, in time in proportion to their length. An item of few
+words is found wherever these words stand, so a benchmark of single words marks
+most documents: leave such items out of the table if that is not wanted. Repeated documents come out each; repeated item ids count once, with
 the least distance. Other columns are ignored. Empty tables give no rows.
 """
 
@@ -40,7 +45,8 @@ from .common import DOC_COLUMNS, documents, pick, table
 
 #: Edits allowed for each word of an item.
 EDITS = 0.2
-MIN_WORDS = 8
+#: Items of fewer words have no word triple that all allowed edits must leave.
+SHORT = 6
 RECALL = 0.99
 #: Words sampled in a repetition.
 SAMPLE = 3
@@ -111,18 +117,25 @@ class LengthClass:
         self.items = items
         lengths = [len(x) for _, x in items]
         self.low, self.high = min(lengths), max(lengths)
+        self.span = self.high + edits_of(self.high)
+        self.repeats: list[tuple[np.ndarray, list[int], dict[int, list[int]], np.ndarray]] = []
+        self.pieces: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        self.heads = np.zeros(0, bool)
+        self.short, self.recall = self.high < SHORT, 1.0
+        if self.short:
+            self.first_words = np.zeros(n_words + 1, bool)
+            self._seed()
+            return
         self.least = min(n - 2 - 3 * edits_of(n) for n in lengths)
         self.triples = np.zeros(_SIEVE, bool)
         for _, x in items:
             self.triples[triples(x)] = True
-        self.span = self.high + edits_of(self.high)
         rng = np.random.default_rng(seed)
         steps = max(SAMPLE, int(1.6 * self.low))
         flat, starts = self._flat([x for _, x in items], steps)
         copies, owner = self._edited(rng, n_words)
         edited, at = self._flat(copies, steps)
         found = np.zeros(len(copies), bool)
-        self.repeats: list[tuple[np.ndarray, list[int], dict[int, list[int]], np.ndarray]] = []
         while len(self.repeats) < 4 or (found.mean() < RECALL and len(self.repeats) < MAX_REPEATS):
             bits = rng.integers(0, 1 << 63, (-(-steps // 63), n_words + 1), np.int64).view(np.uint64)
             sample = sorted(rng.choice(steps, SAMPLE, replace=False).tolist())
@@ -135,8 +148,6 @@ class LengthClass:
             self.repeats.append((bits, sample, lookup, sieve))
             found |= self.keys(edited, at, bits, sample) == keys[owner]
         self.recall = float(found.mean())
-        self.pieces: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        self.heads = np.zeros(0, bool)
         if self.recall < RECALL:
             self._seed()
 
@@ -147,7 +158,10 @@ class LengthClass:
         for k, (_, x) in enumerate(self.items):
             size = len(x) // (edits_of(len(x)) + 1)
             offsets = np.arange(edits_of(len(x)) + 1) * size
-            self.heads[triples(x)[offsets]] = True
+            if self.short:
+                self.first_words[x[offsets]] = True
+            else:
+                self.heads[triples(x)[offsets]] = True
             lookup = self.pieces.setdefault(size, {})
             for offset, key in zip(offsets.tolist(), self.piece_keys(x, offsets, size).tolist(), strict=True):
                 lookup.setdefault(key, []).append((k, offset))
@@ -161,11 +175,14 @@ class LengthClass:
         return key
 
     def seeded(self, ids: np.ndarray, grams: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, start, place) for each place of a piece in the windows from these starts."""
-        cover = np.zeros(len(grams) + 1, np.int32)
-        np.add.at(cover, starts, 1)
-        np.add.at(cover, np.minimum(starts + self.span, len(grams)), -1)
-        places = np.flatnonzero((np.cumsum(cover[:-1]) > 0) & self.heads[grams])
+        """(item, start, place) for each place of a piece in the windows from these starts; short items' pieces anywhere."""
+        if self.short:
+            places = np.flatnonzero(self.first_words[ids])
+        else:
+            cover = np.zeros(len(grams) + 1, np.int32)
+            np.add.at(cover, starts, 1)
+            np.add.at(cover, np.minimum(starts + self.span, len(grams)), -1)
+            places = np.flatnonzero((np.cumsum(cover[:-1]) > 0) & self.heads[grams])
         for size, lookup in self.pieces.items():
             good = places[places + size <= len(ids)]
             for p, key in zip(good.tolist(), self.piece_keys(ids, good, size).tolist(), strict=True):
@@ -217,7 +234,7 @@ class Index:
         self.patterns = {}
         classes: dict[int, list] = {}
         for k, x in coded:
-            classes.setdefault(int(np.log(len(x)) / np.log(1.3)), []).append((k, x))
+            classes.setdefault(-1 if len(x) < SHORT else int(np.log(len(x)) / np.log(1.3)), []).append((k, x))
         self.classes = [LengthClass(c, len(self.vocabulary), seed) for seed, c in sorted(classes.items())]
         self.pad = max((c.span for c in self.classes), default=0) * 2
         self.known: dict[str, int] = {}
@@ -248,9 +265,11 @@ class Index:
         begins = np.arange(n)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for c in self.classes:
-            seen = np.zeros(len(grams) + 1, np.int32)
-            np.cumsum(c.triples[grams], out=seen[1:])
-            starts = begins[seen[begins + c.span - 2] - seen[begins] >= c.least]
+            starts = begins
+            if not c.short:
+                seen = np.zeros(len(grams) + 1, np.int32)
+                np.cumsum(c.triples[grams], out=seen[1:])
+                starts = begins[seen[begins + c.span - 2] - seen[begins] >= c.least]
             hits: set[tuple[int, int]] = set()
             if not len(starts):
                 continue
@@ -265,6 +284,8 @@ class Index:
             for k, s in sorted(hits):
                 item, x = c.items[k]
                 r, e = int(row[s]), edits_of(len(x))
+                if best.get((r, item), (1, 0))[0] == 0:
+                    continue
                 if last.get(k, (-1, 0))[0] == r and s <= last[k][1]:
                     continue
                 last[k] = (r, s + e)
@@ -286,7 +307,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Index]:
     for k in range(n):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         found = sorted(((r["item_id"], words(r["text"])) for r in part.toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        found = [x for x in found if len(x[1]) >= MIN_WORDS]
+        found = [x for x in found if x[1]]
         if found:
             yield Index(found)
 

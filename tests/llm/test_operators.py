@@ -416,6 +416,21 @@ def test_quality_model(spark, awkward, nothing):
     assert quality_model.score_documents(awkward, quality_model.AdditiveModel()).first()["score"] == 0.5
 
 
+def test_quality_model_labels_and_copies(spark):
+    """Repeated labels and copies of labelled documents change nothing; null and contrary labels are no failure."""
+    docs = docs_of(spark, [prose(i, 30 + i % 9) + (" ### ###" * 9 if i % 3 == 0 else "") for i in range(120)])
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(120)] + [(5, None), (None, 1), (7, 0)], "doc_id bigint, quality int")
+    once = quality_model.fit_model(docs, labels)
+    again = quality_model.fit_model(docs.union(docs).union(docs).union(docs).union(docs), labels.union(labels))
+    assert all(np.array_equal(a, b) for a, b in zip(once.tables, again.tables, strict=True)) and once.base == again.base
+    x = np.array([quality_model.features(r["text"]) for r in docs.collect()])
+    plain = [once.base + sum(t[int(np.searchsorted(c, v, side="left"))] for c, t, v in zip(once.cuts, once.tables, row, strict=True))
+             + sum(t[int(np.searchsorted(once.pair_cuts[f], row[f], side="left")), int(np.searchsorted(once.pair_cuts[g], row[g], side="left"))] for f, g, t in once.pairs) for row in x]
+    assert np.allclose(once.score(x), 1 / (1 + np.exp(-np.array(plain))))
+    got = {r["doc_id"]: r["score"] for r in quality_model.score_documents(docs, once).collect()}
+    assert min(got[i] for i in range(120) if i % 3) > max(got[i] for i in range(0, 120, 3))
+
+
 def test_token_counts_and_prefixes(spark, awkward, nothing):
     path = tokenizer_path(token_counts.VOCABULARY)
     library = load_tokenizer(path)
@@ -542,6 +557,29 @@ def test_edited_copies_of_long_items_are_found():
     assert all(c.recall >= decontamination.RECALL or c.pieces for c in index.classes)
 
 
+def test_short_items_are_found_exactly(spark):
+    """Items of one to nine words, verbatim and with their one edit if they allow any, also across punctuation and at the ends."""
+    r = random.Random(15)
+    items = [(n, " ".join(f"q{n}w{i}" for i in range(n))) for n in range(1, 10)] + [(50, "?!")]
+    texts, want = [], set()
+    for n, t in items[:-1]:
+        for k in range(12):
+            w = t.split()
+            edits = k % 3
+            for _ in range(min(edits, 1) if n < 10 else 0):
+                w[r.randrange(len(w))] = "other"
+            if edits == 2:
+                w.insert(len(w) // 2, "more")
+            d = len(texts)
+            texts.append(" ".join([*(prose(d, 6).split() if k % 2 else []), *[x.upper() + "," for x in w], *(prose(d + 900, 5).split() if k % 4 else [])]))
+            pattern = decontamination.Pattern([hash(x) for x in t.split()])
+            if pattern.distance([hash(x) for x in decontamination.words(texts[-1])]) <= decontamination.edits_of(n):
+                want.add((d, n))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontamination.leaks(docs_of(spark, texts), bench).collect()}
+    assert {g for g in got if g[1] < 6} == {g for g in want if g[1] < 6} and got <= want and len(got) >= 0.97 * len(want) and len(want) > 50
+
+
 def test_decontamination_on_awkward_rows(spark, awkward, nothing):
     bench = spark.createDataFrame([(1, prose(1, 40)), (1, prose(1, 40))], "item_id bigint, text string")
     got = decontamination.leaks(awkward, bench).collect()
