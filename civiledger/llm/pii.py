@@ -1,15 +1,14 @@
 """Personal data: exact patterns and a character tagger for other spellings.
 
 The base spans are those of fixed patterns. A bidirectional LSTM with a CRF
-(``tagger``) reads windows of characters around every place that could be
-personal data (digits, "@", a bracketed "at" or "dot"), in steps of half a
-window, so each place lies well within some window; where a span meets the edge
-of what was read, reading goes on beyond it. The windows' spans are then reconciled
-over the whole text: a span that is cut at the edge of its window gives way to
-the neighbour's, spans of a kind that touch are united, of spans that overlap
-the longer stays. A united span is added if it holds what its kind must hold
-(digits in the right number, a passing check digit, parts up to 255, a name
-before and a domain behind the at sign) and overlaps no base span; base spans
+(``tagger``) reads every text whole, in overlapping windows. The windows are
+decoded and reconciled over the text: where the best path of a window has a tag
+at all, it and its neighbours are put together, each character scored by the
+window that it lies deepest in, and the CRF is decoded once along the whole
+stretch; windows where no path beats no tag by ``LEAST_SCORE`` need no more. A tagged span is added
+if it beats no tag by ``LEAST_SCORE``, once widened to whole words, is of a
+possible kind (digits in the right number, a passing check digit, parts up to
+255, an at sign or word between letters) and overlaps no base span; base spans
 always stay. ``redact`` replaces all spans by their kind.
 
 Counts are of the base spans; ``n_added`` counts what the tagger adds.
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import DOC_COLUMNS, documents, pick
-from .tagger import KINDS, LENGTH, PAD, Tagger, encode, luhn, trained
+from .tagger import KINDS, PAD, TAGS, Tagger, encode, luhn, trained
 
 Span = tuple[int, int, str]
 # The patterns are those of the contract, written so that they take linear time:
@@ -44,20 +43,19 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _HAS_DIGIT = re.compile("[0-9]")
-#: Where personal data may be.
-_TRIGGER = re.compile(r"[0-9@]|[\[(] ?(?:at|dot) ?[\])]", re.IGNORECASE)
-#: Characters read on either side of a trigger, at first.
-REACH = LENGTH
-#: The rest of a word and what bracketed dots join to it; no address is longer than 254 characters.
-_REST = re.compile(r"\S{0,256}(?:\s?[\[(] ?dot ?[\])]\s?\S{1,256})*", re.IGNORECASE)
-_BEFORE = re.compile(r"\S{0,256}\Z")
-_ROWS = 512
-_ADDED = {
-    "email": re.compile(r"([A-Za-z0-9._%+-]+)\s?(?:@|[\[(] ?at ?[\])])\s?([A-Za-z0-9-]+)((?:\.|\s?[\[(] ?dot ?[\])]\s?)[A-Za-z0-9-]+)+", re.IGNORECASE),
-    "ip": re.compile(r"[0-9]{1,3}(?:(?:\.|\[\.\]| \. )[0-9]{1,3}){3}"),
-    "card": re.compile(r"[0-9]{4}(?:[ ./-]{1,2}[0-9]{3,6}){2,4}"),
-    "phone": re.compile(r"(?:00[0-9]{1,3}[ .-])?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}"),
-}
+#: Characters of a window and from one to the next; windows read at once, characters of texts handled at once.
+WINDOW, STRIDE, ROWS, CHARS = 128, 104, 768, 1 << 21
+LEAST_SCORE = 3.0
+#: What widens a span of each kind to a whole word, on its left and right.
+_WIDER = {k: re.compile(r"[A-Za-z0-9._%+-]" if k == "email" else "[0-9]") for k in KINDS}
+#: The rest of a domain and what dots in brackets join to it.
+_REST = re.compile(r"[A-Za-z0-9.-]*(?:\s?[\[(]\s?dot\s?[\])]\s?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)*", re.IGNORECASE)
+_ADDRESS = re.compile(
+    r"[A-Za-z0-9._%+-]+(?:\s?@\s?|\s?[\[(]\s?at\s?[\])]\s?|\sat\s)[A-Za-z0-9-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s)[A-Za-z0-9-]+)+", re.IGNORECASE
+)
+#: No spelling of an address is longer.
+LONGEST_ADDRESS = 512
+_NUMBER = re.compile(r"[+(]?[0-9](?:[^A-Za-z]*[0-9])?")
 
 
 def _small(part: str) -> bool:
@@ -93,132 +91,116 @@ def _ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows (start, end) over all neighbourhoods of triggers."""
-    out: list[tuple[int, int]] = []
-    at = -1
-    for m in _TRIGGER.finditer(text):
-        if at >= 0 and m.start() - REACH <= at:
-            at = m.end() + REACH
-            out[-1] = (out[-1][0], at)
-        else:
-            at = m.end() + REACH
-            out.append((max(0, m.start() - REACH), at))
-    cut = []
-    for a, b in out:
-        b = min(b, len(text))
-        cut.append((a, min(b, a + LENGTH)))
-        while cut[-1][1] < b:
-            start = cut[-1][0] + LENGTH // 2
-            cut.append((start, min(b, start + LENGTH)))
-    return cut
-
-
-def _tagged(tags: list[int], a: int, size: int, text_length: int) -> list[tuple[int, int, str, bool]]:
-    """Spans of one window; the flag says whether the window's edge cuts it."""
-    out, i = [], 0
-    while i < size:
-        if not tags[i]:
-            i += 1
-            continue
-        kind, j = (tags[i] - 1) // 2, i + 1
-        while j < size and tags[j] == 2 + 2 * kind:
-            j += 1
-        cut = (i == 0 and a > 0) or (j == size and a + size < text_length)
-        out.append((a + i, a + j, KINDS[kind], cut))
-        i = j
-    return out
-
-
-def reconciled(found: list[tuple[int, int, str, bool]]) -> list[Span]:
-    """One set of spans that do not overlap out of those of all windows."""
-    whole = [s for s in found if not s[3]]
-    cut = [s for s in found if s[3] and not any(a <= s[0] and s[1] <= b for a, b, *_ in whole)]
-    merged: list[list] = []
-    for a, b, kind, _ in sorted(whole + cut):
-        same = next((m for m in reversed(merged[-4:]) if m[2] == kind and a <= m[1]), None)
-        if same:
-            same[1] = max(same[1], b)
-        else:
-            merged.append([a, b, kind])
-    chosen: list[Span] = []
-    for a, b, kind in merged:
-        if chosen and a < chosen[-1][1]:
-            if b - a > chosen[-1][1] - chosen[-1][0]:
-                chosen[-1] = (a, b, kind)
-        else:
-            chosen.append((a, b, kind))
-    return chosen
-
-
-def _holds(text: str, a: int, b: int, kind: str) -> Span | None:
-    """The part of a tagged span that has what its kind must have, if any."""
-    # a tagged span may end within a word: look as far as the words on its edges go
-    start = a - len(_BEFORE.search(text[max(0, a - 256) : a])[0])
-    end = max(min(len(text), b + 1), _REST.match(text, b).end())
-    m = next((m for m in _ADDED[kind].finditer(text, max(0, start - 1), end) if m.start() < b and m.end() > a), None)
-    if not m or (m.start() and text[m.start() - 1].isalnum()) or text[m.end() : m.end() + 1].isalnum():
+def _holds(text: str, a: int, b: int, kind: str, least: int = 0) -> Span | None:
+    """A tagged span from ``least`` on, widened to whole words, if it can be of its kind."""
+    wider = _WIDER[kind]
+    while a > least and wider.match(text[a - 1]) and wider.match(text[a]):
+        a -= 1
+    while b < len(text) and wider.match(text[b]) and wider.match(text[b - 1]):
+        b += 1
+    if kind == "email":
+        b = _REST.match(text, b).end()
+    if kind == "email" and b - a > LONGEST_ADDRESS:
+        return None
+    # the tagger says where something is; what it takes along of the words around is left
+    core = (_ADDRESS if kind == "email" else _NUMBER).search(text, a, b)
+    if core is None:
         return None
-    digits = _NOT_DIGIT.sub("", m[0])
+    a, b = core.span()
+    if (a and text[a - 1].isalnum()) or text[b : b + 1].isalnum():
+        return None
+    said, digits = core[0], _NOT_DIGIT.sub("", core[0])
     good = {
-        "email": True,
-        "ip": all(map(_small, re.findall("[0-9]+", m[0]))) and _IP.fullmatch(m[0]) is None,
-        "card": 12 <= len(digits) <= 19 and luhn(digits),
-        "phone": 9 <= len(digits) <= 15,
-    }[kind]
-    return (m.start(), m.end(), kind) if good else None
+        "email": lambda: True,
+        "ip": lambda: len(parts := re.findall("[0-9]+", said)) == 4 and all(map(_small, parts)),
+        "card": lambda: 12 <= len(digits) <= 19 and luhn(digits),
+        "phone": lambda: 7 <= len(digits) <= 15,
+    }[kind]()
+    return (a, b, kind) if good else None
+
+
+def _spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, kind number) of a tag sequence."""
+    kind = np.where(tags > 0, (tags + 1) // 2, 0)
+    new = np.flatnonzero((np.diff(kind, prepend=0) != 0) | (tags % 2 == 1))
+    ends = np.append(new, len(tags))[1:]
+    return [(a, b, k - 1) for a, b, k in zip(new.tolist(), ends.tolist(), kind[new].tolist(), strict=True) if k]
+
+
+def _stretches(code: np.ndarray, sizes: np.ndarray, tagger: Tagger) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(text, start, emissions by time and tag) of all stretches of windows that may hold spans, for texts side by side."""
+    counts = np.maximum(-(-(sizes - WINDOW) // STRIDE), 0) + 1
+    owner = np.repeat(np.arange(len(sizes)), counts)
+    number = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
+    begins = (np.cumsum(sizes) - sizes)[owner] + number * STRIDE
+    left = sizes[owner] - number * STRIDE
+    code = np.append(code, np.full(WINDOW, PAD, code.dtype))
+    steps, margin = np.arange(WINDOW), (WINDOW - STRIDE) // 2
+    open_ = None  # text, start, pieces of the stretch that goes on, and the row it had last
+    for top in range(0, len(owner), ROWS):
+        # one row more on either side tells which rows have a neighbour with a tag
+        a, b = max(0, top - 1), min(len(owner), top + ROWS + 1)
+        x = np.where(steps < left[a:b, None], code[begins[a:b, None] + steps], PAD)
+        e = tagger.emissions(x)
+        some = ~tagger.none_best(e, LEAST_SCORE)
+        near = some.copy()
+        near[1:] |= some[:-1] & (owner[a + 1 : b] == owner[a : b - 1])
+        near[:-1] |= some[1:] & (owner[a + 1 : b] == owner[a : b - 1])
+        for r in (np.flatnonzero(near[top - a : top - a + ROWS]) + top).tolist():
+            i, scores = int(owner[r]), e[:, :, r - a]
+            if open_ and (open_[0] != i or open_[3] != r - 1):
+                yield open_[0], open_[1], np.concatenate(open_[2])
+                open_ = None
+            # a window's edges belong to its neighbours, if these are in the stretch
+            first = margin if open_ else 0
+            if open_:
+                open_[2][-1] = open_[2][-1][: len(open_[2][-1]) - (WINDOW - STRIDE - margin)]
+            else:
+                open_ = [i, int(number[r]) * STRIDE, [], r]
+            open_[2].append(scores[first : min(WINDOW, int(left[r]))])
+            open_[3] = r
+    if open_:
+        yield open_[0], open_[1], np.concatenate(open_[2])
 
 
 def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> list[list[Span]]:
     """What the tagger adds to each text's base spans."""
-    # with each window: whether nothing is read before it, and nothing after it
-    places: list[tuple[int, int, int, bool, bool]] = []
-    for i, t in enumerate(texts):
-        cut = windows(t)
-        for k, (a, b) in enumerate(cut):
-            places.append((i, a, b, k == 0 or cut[k - 1][1] <= a, k + 1 == len(cut) or cut[k + 1][0] >= b))
-    raw: dict[int, list] = {}
-    further: set[tuple[int, int]] = set()
-    half, at = LENGTH // 2, 0
-    while at < len(places):
-        part = places[at : at + _ROWS]
-        at += len(part)
-        x = np.full((len(part), LENGTH), PAD, np.int16)
-        for k, (i, a, b, *_) in enumerate(part):
-            x[k, : b - a] = encode(texts[i][a:b])
-        for (i, a, b, first, last), tags in zip(part, tagger.decode(x).tolist(), strict=True):
-            if not any(tags):
-                continue
-            size = len(texts[i])
-            raw.setdefault(i, []).extend(_tagged(tags, a, b - a, size))
-            # further windows start at multiples of half a window, so each is read once
-            for start, goes_on in (((a - 1) // half * half, first and a > 0 and tags[0]), ((b - half) // half * half, last and b < size and tags[b - a - 1])):
-                if goes_on and (i, start) not in further:
-                    further.add((i, start))
-                    places.append((i, start, min(size, start + LENGTH), True, True))
     out: list[list[Span]] = [[] for _ in texts]
-    for i, found in raw.items():
-        # a window's spans meet only those of its neighbours: reconcile run by run
-        run: list = []
-        runs = []
-        for s in sorted(found):
-            if run and s[0] > max(x[1] for x in run[-8:]):
-                runs.append(run)
-                run = []
-            run.append(s)
-        runs.append(run)
-        taken, k = sorted(base[i]), 0
-        for r in runs:
-            for a, b, kind in reconciled(r):
-                span = _holds(texts[i], a, b, kind)
-                if span is None:
-                    continue
-                while k < len(taken) and taken[k][1] <= span[0] - 64:
-                    k += 1
-                near = [s for s in taken[k:] if s[0] < span[1] and s[1] > span[0]] if k < len(taken) and taken[k][0] < span[1] else []
-                if not near and not (out[i] and out[i][-1][1] > span[0]):
-                    out[i].append(span)
-    return out
+    sizes = np.array([len(t) for t in texts])
+    groups = np.cumsum(sizes) // CHARS
+    for g in np.unique(groups):
+        members = np.flatnonzero((groups == g) & (sizes > 0)).tolist()
+        if not members:
+            continue
+        found = [(members[i], at, e) for i, at, e in _stretches(encode("".join(texts[i] for i in members)), sizes[members], tagger)]
+        for i, at, tags, e in _decoded(found, tagger):
+            text, taken = texts[i], base[i]
+            spans = []
+            for a, b, k in _spans(tags):
+                if tagger.score(e[a:b], tags[a:b]) >= LEAST_SCORE:
+                    span = _holds(text, at + a, at + b, KINDS[k], spans[-1][1] if spans else 0)
+                    if span and not any(s[0] < span[1] and s[1] > span[0] for s in taken) and not (spans and spans[-1][1] > span[0]):
+                        spans.append(span)
+            out[i] += spans
+    return [sorted(s) for s in out]
+
+
+def _decoded(found: list[tuple[int, int, np.ndarray]], tagger: Tagger) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Decode stretches together that are of like length."""
+    found = sorted(found, key=lambda f: len(f[2]))
+    at = 0
+    while at < len(found):
+        to = at + 1
+        while to < len(found) and to - at < ROWS and len(found[to][2]) <= len(found[at][2]) * 5 // 4 + STRIDE:
+            to += 1
+        longest = len(found[to - 1][2])
+        e = np.full((longest, TAGS, to - at), -1e4, np.float32)
+        e[:, 0] = 0
+        for k, (_, _, scores) in enumerate(found[at:to]):
+            e[: len(scores), :, k] = scores
+        for (i, start, scores), tags in zip(found[at:to], tagger.paths(e), strict=True):
+            yield i, start, tags[: len(scores)], scores
+        at = to
 
 
 def _said(spans: list[Span]) -> str:

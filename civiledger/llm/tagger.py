@@ -1,9 +1,11 @@
 """Character-level bidirectional LSTM with a CRF on top, in numpy.
 
 It is trained by gradient descent on labelled spans that ``examples`` draws from
-a fixed seed: personal data in the spellings that patterns miss (no plus sign,
-dots for blanks, "(at)", "[.]") and in the plain ones, among words, amounts,
-dates, hexadecimal strings and version numbers that are none.
+a fixed seed and puts into running text: personal data in the spellings that
+patterns miss (no plus sign, dots for blanks, "(at)", "at ... dot", "[.]") and in
+the plain ones, among sentences, shouted and marked words, amounts, dates,
+hexadecimal strings and version numbers that are none. ``examples`` of another
+seed are the held-out set.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ import numpy as np
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # none; for each kind its first and its further characters
-EMBED, HIDDEN, LENGTH = 12, 16, 64
-STEPS, BATCH, RATE, SEED = 420, 32, 0.02, 11
+EMBED, HIDDEN, LENGTH = 12, 12, 56
+STEPS, BATCH, RATE, SEED = 500, 64, 0.03, 11
 _PLAIN = string.ascii_lowercase + " \n" + string.punctuation
 DIGIT, UPPER_OR_OTHER, PAD = len(_PLAIN) + 1, len(_PLAIN) + 2, 0
 SYMBOLS = UPPER_OR_OTHER + 1
@@ -40,31 +42,36 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+_PARTS = "en ta or il ma ou st er io ne ch th de la un ze go wh ing tion dé ß ñ ê".split()
+
+
 def _word(r: random.Random) -> str:
-    return "".join(r.choice(["en", "ta", "or", "il", "ma", "ou", "st", "er", "io", "ne", "ch", "th"]) for _ in range(r.randint(1, 4)))
+    return "".join(r.choice(_PARTS) for _ in range(r.randint(1, 5)))
 
 
 def _digits(r: random.Random, n: int) -> str:
     return "".join(r.choice(string.digits) for _ in range(n))
 
 
-def _personal(r: random.Random) -> tuple[str, str]:
+def personal(r: random.Random) -> tuple[str, str]:
+    """Kind and spelling of one piece of personal data."""
     kind = r.choice(KINDS)
+    ascii_word = lambda: "".join(c for c in _word(r) if c.isascii()) or "me"
     if kind == "email":
-        at, dot = r.choice([("@", ".")] * 3 + [(" (at) ", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" (at) ", " (dot) ")])
-        name = _word(r) + r.choice(["", ".", "_"]) + r.choice(["", str(r.randint(1, 99))])
-        name = name.rstrip("._") or "me"
-        return kind, name + at + _word(r) + r.choice(["", str(r.randint(1, 9))]) + dot + r.choice(["example" + dot + "com", "org", "net", "com"])
+        plain = [("@", ".")] * 2
+        at, dot = r.choice([*plain, (" (at) ", "."), ("(at)", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot "), (" at ", " dot "), (" AT ", " DOT ")])
+        name = ascii_word() + r.choice(["", ".", "_", "-"]) + r.choice(["", ascii_word(), str(r.randint(1, 99))])
+        return kind, name.rstrip("._-") + at + ascii_word() + r.choice(["", str(r.randint(1, 9))]) + dot + r.choice(["example" + dot + "com", "org", "net", "com", "de", "fr"])
     if kind == "ip":
-        return kind, r.choice([".", ".", "[.]", " . "]).join(str(r.randint(0, 255)) for _ in range(4))
+        return kind, r.choice([".", ".", "[.]", " . ", "(.)", ". "]).join(str(r.randint(0, 255)) for _ in range(4))
     if kind == "card":
         d = _digits(r, r.choice([15, 16, 16, 16, 19]) - 1)
         d += next(c for c in string.digits if luhn(d + c))
-        gap = r.choice(["", "", " ", "-", ".", "/", "  "])
+        gap = r.choice(["", "", " ", "-", ".", "/", "  ", "_"])
         return kind, gap.join(d[i : i + 4] for i in range(0, len(d), 4))
     a, b, c = _digits(r, 3), _digits(r, 3), _digits(r, 4)
-    head = r.choice(["", f"+{r.randint(1, 99)} ", f"00{r.randint(1, 99)} "])
-    return kind, head + r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}"])
+    head = r.choice(["", "", f"+{r.randint(1, 99)} ", f"00{r.randint(1, 99)} "])
+    return kind, head + r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"{a} {b} {c}", f"{a} {b} {c}", f"{a}/{b}-{c}"])
 
 
 def _harmless(r: random.Random) -> str:
@@ -74,31 +81,45 @@ def _harmless(r: random.Random) -> str:
         lambda: f"{n(1, 999)}.{n(0, 999):03},{n(0, 99):02}", lambda: f"{n(1, 12)}.{n(0, 30)}.{n(0, 9)}", lambda: f'token = "{r.getrandbits(160):040x}"',
         lambda: f"{r.getrandbits(64):016x}", lambda: f"{n(0, 23):02}:{n(0, 59):02}:{n(0, 59):02}", lambda: f"#{n(1, 9999)}", lambda: f"{n(1, 99)}%",
         lambda: _digits(r, n(6, 20)), lambda: f"@{_word(r)}", lambda: f"{_word(r)} @ {n(1, 99)}", lambda: f"art. {n(1, 200)} ({n(1, 20)}) {n(1, 9)}", lambda: _word(r) + "(at)",
-        lambda: "-".join(str(n(1, 99)) for _ in range(n(2, 5))), lambda: " ".join(str(n(1, 999)) for _ in range(n(2, 6))),
+        lambda: "-".join(str(n(1, 99)) for _ in range(n(2, 5))), lambda: " ".join(str(n(1, 999)) for _ in range(n(2, 6))), lambda: "at " + _word(r), lambda: "dot " + _word(r),
+        lambda: f"{n(1, 999)},{n(0, 999):03},{n(0, 999):03}", lambda: f"{n(1, 300)}. {n(1, 300)}.", lambda: r.choice("|*#$%&!<>-=_") * n(2, 9), lambda: f"http://{_word(r)}.org/{n(1, 9999)}",
     ])()
 
 
+def sample(r: random.Random, size: int, rate: float) -> tuple[str, list[int]]:
+    """Running text of ``size`` characters at least and the tag of each; ``rate`` of its items are personal."""
+    parts, tags, length = [], [], 0
+    marks = r.choice(["", "", "", "", "!!", "***", "&&&", "###", "%%%"])
+    shouted = r.random() < 0.08
+    capital = True
+    while length < size:
+        draw, new = r.random(), None
+        if draw < rate:
+            new, part = personal(r)
+        elif draw < rate + 0.08:
+            part = _harmless(r)
+        else:
+            part = r.choice([_word(r)] * 5 + ["at", "dot", "the", "de", "un", "que", "der"])
+            part = part.upper() if shouted or r.random() < 0.03 else part.capitalize() if capital or r.random() < 0.06 else part
+        k = 0 if new is None else 1 + 2 * KINDS.index(new)
+        end = r.choice([""] * 12 + [",", ".", ".", "?", ";"]) if not marks or r.random() < 0.5 else marks
+        gap = end + r.choice([" "] * 14 + ["\n", " | "])
+        capital = end in (".", "?")
+        parts += [part, gap]
+        tags += [k] + [k + bool(k)] * (len(part) - 1) + [0] * len(gap)
+        length += len(part) + len(gap)
+    return "".join(parts), tags
+
+
 def examples(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of ``LENGTH`` characters and the tag of each."""
+    """Windows of ``LENGTH`` characters and the tag of each; some end early, as texts do."""
     r = random.Random(seed)
-    x, y = np.zeros((n, LENGTH), np.int16), np.zeros((n, LENGTH), np.int8)
+    x, y = np.full((n, LENGTH), PAD, np.int16), np.zeros((n, LENGTH), np.int8)
     for i in range(n):
-        text, tags = "", []
-        while len(text) < 2 * LENGTH:
-            draw = r.random()
-            if draw < 0.72:
-                part, new = _word(r), None
-                part = part.upper() if r.random() < 0.1 else part.capitalize() if r.random() < 0.15 else part
-            elif draw < 0.86:
-                new, part = _personal(r)
-            else:
-                part, new = _harmless(r), None
-            k = 0 if new is None else 1 + 2 * KINDS.index(new)
-            tags += [k] + [k + bool(k)] * (len(part) - 1)
-            gap = r.choice([" "] * 9 + [", ", ".\n", "\n", " | ", "!! "])
-            text, tags = text + part + gap, tags + [0] * len(gap)
-        at = r.randint(0, LENGTH)
-        x[i], y[i] = encode(text[at : at + LENGTH]), tags[at : at + LENGTH]
+        text, tags = sample(r, 2 * LENGTH, r.choice([0.0, 0.12, 0.3]))
+        at = r.choice([0, r.randint(0, LENGTH), r.randint(0, LENGTH)])
+        m = LENGTH if r.random() < 0.9 else r.randint(1, LENGTH)
+        x[i, :m], y[i, :m] = encode(text[at : at + m]), tags[at : at + m]
     return x, y
 
 
@@ -140,25 +161,64 @@ class Tagger:
         return out
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._lstm(x, "f"), self._lstm(x, "b")], axis=2)
-        return both @ self.p["out"] + self.p["bias"]
+        """Scores (time, tag, row) of windows (row, time): gates lie row after row, so each is one contiguous block."""
+        p, h = self.p, HIDDEN
+        x = np.ascontiguousarray(x.T.astype(np.intp))
+        t, n = x.shape
+        out = np.empty((t, 2 * h, n), np.float32)
+        half = np.concatenate([np.full(3 * h, 0.5), np.ones(h)]).astype(np.float32)[:, None]  # a sigmoid is a tanh of half
+        for k, way in enumerate("fb"):
+            inputs = np.ascontiguousarray((p["embed"] @ p[f"{way}x"] + p[f"{way}b"]).T * half)
+            weights = np.ascontiguousarray(p[f"{way}h"].T * half)
+            gates, more = np.empty((4 * h, n), np.float32), np.empty((4 * h, n), np.float32)
+            state, cell, part = (np.zeros((h, n), np.float32) for _ in range(3))
+            for i in range(t) if way == "f" else range(t - 1, -1, -1):
+                np.take(inputs, x[i], axis=1, out=gates, mode="clip")
+                gates += np.matmul(weights, state, out=more)
+                np.tanh(gates, out=gates)
+                s = gates[: 3 * h]
+                s *= 0.5
+                s += 0.5
+                cell *= s[h : 2 * h]
+                cell += np.multiply(s[:h], gates[3 * h :], out=part)
+                np.multiply(s[2 * h :], np.tanh(cell, out=part), out=state)
+                out[i, k * h : (k + 1) * h] = state
+        return np.matmul(np.ascontiguousarray(p["out"].T), out) + p["bias"][:, None]
+
+    def none_best(self, e: np.ndarray, margin: float = 1e-3) -> np.ndarray:
+        """For each row of emissions (time, tag, row), whether no path beats that of no tag by more than ``margin``."""
+        step = self.p["step"][:, :, None]
+        score = e[0]
+        for i in range(1, len(e)):
+            score = (score[:, None, :] + step).max(axis=0) + e[i]
+        return score.max(axis=0) <= e[:, 0].sum(axis=0) + (len(e) - 1) * step[0, 0] + margin
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The best tag sequence of each row (row, time)."""
-        e = self.emissions(x)
+        return self.paths(self.emissions(x))
+
+    def paths(self, e: np.ndarray) -> np.ndarray:
+        """The best tag sequence (row, time) under the CRF for emissions (time, tag, row)."""
+        step = self.p["step"]
         score, back = e[0], []
         for i in range(1, len(e)):
-            all_ = score[:, :, None] + self.p["step"][None]
-            back.append(all_.argmax(axis=1))
-            score = all_.max(axis=1) + e[i]
-        tags = np.zeros(x.shape, np.int8)
-        at = score.argmax(axis=1)
+            all_ = score[:, None, :] + step[:, :, None]
+            back.append(all_.argmax(axis=0).astype(np.int8))
+            score = all_.max(axis=0) + e[i]
+        tags = np.zeros((e.shape[2], len(e)), np.int8)
+        at = score.argmax(axis=0)
         tags[:, -1] = at
         for i in range(len(back) - 1, -1, -1):
-            at = back[i][np.arange(len(at)), at]
+            at = back[i][at, np.arange(len(at))]
             tags[:, i] = at
         return tags
 
+    def score(self, e: np.ndarray, tags: np.ndarray) -> float:
+        """How much better a span's tags are than none, from its emissions (time, tag)."""
+        step, path = self.p["step"], [0, *tags.tolist(), 0]
+        moves = sum(float(step[a, b]) for a, b in zip(path, path[1:], strict=False)) - (len(path) - 1) * float(step[0, 0])
+        return moves + float(e[np.arange(len(tags)), tags].sum() - e[:, 0].sum())
+
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the tag sequences and its gradients."""
         p, n, h = self.p, len(x), HIDDEN
@@ -183,18 +243,18 @@ class Tagger:
         for i in range(t):
             de[i, rows, y[:, i]] -= 1
         de = (de / n).astype(np.float32)
-        grads["out"] = np.einsum("tnh,tnk->hk", states, de)
+        grads["out"] = states.reshape(-1, 2 * h).T @ de.reshape(-1, TAGS)
         grads["bias"] = de.sum(axis=(0, 1))
         dstates = de @ p["out"].T
         for w, part in (("f", dstates[:, :, :h]), ("b", dstates[:, :, h:])):
-            table = np.zeros((SYMBOLS, 4 * h), np.float32)
+            table, every = np.zeros((SYMBOLS, 4 * h), np.float32), np.arange(SYMBOLS)[:, None]
             dh, dc = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
             for i, a, f, o, new, before, squashed, last in reversed(kept[w]):
                 dh = dh + part[i]
                 dc = dc + dh * o * (1 - squashed**2)
                 dg = np.concatenate([dc * new * a * (1 - a), dc * before * f * (1 - f), dh * squashed * o * (1 - o), dc * a * (1 - new**2)], axis=1)
                 grads[f"{w}h"] += last.T @ dg
-                np.add.at(table, x[:, i], dg)
+                table += (x[:, i] == every).astype(np.float32) @ dg
                 dh, dc = dg @ p[f"{w}h"].T, dc * f
             grads[f"{w}b"] = table.sum(axis=0)
             grads[f"{w}x"] = p["embed"].T @ table
@@ -222,5 +282,5 @@ class Tagger:
 def trained() -> Tagger:
     """The tagger for the fixed seed; a process trains it once."""
     tagger = Tagger()
-    tagger.train(*examples(4000))
+    tagger.train(*examples(8000))
     return tagger
