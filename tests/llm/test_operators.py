@@ -131,8 +131,56 @@ AUTHORS"""
     assert got[2]["sentence_ids"].startswith("apache2-name,apache2-use,apache2-copy")
 
 
+def test_licence_names_tags_and_headers(spark):
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+    third = "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    advert = "\n3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\nThis product includes software of someone.\n"
+    cases = {
+        "// SPDX-License-Identifier: MIT": "MIT",
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)\nint x;": "Apache-2.0,MIT",
+        "/* SPDX-License-Identifier: GPL-2.0-or-later */": "GPL-2.0-or-later",
+        "SPDX-License-Identifier: LGPL-2.1-only": "LGPL-2.1",
+        "Distributed under the MIT License. See LICENSE for more information.": "MIT",
+        "MIT License\n\nCopyright (c) 2021 A B": "MIT",
+        "This project is licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Released under the BSD 3-Clause License.": "BSD-3-Clause",
+        "This library is distributed under the terms of the GNU Lesser General Public License version 2.1 or later.": "LGPL-2.1-or-later",
+        "All code in this repository is released under the ISC license": "ISC",
+        "License: AGPL v3": "AGPL-3.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA-4.0",
+        "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0",
+        "Available under the Eclipse Public License 2.0": "EPL-2.0",
+        "It is licensed under nothing we know.": "",
+        "The mit of a licensed beer.": "",
+        gpl: "GPL-3.0-or-later",
+        bsd: "BSD-2-Clause",
+        bsd + third: "BSD-3-Clause",
+        bsd + advert: "BSD-4-Clause",
+    }
+    got = {r["doc_id"]: r for r in license_scan.scan(docs_of(spark, list(cases))).collect()}
+    assert {t: got[i]["licenses"] for i, t in enumerate(cases)} == cases
+    assert got[15]["n_unknown"] == 1 and len(license_scan.known_sentences()) > 500
+
+
 def test_licences_on_awkward_rows(awkward, nothing):
-    assert license_scan.scan(awkward).count() == len(ROWS) and license_scan.scan(nothing).count() == 0
+    got = license_scan.scan(awkward).collect()
+    assert len(got) == len(ROWS) and all((r["n_sentences"], r["n_unknown"], r["sentence_ids"], r["licenses"]) == (0, 0, "", "") for r in got)
+    assert license_scan.scan(nothing).count() == 0
 
 
 def test_packing_holds_every_piece_once(spark, awkward, nothing):
