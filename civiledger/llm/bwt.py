@@ -1,9 +1,9 @@
 """Burrows-Wheeler transforms of shards of a string collection, merged by refining their interleave.
 
-A symbol is a word of ``WIDTH`` bytes together with its distance from its
+A symbol is a word of ``width`` bytes together with its distance from its
 string's anchor (and the string's group), so only stretches at equal distances
-from the anchors of one group are ever compared. A string stands for ``WIDTH``
-sequences of words, one for each place modulo ``WIDTH``.
+from the anchors of one group are ever compared. A string stands for ``width``
+sequences of words, one for each place modulo ``width``.
 
 Each shard is sorted on its own: suffixes by their words, from the ends on. Its
 transform is the word before each suffix in that order, and ``earlier`` leads
@@ -25,7 +25,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WIDTH = 8
+#: Bytes of a symbol: a multiple of 8 that divides the depth. Each round refines by one symbol.
+WIDTH = 40
 #: Bytes of strings in a shard.
 SHARD_BYTES = 1 << 18
 
@@ -65,7 +66,19 @@ def _by_symbol(symbol: np.ndarray, top: int) -> np.ndarray:
     return order[np.argsort((symbol[order] >> 16).astype(np.uint16), kind="stable")]
 
 
-def transforms(raw: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, groups: np.ndarray, shards: np.ndarray) -> Shards:
+def word_codes(raw: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Small numbers for the words of ``width`` bytes from each start on: equal just for equal words."""
+    parts = [np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))[starts + k] for k in range(0, width, 8)]
+    mixed = parts[0]
+    for part in parts[1:]:
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + part
+    _, first, code = np.unique(mixed, return_index=True, return_inverse=True)
+    if len(parts) > 1 and any(not np.array_equal(part, part[first][code]) for part in parts):  # two words of one hash
+        code = np.unique(np.stack(parts, axis=1), axis=0, return_inverse=True)[1].ravel()
+    return code
+
+
+def transforms(raw: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, groups: np.ndarray, shards: np.ndarray, width: int = WIDTH) -> Shards:
     """Sort each shard and transform it. Strings lie side by side in ``raw``."""
     # a suffix may be empty: one place more than bytes for each string
     owner = np.repeat(np.arange(len(sizes)), sizes + 1)
@@ -73,37 +86,35 @@ def transforms(raw: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, groups:
     at = np.arange(len(owner)) - firsts[owner]
     byte = np.cumsum(sizes) - sizes
     left = sizes[owner] - at
-    padded = np.concatenate([raw, np.zeros(WIDTH, np.uint8)])
     word = np.zeros(len(owner), np.int64)
-    full = left >= WIDTH
-    view = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
-    used, code = np.unique(view[(byte[owner] + at)[full]], return_inverse=True)
-    word[full] = code + 1
+    full = left >= width
+    if full.any():
+        word[full] = word_codes(raw, (byte[owner] + at)[full], width) + 1
     column = at + (int(anchors.max(initial=0)) - anchors)[owner]
-    step, phase = column // WIDTH, column % WIDTH
+    step, phase = column // width, column % width
     ahead = np.zeros(len(owner), np.int64)  # rank of the suffix one word later
     order = np.argsort(step, kind="stable")
     ends = np.searchsorted(step[order], np.arange(int(step.max(initial=-1)) + 2))
-    kind = (groups[owner] * WIDTH + phase) * (int(shards.max(initial=0)) + 1) + shards[owner]
+    kind = (groups[owner] * width + phase) * (int(shards.max(initial=0)) + 1) + shards[owner]
     suffix = np.zeros(len(owner), np.int64)
     for t in range(len(ends) - 2, -1, -1):
         here = order[ends[t] : ends[t + 1]]
         here = here[_sorted(kind[here], word[here], ahead[here])]
         suffix[ends[t] : ends[t + 1]] = here
         rank = np.arange(1, len(here) + 1)
-        has = at[here] >= WIDTH
-        ahead[here[has] - WIDTH] = rank[has]
+        has = at[here] >= width
+        ahead[here[has] - width] = rank[has]
     number = np.empty(len(owner), np.int64)
     number[suffix] = np.arange(len(suffix))
-    has = at[suffix] >= WIDTH
-    before = suffix[has] - WIDTH
+    has = at[suffix] >= width
+    before = suffix[has] - width
     transform, earlier = np.zeros(len(suffix), np.int32), np.zeros(len(suffix), np.int32)
     transform[has], earlier[has] = word[before], number[before]
-    blocks = step[suffix] * (int(groups.max(initial=0)) + 1) * WIDTH + groups[owner[suffix]] * WIDTH + phase[suffix]
+    blocks = step[suffix] * (int(groups.max(initial=0)) + 1) * width + groups[owner[suffix]] * width + phase[suffix]
     return Shards(suffix, blocks, shards[owner[suffix]].astype(np.int32), transform, earlier)
 
 
-def merged(shards: Shards, known: np.ndarray, depth: int) -> tuple[np.ndarray, list[int]]:
+def merged(shards: Shards, known: np.ndarray, depth: int, width: int = WIDTH) -> tuple[np.ndarray, list[int]]:
     """Suffixes in blocks with a common prefix of ``depth`` bytes, and the open suffixes in each round.
 
     ``known`` marks suffixes whose repeats are known already: they keep blocks
@@ -132,7 +143,7 @@ def merged(shards: Shards, known: np.ndarray, depth: int) -> tuple[np.ndarray, l
     starts = change(shards.block)
     first, size, block = opened(starts, starts | change(shards.shard), every)
     sizes = []
-    for _ in range(depth // WIDTH):
+    for _ in range(depth // width):
         total = int(size.sum())
         sizes.append(total)
         if not total:
@@ -160,23 +171,23 @@ def merged(shards: Shards, known: np.ndarray, depth: int) -> tuple[np.ndarray, l
     return out, [*sizes, total]
 
 
-def repeated(strings: list[bytes], anchors: np.ndarray, groups: np.ndarray, known: np.ndarray, depth: int, n_shards: int | None = None) -> list[np.ndarray]:
+def repeated(strings: list[bytes], anchors: np.ndarray, groups: np.ndarray, known: np.ndarray, depth: int, n_shards: int | None = None, width: int = WIDTH) -> list[np.ndarray]:
     """For each string, the starts of ``depth`` bytes that another string of its group has at the same distance from its anchor.
 
     Strings of a group that are ``known`` as repeated answer nothing themselves.
     Groups are numbered from 0 on and lie together. ``depth`` is a multiple of
-    ``WIDTH``.
+    ``width``.
     """
-    if depth % WIDTH:
-        raise ValueError(f"depth must be a multiple of {WIDTH}")
+    if depth % width or width % 8:
+        raise ValueError("the width must be a multiple of 8 and divide the depth")
     sizes = np.array([len(s) for s in strings], np.int64)
     if not sizes.sum():
         return [np.zeros(0, np.int64) for _ in strings]
     raw = np.frombuffer(b"".join(strings), np.uint8)
     n = n_shards or max(2, -(-len(raw) // SHARD_BYTES))
-    found = transforms(raw, sizes, anchors, groups, np.arange(len(sizes)) % n)
+    found = transforms(raw, sizes, anchors, groups, np.arange(len(sizes)) % n, width)
     owner = np.repeat(np.arange(len(sizes)), sizes + 1)[found.place]
-    hits, _ = merged(found, known[owner], depth)
+    hits, _ = merged(found, known[owner], depth, width)
     hits = np.sort(found.place[hits[~known[owner[hits]]]])
     firsts = np.cumsum(sizes + 1) - sizes - 1
     cuts = np.searchsorted(hits, np.append(firsts, len(owner)))

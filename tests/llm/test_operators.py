@@ -433,8 +433,24 @@ def test_merged_transforms_against_counts():
             [] if k else [i for i in range(len(s) - depth + 1) if seen[g, i - a, s[i : i + depth]] > 1]
             for s, a, g, k in zip(strings, anchors, groups, known, strict=True)
         ]
-        for shards in (1, 2, 3):
-            assert [x.tolist() for x in bwt.repeated(strings, anchors, groups, known, depth, shards)] == want
+        for shards, width in ((1, 8), (2, 8), (3, 8), (2, depth)):
+            assert [x.tolist() for x in bwt.repeated(strings, anchors, groups, known, depth, shards, width)] == want
+
+
+def test_words_of_one_hash_stay_apart(monkeypatch):
+    raw = np.frombuffer(bytes(range(200)) * 2, np.uint8)
+    starts = np.arange(0, 350)
+    want = np.unique([raw[s : s + 16].tobytes() for s in starts], return_inverse=True)[1]
+    same = lambda a, b: len(set(zip(a.tolist(), b.tolist(), strict=True))) == len(set(a.tolist())) == len(set(b.tolist()))
+    assert same(bwt.word_codes(raw, starts, 16), want)
+    real, calls = np.unique, []
+
+    def clash(x, **kw):
+        calls.append(x.ndim)
+        return real(x & np.uint64(1) if x.ndim == 1 else x, **kw)
+
+    monkeypatch.setattr(bwt.np, "unique", clash)
+    assert same(bwt.word_codes(raw, starts, 16), want) and calls == [1, 2]
 
 
 def test_the_merge_needs_sorted_shards_and_stops_by_itself():
@@ -443,19 +459,19 @@ def test_the_merge_needs_sorted_shards_and_stops_by_itself():
     strings = [bytes(r.choice(b"abcd") for _ in range(r.randint(30, 60))) for _ in range(6)]
     strings += [s[:20] + s[24:] for s in strings] + [s[:9] + b"x" + s[10:] for s in strings]
     sizes, anchors, groups = np.array([len(s) for s in strings]), np.zeros(18, int), np.zeros(18, int)
-    made = bwt.transforms(np.frombuffer(b"".join(strings), np.uint8), sizes, anchors, groups, np.arange(18) % 2)
-    right, rounds = bwt.merged(made, np.zeros(len(made.place), bool), 16)
+    made = bwt.transforms(np.frombuffer(b"".join(strings), np.uint8), sizes, anchors, groups, np.arange(18) % 2, 8)
+    right, rounds = bwt.merged(made, np.zeros(len(made.place), bool), 16, 8)
     assert len(right) and rounds == sorted(rounds, reverse=True)
     # the same columns and shards, but no order of suffixes within them
     mixed = np.lexsort([np.random.default_rng(1).random(len(made.place)), made.shard, made.block])
     back = np.empty_like(mixed)
     back[mixed] = np.arange(len(mixed))
     wrong = bwt.Shards(made.place[mixed], made.block[mixed], made.shard[mixed], made.transform[mixed], back[made.earlier[mixed]].astype(np.int32))
-    got, _ = bwt.merged(wrong, np.zeros(len(made.place), bool), 16)
+    got, _ = bwt.merged(wrong, np.zeros(len(made.place), bool), 16, 8)
     assert sorted(wrong.place[got]) != sorted(made.place[right])
     apart = [bytes(r.choice(range(256)) for _ in range(300)) for _ in range(4)]
-    made = bwt.transforms(np.frombuffer(b"".join(apart), np.uint8), np.full(4, 300), np.zeros(4, int), np.zeros(4, int), np.arange(4) % 2)
-    hits, rounds = bwt.merged(made, np.zeros(len(made.place), bool), 200)
+    made = bwt.transforms(np.frombuffer(b"".join(apart), np.uint8), np.full(4, 300), np.zeros(4, int), np.zeros(4, int), np.arange(4) % 2, 8)
+    hits, rounds = bwt.merged(made, np.zeros(len(made.place), bool), 200, 8)
     assert not len(hits) and len(rounds) < 5
 
 
