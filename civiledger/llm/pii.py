@@ -3,7 +3,7 @@
 The base spans are those of fixed patterns. A bidirectional LSTM with a CRF
 (``tagger``) reads every text whole, in overlapping windows. The windows are
 decoded and reconciled over the text: where the best path of a window has a tag
-at all, it and its neighbours are put together, each character scored by the
+at all, it and the neighbours that a tag may reach into are put together, each character scored by the
 window that it lies deepest in, and the CRF is decoded once along the whole
 stretch; windows where no path beats no tag by ``LEAST_SCORE`` need no more. A tagged span is added
 if it beats no tag by ``LEAST_SCORE``, once widened to whole words, is of a
@@ -44,8 +44,10 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _HAS_DIGIT = re.compile("[0-9]")
 #: Characters of a window and from one to the next; windows read at once, characters of texts handled at once.
-WINDOW, STRIDE, ROWS, CHARS = 128, 104, 768, 1 << 21
+WINDOW, STRIDE, ROWS, CHARS = 128, 104, 768, 1 << 22
 LEAST_SCORE = 3.0
+#: A tag's score this much under that of none may still be part of a span.
+NEARLY = 0.0
 #: What widens a span of each kind to a whole word, on its left and right.
 _WIDER = {k: re.compile(r"[A-Za-z0-9._%+-]" if k == "email" else "[0-9]") for k in KINDS}
 #: The rest of a domain and what dots in brackets join to it.
@@ -143,9 +145,12 @@ def _stretches(code: np.ndarray, sizes: np.ndarray, tagger: Tagger) -> Iterator[
         x = np.where(steps < left[a:b, None], code[begins[a:b, None] + steps], PAD)
         e = tagger.emissions(x)
         some = ~tagger.none_best(e, LEAST_SCORE)
+        # a neighbour is needed where a tag is not far behind none in what both windows read
+        close = e[:, 1:].max(axis=1) > e[:, 0] - NEARLY
+        shared, together = WINDOW - STRIDE, owner[a + 1 : b] == owner[a : b - 1]
         near = some.copy()
-        near[1:] |= some[:-1] & (owner[a + 1 : b] == owner[a : b - 1])
-        near[:-1] |= some[1:] & (owner[a + 1 : b] == owner[a : b - 1])
+        near[1:] |= some[:-1] & together & close[-shared:, :-1].any(axis=0)
+        near[:-1] |= some[1:] & together & close[:shared, 1:].any(axis=0)
         for r in (np.flatnonzero(near[top - a : top - a + ROWS]) + top).tolist():
             i, scores = int(owner[r]), e[:, :, r - a]
             if open_ and (open_[0] != i or open_[3] != r - 1):
@@ -191,7 +196,7 @@ def _decoded(found: list[tuple[int, int, np.ndarray]], tagger: Tagger) -> Iterat
     at = 0
     while at < len(found):
         to = at + 1
-        while to < len(found) and to - at < ROWS and len(found[to][2]) <= len(found[at][2]) * 5 // 4 + STRIDE:
+        while to < len(found) and to - at < ROWS and len(found[to][2]) <= 2 * len(found[at][2]):
             to += 1
         longest = len(found[to - 1][2])
         e = np.full((longest, TAGS, to - at), -1e4, np.float32)
