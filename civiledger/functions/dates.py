@@ -35,3 +35,22 @@ def add_months_rolling(d: Column, n: int) -> Column:
 def inferred_year(c: Column) -> Column:
     """The greatest plausible four-digit year in a text."""
     return F.array_max(F.transform(F.regexp_extract_all(c, F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1)), lambda x: x.cast("int")))
+
+
+def not_future(d: Column, today: Column) -> Column:
+    """The day if it is not after ``today``, else null."""
+    return F.when(d <= today, d)
+
+
+def is_recent(d: Column, today: Column, days: int) -> Column:
+    return F.coalesce((d <= today) & (F.date_diff(today, d) < days), F.lit(False))
+
+
+def diverges(published: Column, year: Column) -> Column:
+    """Whether the instrument's year is another than that of its publication; not where either is unknown."""
+    return F.coalesce(F.year(published) != year, F.lit(False))
+
+
+def cadence(year: Column, present: Column) -> Column:
+    """How often a year's records are collected again: the older the year, the more seldom."""
+    return F.when(year >= present, "daily").when(year == present - 1, "weekly").when(year.isNotNull(), "monthly")

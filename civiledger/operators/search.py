@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,10 +15,10 @@ K1, B, RRF = 1.2, 0.75, 60
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, term, tf, doc_length."""
-    words = docs.select(F.col(key).alias("doc"), F.explode(F.filter(F.split(fold_lower(F.col(text)), "[^a-z0-9]+"), lambda w: F.length(w) > 0)).alias("term"))
-    tf = words.groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    return tf.withColumn("doc_length", F.sum("tf").over(Window.partitionBy("doc")))
+    """doc, term, tf, doc_length; documents are told apart by their key. The length is known before words are told apart, so one exchange is enough."""
+    words = docs.select(F.col(key).alias("doc"), F.filter(F.split(fold_lower(F.col(text)), "[^a-z0-9]+"), lambda w: F.length(w) > 0).alias("words"))
+    words = words.select("doc", F.size("words").cast("bigint").alias("doc_length"), F.explode("words").alias("term"))
+    return words.groupBy("doc", "term", "doc_length").agg(F.count("*").alias("tf")).select("doc", "term", "tf", "doc_length")
 
 
 def bm25(index: DataFrame, terms: list[str], n_docs: Column | int, average: Column | float) -> DataFrame:
@@ -29,8 +31,9 @@ def bm25(index: DataFrame, terms: list[str], n_docs: Column | int, average: Colu
 
 
 def prefix_and(index: DataFrame, prefixes: list[str]) -> DataFrame:
-    """doc, hits: documents that hold a word for each prefix (eight at most)."""
-    prefixes = prefixes[:8]
+    """doc, hits: documents that hold a word for each prefix (eight at most, by definition of the search)."""
+    if len(prefixes) > 8:
+        raise ValueError("a search takes eight prefixes at most")
     which = F.array_compact(F.array(*[F.when(F.col("term").startswith(p), F.lit(i)) for i, p in enumerate(prefixes)]))
     rows = index.select("doc", "tf", F.explode(which).alias("i"))
     return rows.groupBy("doc").agg(F.countDistinct("i").alias("n"), F.sum("tf").alias("hits")).filter(F.col("n") == len(prefixes)).select("doc", "hits")
@@ -65,16 +68,23 @@ def normalised(a: Column) -> Column:
 
 
 def quantised(a: Column) -> Column:
-    """Symmetric 8-bit integers, halves up."""
+    """Symmetric 8-bit integers, halves up. The scale is bound once a row."""
     top = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
-    return F.transform(a, lambda x: F.when(top > 0, F.floor(x.cast("double") * 127 / top + 0.5)).otherwise(0).cast("int"))
+    each = lambda t: F.transform(a, lambda x: F.when(t > 0, F.floor(x.cast("double") * 127 / t + 0.5)).otherwise(0).cast("int"))
+    return F.transform(F.array(top), each)[0]
+
+
+def dequantised(a: Column, top: Column) -> Column:
+    """Doubles again, for the greatest absolute value that was."""
+    return F.transform(a, lambda x: x * top / 127)
 
 
 def knn(vectors: DataFrame, key: str, vector: str, query: list[float], k: int, where: Column | None = None) -> DataFrame:
     """The nearest rows by cosine, exactly, after any filter; ties by id."""
     rows = vectors if where is None else vectors.filter(where)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return rows.select(key, cosine(F.col(vector), q).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    q, length = F.array(*[F.lit(float(x)) for x in query]), math.sqrt(sum(float(x) ** 2 for x in query))
+    n = norm(F.col(vector)) * F.lit(length)  # the query's norm is known here
+    return rows.select(key, F.when(n > 0, dot(F.col(vector), q) / n).otherwise(F.lit(0.0)).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def reciprocal_rank_fusion(*branches: DataFrame) -> DataFrame:

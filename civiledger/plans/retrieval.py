@@ -90,7 +90,9 @@ def int8_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors by their 8-bit forms."""
     rows = table(spark, sf_dir, "embeddings")
     q = rows.filter("vec_id = 0").select(search.quantised(F.col("embedding")).alias("q")).first()[0]
-    near = rows.select("vec_id", F.round(search.cosine(search.quantised(F.col("embedding")), F.array(*[F.lit(x) for x in q])), 6).alias("score"))
+    # quantised once a row: norm and product read the bound array
+    score = F.transform(F.array(search.quantised(F.col("embedding"))), lambda v: search.cosine(v, F.array(*[F.lit(x) for x in q])))[0]
+    near = rows.select("vec_id", F.round(score, 6).alias("score"))
     return near.orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", F.round("score", 4).alias("score"))
 
 
