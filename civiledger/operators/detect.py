@@ -76,3 +76,23 @@ def coverage(listed: DataFrame, found: DataFrame, key: str, by: str) -> DataFram
     have = found.select(key).distinct().withColumn("_hit", F.lit(1))
     rows = listed.join(have, key, "left").groupBy(by).agg(F.count("*").alias("listed"), F.count("_hit").alias("found"))
     return rows.select(by, "listed", "found", (F.col("listed") - F.col("found")).alias("absent"), F.floor(100 * F.col("found") / F.col("listed") + 0.5).cast("bigint").alias("percent"))
+
+
+def revalidated(rows: DataFrame, text: str, urls: str) -> DataFrame:
+    """Adds codes of what is pending and the advice: block, check or ok.
+
+    No evidence and accusing words block; a missing source and a placeholder
+    left in the text ask for a check.
+    """
+    t, u = F.col(text), F.col(urls)
+    blocks = {"no-evidence": F.size(u) == 0, "accusation": F.lower(t).rlike("fraud|corrupt|crime|theft")}
+    checks = {"no-source": F.exists(u, lambda x: F.coalesce(~x.rlike("^https?://"), F.lit(True))), "placeholder": t.rlike(r"_{3,}|X{4,}|\.{5,}")}
+    codes = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in (blocks | checks).items()]))
+    hit = lambda of: F.exists("codes", lambda c: c.isin(*of))
+    return rows.withColumn("codes", codes).withColumn("advice", F.when(hit(blocks), "block").when(hit(checks), "check").otherwise("ok"))
+
+
+def may_publish(version: Column, ticked: Column, required: list[str], pending: Column) -> Column:
+    """Only findings of deterministic versions are held back, until all fields are ticked and nothing is pending."""
+    complete = (F.size(F.array_except(F.array(*map(F.lit, required)), ticked)) == 0) & (pending == 0)
+    return ~version.startswith("deterministic") | complete

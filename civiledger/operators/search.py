@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_lower
+from .scans import scan_sorted
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -107,24 +108,33 @@ def context_budget(ranked: DataFrame, score: str, text: str, rank: str, least: f
 def greedy_clusters(rows: DataFrame, group: str, key: str, vector: str, weight: str, least: float) -> DataFrame:
     """Within each group, by weight: a row joins the nearest centre or becomes one. Depends on order, so a group is scanned."""
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([weight, key], ascending=[False, True])
-        x = np.stack(pdf[vector].to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        centres, names, out = [], [], []
-        for k, v in zip(pdf[key], x, strict=True):
-            near = np.array(centres) @ v if centres else np.zeros(0)
+    def scan() -> Callable[[tuple | None], list[tuple]]:
+        # what is held for a group are its centres
+        names: list = []
+        centres = np.zeros((0, 0))
+
+        def step(row: tuple | None) -> list[tuple]:
+            nonlocal centres
+            if row is None:
+                return []
+            of, name, x, _ = row
+            x = np.asarray(x, float)
+            x /= max(np.linalg.norm(x), 1e-12)
+            near = centres[: len(names)] @ x if names else np.zeros(0)
             best = int(near.argmax()) if len(near) else -1
             if best >= 0 and near[best] >= least:
-                out.append(names[best])
-            else:
-                centres.append(v)
-                names.append(k)
-                out.append(k)
-        return pd.DataFrame({group: pdf[group], key: pdf[key], "centre": out})
+                return [(of, name, names[best])]
+            if len(names) == len(centres):
+                centres = np.concatenate([centres.reshape(-1, len(x)), np.zeros((max(16, len(names)), len(x)))])
+            centres[len(names)] = x
+            names.append(name)
+            return [(of, name, name)]
+
+        return step
 
     kinds = dict(rows.dtypes)
-    return rows.select(group, key, vector, weight).groupBy(group).applyInPandas(scan, f"{group} {kinds[group]}, {key} {kinds[key]}, centre {kinds[key]}")
+    schema = f"{group} {kinds[group]}, {key} {kinds[key]}, centre {kinds[key]}"
+    return scan_sorted(rows.select(group, key, vector, weight), [group], [F.desc(weight), key], schema, scan)
 
 
 def retrieval_quality(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -132,3 +142,38 @@ def retrieval_quality(results: DataFrame, relevant: DataFrame, k: int) -> DataFr
     hit = relevant.join(results, ["query", "doc"], "left")
     per = hit.groupBy("query").agg(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias("recall"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("rr"))
     return per.agg(F.count("*").alias("n_queries"), F.avg("recall").alias("recall"), F.avg("rr").alias("mrr"))
+
+
+def ranked_prefix_search(index: DataFrame, docs: DataFrame, key: str, prefixes: list[str], n_docs: int, average: float, where: Column, k: int) -> DataFrame:
+    """key, score, n_all: the ``k`` best documents that hold a word for each prefix and pass the filter, and how many do in all.
+
+    Only rows of words that a prefix begins leave the index's tasks.
+    """
+    if len(prefixes) > 8:
+        raise ValueError("a search takes eight prefixes at most")
+    which = F.array_compact(F.array(*[F.when(F.col("term").startswith(p), F.lit(i)) for i, p in enumerate(prefixes)]))
+    rows = index.withColumn("i", which).filter(F.size("i") > 0)
+    df = rows.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_length") / F.lit(average)))
+    scored = rows.join(df, "term").groupBy("doc").agg(F.sum(part).alias("score"), F.size(F.array_distinct(F.flatten(F.collect_set("i")))).alias("n"))
+    good = scored.filter(F.col("n") == len(prefixes)).join(docs.filter(where).select(F.col(key).alias("doc")), "doc", "left_semi")
+    total = good.agg(F.count("*").alias("n_all"))
+    return good.select(F.col("doc").alias(key), F.round("score", 6).alias("score")).orderBy(F.desc("score"), key).limit(k).join(F.broadcast(total), F.lit(True))  # one row
+
+
+def any_terms(docs: DataFrame, key: str, text: Column, terms: list[str], phrases: list[list[str]]) -> DataFrame:
+    """key, n_terms, has_phrase of documents with any of the terms; identifiers are phrases whose words stand side by side."""
+    words = F.filter(F.split(fold_lower(text), "[^a-z0-9]+"), lambda w: F.length(w) > 0)
+    joined = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    phrase = F.lit(False)
+    for p in phrases:
+        phrase = phrase | joined.contains(" " + " ".join(p) + " ")
+    rows = docs.select(key, words.alias("w")).select(key, F.size(F.array_intersect("w", F.array(*map(F.lit, terms)))).alias("n_terms"), phrase.alias("has_phrase"))
+    return rows.filter("n_terms > 0 OR has_phrase")
+
+
+def promoted(rows: DataFrame, key: str, cites: Column, matched: Column, rank: str) -> DataFrame:
+    """New places: rows that cite the identifier first, by matched terms, and else in the order they had. For the few candidates of one query."""
+    w = Window.orderBy(F.desc(cites.cast("int")), F.desc(F.when(cites, matched).otherwise(0)), rank)
+    return rows.select(key, F.row_number().over(w).alias("place"))

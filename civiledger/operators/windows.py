@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import scan_sorted
+
 
 def latest_row(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row a key: the first by ``order``, which must be total."""
@@ -98,15 +102,22 @@ def outliers(rows: DataFrame, keys: list[str], value: str, least: float) -> Data
 def anchored_buckets(events: DataFrame, key: str, at: str, text: str, seconds: int) -> DataFrame:
     """Texts joined in buckets of at least ``seconds``, each anchored at its first event."""
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, text])
-        out: list[list] = []
-        for t, s in zip(pdf[at], pdf[text], strict=True):
-            if not out or (t - out[-1][1]).total_seconds() >= seconds:
-                out.append([pdf[key].iloc[0], t, 0, ""])
-            out[-1][2] += 1
-            out[-1][3] = f"{out[-1][3]} {s}".strip()
-        return pd.DataFrame(out, columns=[key, "bucket_start", "n", "joined"])
+    def scan() -> Callable[[tuple | None], list[tuple]]:
+        # what is held for a key is its open bucket
+        bucket: list = []
+
+        def step(row: tuple | None) -> list[tuple]:
+            closed = []
+            if bucket and (row is None or (row[1] - bucket[1]).total_seconds() >= seconds):
+                closed = [(bucket[0], bucket[1], len(bucket[2]), " ".join(bucket[2]).strip())]
+                bucket.clear()
+            if row is not None:
+                if not bucket:
+                    bucket.extend([row[0], row[1], []])
+                bucket[2].append(row[2] or "")
+            return closed
+
+        return step
 
     kind = dict(events.dtypes)[key]
-    return events.select(key, at, text).groupBy(key).applyInPandas(scan, f"{key} {kind}, bucket_start timestamp, n bigint, joined string")
+    return scan_sorted(events.select(key, at, text), [key], [at, text], f"{key} {kind}, bucket_start timestamp, n bigint, joined string", scan)

@@ -70,13 +70,13 @@ def as_of_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_R.add("""
 WITH s AS (SELECT DISTINCT event_type, CAST(ts AS DATE) AS day FROM events WHERE event_type IN ('error', 'signup')),
-p AS (SELECT event_type, user_id, min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b, count(DISTINCT CAST(ts AS DATE)) AS present FROM events WHERE user_id % 20 = 0 GROUP BY ALL)
+p AS (SELECT event_type, user_id, min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b, count(DISTINCT CAST(ts AS DATE)) AS present FROM events GROUP BY ALL)
 SELECT event_type, user_id, count(*) AS expected, max(present) AS present FROM s JOIN p USING (event_type) WHERE day BETWEEN a AND b GROUP BY ALL""")
 def range_containment_attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session days within each person's first and last day, for the stated set of people (user_id divisible by 20)."""
+    """Session days within each person's first and last day."""
     e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     days = e.filter(F.col("event_type").isin("error", "signup")).select("event_type", "day").distinct()
-    people = e.filter("user_id % 20 = 0").groupBy("event_type", "user_id").agg(F.min("day").alias("a"), F.max("day").alias("b"), F.countDistinct("day").alias("present"))
+    people = e.groupBy("event_type", "user_id").agg(F.min("day").alias("a"), F.max("day").alias("b"), F.countDistinct("day").alias("present"))
     rows = linkage.range_containment(days, people, "event_type", "day", "a", "b")
     return rows.groupBy("event_type", "user_id").agg(F.count("*").alias("expected"), F.max("present").alias("present"))
 
@@ -122,25 +122,17 @@ _WORDS = "list_distinct(list_filter(string_split_regex(lower(strip_accents({0}))
 
 
 @_R.add(f"""
-WITH d AS (SELECT doc_id, {_WORDS.format("text", 5)} AS x FROM documents WHERE length(text) < 1000), b AS (SELECT item_id, {_WORDS.format("text", 5)} AS y FROM benchmark),
+WITH d AS (SELECT doc_id, {_WORDS.format("text", 5)} AS x FROM documents), b AS (SELECT item_id, {_WORDS.format("text", 5)} AS y FROM benchmark),
 s AS (SELECT doc_id, item_id, CAST(floor(100.0 * len(list_intersect(x, y)) / least(len(x), len(y)) + 0.5) AS INT) AS score FROM d, b WHERE len(x) > 0 AND len(y) > 0)
 SELECT doc_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS r FROM s WHERE score >= 40) WHERE r = 1""")
 def scored_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short documents with the item whose tokens they hold most of; candidates share a token."""
-    docs = table(spark, sf_dir, "documents").filter(F.length("text") < 1000).select("doc_id", tokens(F.col("text"), 5).alias("x"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", tokens(F.col("text"), 5).alias("y"))
-    one, two = docs.withColumn("w", F.explode("x")), items.withColumn("w", F.explode("y"))
-    both = one.join(two, "w").select("doc_id", "item_id", "x", "y").dropDuplicates(["doc_id", "item_id"])
-    score = F.floor(100 * overlap(F.col("x"), F.col("y")) + 0.5).cast("int")
-    from ..operators.windows import latest_row
-
-    rows = both.select("doc_id", "item_id", score.alias("score")).filter("score >= 40")
-    return latest_row(rows, ["doc_id"], F.desc("score"), F.col("item_id"))
+    """Documents with the item whose tokens they hold most of; candidates share a token."""
+    return linkage.token_match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", 5, 40)
 
 
 @_R.add()
 def scored_fuzzy_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of any length with the item whose tokens they hold most of. It has no SQL; a test compares it by brute force."""
+    """Documents of any length with the item whose tokens they hold most of. A test compares it by brute force."""
     return linkage.token_match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", 5, 40)
 
 

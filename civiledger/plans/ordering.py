@@ -84,15 +84,15 @@ def share_of_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("p_type", "l_suppkey", F.col("v").cast("double").alias("total"), (F.floor(share * 1_000_000 + 0.5) / 10_000).alias("share_percent"))
 
 
-_NUMBERS = f"(SELECT DISTINCT fiscal_year, payee_id AS number FROM {LEDGER} WHERE payee_id < 400)"
+_NUMBERS = f"(SELECT DISTINCT fiscal_year, payee_id AS number FROM {LEDGER})"
 
 
 @_R.add(f"""
 SELECT fiscal_year, before, after, unnest(range(before + 1, after)) AS missing FROM (SELECT fiscal_year, number AS before, lead(number) OVER (PARTITION BY fiscal_year ORDER BY number) AS after FROM {_NUMBERS})
 WHERE after > before + 1""")
 def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers missing from each year's series (the series is that of numbers under 400)."""
-    return windows.missing_numbers(ledger(spark, sf_dir).filter("payee_id < 400").withColumnRenamed("payee_id", "number"), ["fiscal_year"], "number")
+    """Numbers missing from each year's series."""
+    return windows.missing_numbers(ledger(spark, sf_dir).withColumnRenamed("payee_id", "number"), ["fiscal_year"], "number")
 
 
 @_R.add("""

@@ -8,7 +8,10 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from civiledger.plans import catalogue
+from civiledger.functions import keys, text
+from civiledger.operators import extract
 from comparing import SF, duck_rows, rows_of
+from pyspark.sql import functions as F
 
 
 
@@ -68,6 +71,62 @@ def test_anchored_buckets_hold_every_event_once(spark):
     assert all((b - a).total_seconds() >= 6 * 3600 for x in by.values() for a, b in zip(sorted(x), sorted(x)[1:], strict=False))
 
 
+def test_jaccard_clusters_against_a_plain_scan(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("source", "doc_id", text.tokens(F.col("text")).alias("tokens")).orderBy("source", "doc_id").collect()
+    want, centres = {}, defaultdict(list)
+    for r in rows:
+        x = set(r["tokens"])
+        best = next((i for i, y in centres[r["source"]] if len(x & y) >= 0.75 * len(x | y) and x & y), None)
+        want[r["doc_id"]] = r["doc_id"] if best is None else best
+        if best is None:
+            centres[r["source"]].append((r["doc_id"], x))
+    got = {r["doc_id"]: r["centre"] for r in catalogue.QUERIES["greedy_jaccard_clusters"](spark, SF).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+    sizes = defaultdict(int)
+    for c in want.values():
+        sizes[c] += 1
+    assert {r["centre"]: r["n_documents"] for r in catalogue.QUERIES["recurring_objects"](spark, SF).collect()} == {c: n for c, n in sizes.items() if n > 1}
+
+
+def test_samples_are_of_every_group_and_stay(spark, duck):
+    draw = lambda: sorted((r["fiscal_year"], r["kind"], r["entry_id"]) for r in catalogue.QUERIES["sampled_rows"](spark, SF).collect())
+    got = draw()
+    sizes = dict(((y, k), n) for y, k, n in duck.execute("SELECT CAST(year(o_orderdate) AS INT), o_orderstatus, count(*) FROM orders GROUP BY ALL").fetchall())
+    count = defaultdict(int)
+    for y, k, _ in got:
+        count[y, k] += 1
+    assert count == {g: min(n, 5) for g, n in sizes.items()} and got == draw()
+
+
+def test_anchored_buckets_against_a_plain_scan(spark):
+    got = {(r["user_id"], r["bucket_start"]): (r["n"], r["joined"]) for r in catalogue.QUERIES["anchored_time_buckets"](spark, SF).collect()}
+    want, last = {}, {}
+    for r in sorted(spark.read.parquet(f"{SF}/events.parquet").collect(), key=lambda r: (r["user_id"], r["ts"], r["event_type"])):
+        at = last.get(r["user_id"])
+        if at is None or (r["ts"] - at).total_seconds() >= 6 * 3600:
+            at = last[r["user_id"]] = r["ts"]
+            want[r["user_id"], at] = (0, "")
+        n, said = want[r["user_id"], at]
+        want[r["user_id"], at] = (n + 1, f"{said} {r['event_type']}".strip())
+    assert got == want
+
+
+def test_quoted_lines_and_blocks_without_an_end(spark):
+    lines = [(1, i, x) for i, x in enumerate(["noise", 'REGISTRATION;7', 'PERIOD;13/2021', '1;Pay;1.000,50;0,00', 'TOTALS;"Gross: 1.000,50', "", 'Net: 9,99"', "REGISTRATION;8", 'DEPARTMENT;"a', "REGISTRATION;9", 'b"', "1;x;1,00;0,00"])]
+    rows = spark.createDataFrame(lines, "file int, number int, line string")
+    logical = {r["number"]: r["line"] for r in extract.logical_lines(rows, "file", "number", "line").collect()}
+    assert logical[5] == 'TOTALS;"Gross: 1.000,50\n\nNet: 9,99"' and logical[7] == 'DEPARTMENT;"a\nREGISTRATION;9\nb"' and len(logical) == 8
+    (r,) = extract.payroll_blocks(rows, "file", "number", "line").collect()
+    assert (r["registration"], r["month"], r["year"], r["gross"], r["net"], r["n_rubrics"], r["earnings"]) == ("7", 13, 2021, 1000.5, 9.99, 1, 1000.5)
+
+
+def test_searches_of_too_many_terms_are_refused(spark):
+    with pytest.raises(ValueError):
+        keys.search_terms("a b c d e f g h i")
+    assert keys.search_terms('Ação AND "foo*"') == ["acao", "foo"] and keys.escape_like("5%_") == "5\\%\\_"
+    assert keys.period_years(2020, 2021) == [2020] and keys.period_years(None, 2021) == [2021, 2022, 2023, 2024] and keys.period_years(None, None) is None
+
+
 def test_attendance_covers_everybody(spark, duck):
     got = catalogue.QUERIES["range_containment_attendance_all"](spark, SF).select("event_type", "user_id").collect()
     want = duck.execute("SELECT DISTINCT event_type, user_id FROM events WHERE event_type IN ('error', 'signup')").fetchall()
