@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table under ``spark.checkpoint.dir`` (a temporary folder where that is unset) and read it back."""
+    """Write a table under ``spark.checkpoint.dir`` and read it back. Unset, a temporary folder stands in, in local mode only."""
     spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = getattr(spark, "_civiledger_tables", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = spark._civiledger_tables = "file://" + tempfile.mkdtemp(prefix="spark-")
     path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
