@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The columns of ``documents``; operators read these and ignore any others.
@@ -15,13 +15,15 @@ DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def scratch_root(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Where it is unset (tests,
-    local mode) a temporary folder is made once and kept on the session.
+    ``spark.checkpoint.dir`` names it on a cluster. Where it is unset, in local
+    mode only, a temporary folder is made once and kept on the session.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = getattr(spark, "_civiledger_scratch", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="spark-")
             spark._civiledger_scratch = root
     return root.rstrip("/")
@@ -63,8 +65,3 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     kinds = {"doc_id": "bigint", "n_chars": "bigint"}
     have = set(df.columns)
     return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).cast(kinds.get(n, "string")).alias(n) for n in names])
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once a row, as SQL has no local names."""
-    return F.transform(F.array(value), body)[0]
