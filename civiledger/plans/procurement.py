@@ -216,12 +216,12 @@ def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_R.add("""
-SELECT lang, source, count(*) AS n, count(DISTINCT CASE WHEN quality IS NOT NULL THEN d.doc_id END) AS n_summarised, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_good, round(avg(n_chars / 20000.0), 6) AS mean_confidence, count(*) FILTER (WHERE n_chars < 500) AS n_low,
+SELECT lang, source, count(*) AS n, count(DISTINCT CASE WHEN quality IS NOT NULL THEN d.doc_id END) AS n_summarised, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_good, CAST(sum(n_chars) * 50 // count(*) AS BIGINT) AS mean_confidence, count(*) FILTER (WHERE n_chars < 500) AS n_low,
  count(*) FILTER (WHERE n_chars >= 500 AND n_chars < 2000) AS n_middle FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id) GROUP BY lang, source""")
 def summary_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage by summaries, mean and low confidence, and what waits for review in each band."""
+    """Coverage by summaries, mean (in millionths) and low confidence, and what waits for review in each band."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
     n = F.col("n_chars")
     return rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("quality").isNotNull(), F.col("doc_id"))).alias("n_summarised"), F.count_if(F.col("quality") == 1).alias("n_good"),
-        F.round(F.avg(n / 20000), 6).alias("mean_confidence"), F.count_if(n < 500).alias("n_low"), F.count_if((n >= 500) & (n < 2000)).alias("n_middle"))
+        F.expr("CAST(sum(n_chars) AS BIGINT) * 50 DIV count(*)").alias("mean_confidence"), F.count_if(n < 500).alias("n_low"), F.count_if((n >= 500) & (n < 2000)).alias("n_middle"))
