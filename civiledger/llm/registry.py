@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, quality_rules
+from . import license_scan, quality_rules, resampling
 from .decontamination import op10_decontamination
 from .minhash import op4_minhash_dedup
 from .packing import op2_packing
@@ -23,9 +23,11 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
     "op10_decontamination": op10_decontamination,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
 }
 #: DuckDB SQL where it can express the operator.
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op3_license_scan": license_scan.ORACLE,
+    "op11_importance_resampling": resampling.ORACLE,
 }
