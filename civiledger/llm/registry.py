@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, quality_rules, resampling
+from . import license_scan, quality_rules, resampling, whitening
 from .decontamination import op10_decontamination
 from .minhash import op4_minhash_dedup
 from .packing import op2_packing
@@ -24,6 +24,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_decontamination": op10_decontamination,
     "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
 }
 #: DuckDB SQL where it can express the operator.
 ORACLES: dict[str, str] = {
