@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, quality_rules, resampling, whitening
+from . import license_scan, quality_rules, resampling, url_filter, whitening
 from .decontamination import op10_decontamination
 from .minhash import op4_minhash_dedup
 from .packing import op2_packing
@@ -25,6 +25,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_importance_resampling": resampling.op11_importance_resampling,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_url_filter": url_filter.op13_url_filter,
 }
 #: DuckDB SQL where it can express the operator.
 ORACLES: dict[str, str] = {
