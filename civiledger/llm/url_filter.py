@@ -99,7 +99,7 @@ def cells(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(rows: DataFrame) -> np.ndarray:
-    """Counts by half, verdict (allow, block) and cell, of rows with columns url, half and allow."""
+    """Counts by half, verdict (allow, block) and cell, of rows with columns judged_url, half and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(4 * CELLS, np.int64)
@@ -113,7 +113,7 @@ def train(rows: DataFrame) -> np.ndarray:
         (seen,) = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["cell", "n"])
 
-    counted = rows.select("url", "half", "block").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counted = rows.select("judged_url", "half", "block").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(4 * CELLS, np.int64)
     out[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
     return out.reshape(2, 2, CELLS)
@@ -163,7 +163,7 @@ def calibrate(at: np.ndarray, allowed: np.ndarray, blocked: np.ndarray) -> tuple
 
 def _scored(rows: DataFrame, ratios: list[Ratio]) -> DataFrame:
     """The rows' other columns and ``score``, by the model that ``half`` picks."""
-    keep = [c for c in rows.columns if c not in ("url", "half")]
+    keep = [c for c in rows.columns if c not in ("judged_url", "half")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +177,7 @@ def _scored(rows: DataFrame, ratios: list[Ratio]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[part.column(i + 2) for i in range(len(keep))], pa.array(score)], [*keep, "score"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep]
-    return rows.select("url", "half", *keep).mapInArrow(run, ", ".join([*kinds, "score double"]))
+    return rows.select("judged_url", "half", *keep).mapInArrow(run, ", ".join([*kinds, "score double"]))
 
 
 def fit(judged: DataFrame) -> tuple[Ratio, float, float] | None:
@@ -185,8 +185,8 @@ def fit(judged: DataFrame) -> tuple[Ratio, float, float] | None:
 
     ``judged`` has host, path and verdict.
     """
-    rows = judged.filter("verdict IS NOT NULL").select(F.concat("host", "path").alias("url"), F.expr("CAST(verdict = 'block' AS BIGINT)").alias("block"))
-    rows = rows.withColumn("half", F.expr("pmod(xxhash64(url), 2)"))
+    rows = judged.filter("verdict IS NOT NULL").select(F.concat("host", "path").alias("judged_url"), F.expr("CAST(verdict = 'block' AS BIGINT)").alias("block"))
+    rows = rows.withColumn("half", F.expr("pmod(xxhash64(judged_url), 2)"))
     counts = train(rows)
     if not counts.any((0, 2)).all():
         return None
@@ -211,7 +211,7 @@ def judge(pages: DataFrame, *carry: str, rules=RULES) -> DataFrame:
         nothing = F.lit(None).cast("double")
         return judged.select(*names[:-1], F.coalesce("verdict", F.lit("allow")).alias("verdict"), nothing.alias("score"), nothing.alias("block_share"))
     ratio, a, b = fitted
-    scored = _scored(judged.select(*names, F.concat("host", "path").alias("url"), F.lit(0).alias("half")), [ratio])
+    scored = _scored(judged.select(*names, F.concat("host", "path").alias("judged_url"), F.lit(0).alias("half")), [ratio])
     scored = scored.withColumn("block_share", 1 / (1 + F.exp(F.col("score") * a + b)))
     return scored.withColumn("verdict", F.coalesce("verdict", F.when(F.col("block_share") >= 0.5, "block").otherwise("allow")))
 
