@@ -9,6 +9,7 @@ from ..functions import keys
 from ..functions.text import fold_lower
 from ..operators import evaluate, search
 from ..sources.tables import table
+from .indexes import kept_index
 from .registering import Registry
 
 _R = Registry()
@@ -25,10 +26,12 @@ s AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 /
 SELECT doc_id, score, count(*) OVER () AS n_all FROM s JOIN documents USING (doc_id) WHERE lang = 'en' AND n_chars > 1000 ORDER BY score DESC, doc_id LIMIT 20""")
 def ranked_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best English documents of some length for three prefixes, and how many there are."""
-    docs = table(spark, sf_dir, "documents")
-    index = search.postings(docs, "doc_id", "text")
-    n, average = index.select("doc", "doc_length").distinct().agg(F.count("*"), F.avg("doc_length")).first()
-    return search.ranked_prefix_search(index, docs, "doc_id", _PREFIXES, n, average, (F.col("lang") == "en") & (F.col("n_chars") > 1000), 20)
+    where = (F.col("lang") == "en") & (F.col("n_chars") > 1000)
+    docs = table(spark, sf_dir, "documents").filter(where).select(F.col("doc_id").alias("doc"))
+    good = kept_index(spark, sf_dir).prefix_and(_PREFIXES).join(docs, "doc", "left_semi")
+    total = good.agg(F.count("*").alias("n_all"))
+    best = good.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    return best.join(F.broadcast(total), F.lit(True))  # one row
 
 
 _ANY = f"(SELECT doc_id, CAST(list_contains(w, 'heer') AS INT) + CAST(list_contains(w, 'lichkeit') AS INT) AS n_terms, contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AS has_phrase FROM (SELECT doc_id, {_WORDS} AS w FROM documents))"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import aggregates, answering, detection, extraction, linking, listing, naming, ordering, procurement, retrieval, textual
+from . import aggregates, answering, detection, extraction, indexes, linking, listing, naming, ordering, procurement, retrieval, textual
 
-_PARTS = (aggregates, answering, detection, extraction, linking, listing, naming, ordering, procurement, retrieval, textual)
+_PARTS = (aggregates, answering, detection, extraction, indexes, linking, listing, naming, ordering, procurement, retrieval, textual)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

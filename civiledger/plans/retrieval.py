@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import search
-from ..sources.scratch import stored
 from ..sources.tables import table
+from .indexes import kept_index
 from .registering import Registry
 
 _R = Registry()
@@ -20,13 +20,10 @@ words AS (SELECT doc_id AS doc, unnest(list_filter(string_split_regex(lower(stri
 tf AS (SELECT doc, term, count(*) AS tf FROM words GROUP BY ALL), idx AS (SELECT *, CAST(sum(tf) OVER (PARTITION BY doc) AS BIGINT) AS doc_length FROM tf)"""
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
-
-
 @_R.add(f"WITH {_INDEX} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM idx GROUP BY term")
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+    """All words of the kept index."""
+    return kept_index(spark, sf_dir).vocabulary()
 
 
 _BM25 = """
@@ -37,17 +34,14 @@ bm AS (SELECT doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.
 
 @_R.add(f"WITH {_INDEX}, {_BM25} SELECT doc, round(score, 6) AS score FROM bm ORDER BY round(score, 6) DESC, doc LIMIT 50")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 best documents."""
-    index = stored(_index(spark, sf_dir), "postings")
-    n, average = index.select("doc", "doc_length").distinct().agg(F.count("*"), F.avg("doc_length")).first()
-    scored = search.bm25(index, TERMS, n, average or 1.0)
-    return scored.select("doc", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc").limit(50)
+    """The 50 best documents, from the kept index."""
+    return kept_index(spark, sf_dir).bm25(TERMS).select("doc", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc").limit(50)
 
 
 @_R.add(f"""
 WITH {_INDEX} SELECT doc, CAST(sum(tf) AS BIGINT) AS hits FROM idx, (VALUES ('the'), ('ing'), ('eres')) p(prefix) WHERE starts_with(term, prefix) GROUP BY doc HAVING count(DISTINCT prefix) = 3""")
 def prefix_and_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.prefix_and(_index(spark, sf_dir), PREFIXES)
+    return kept_index(spark, sf_dir).prefix_and(PREFIXES).select("doc", "hits")
 
 
 @_R.add()
@@ -124,9 +118,6 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.context_budget(rows, "score", "text", "rank", 0.0, 12_000).select("doc", "rank", F.round("score", 8).alias("score"))
 
 
-_FIRST = "list_slice(list_distinct(list_filter(string_split_regex(lower(strip_accents(text)), '[^a-z0-9]+'), lambda w: length(w) >= 8)), 1, 400)"
-
-
 @_R.add("""
 WITH w AS (SELECT item_id, doc_id, list_distinct(list_filter(string_split_regex(lower(strip_accents(b.text)), '[^a-z0-9]+'), lambda w: length(w) >= 8)) AS y,
   list_distinct(list_filter(string_split_regex(lower(strip_accents(d.text)), '[^a-z0-9]+'), lambda w: length(w) >= 8)) AS x, contains(d.text, b.text) AS rel FROM benchmark b, documents d),

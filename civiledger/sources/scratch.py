@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table under ``spark.checkpoint.dir`` and read it back. Unset, a temporary folder stands in, in local mode only."""
-    spark = df.sparkSession
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder under ``spark.checkpoint.dir``. Unset, a temporary folder stands in, in local mode only."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = getattr(spark, "_civiledger_tables", None)
@@ -18,6 +17,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = spark._civiledger_tables = "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table into the scratch folder and read it back."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
