@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import quality, windows
-from ..sources.scratch import stored
 from ..sources.tables import ledger, table
 from ..streaming import jobs
 from .registering import LEDGER, Registry
@@ -219,20 +218,6 @@ def anchored_time_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.anchored_buckets(table(spark, sf_dir, "events"), "user_id", "ts", "event_type", 6 * 3600)
 
 
-@_R.add("SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY event_type")
-def streamed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events read as a stream, merged into a versioned table, then summed."""
-    import uuid
-
-    e = stored(table(spark, sf_dir, "events").select("event_id", "event_type", "value").repartition(2), "stream-source")
-    path = e.inputFiles()[0].rsplit("/", 1)[0]
-    target = f"{path}-target-{uuid.uuid4().hex[:8]}"
-    jobs.run_upserts(jobs.stream_of(spark, path, "event_id bigint, event_type string, value double"), target, ["event_id"], lambda: [F.desc("value")], f"{target}-checkpoint")
-    last = spark.read.parquet(target)  # all versions; the newest holds every row
-    newest = last.filter(F.col("v") == last.agg(F.max("v")).first()[0])
-    return newest.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
-
-
 @_R.add("SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderpriority LIKE '1%' THEN 1 WHEN o_orderpriority LIKE '2%' THEN 2 ELSE 3 END AS tier FROM orders ORDER BY tier, o_orderdate, o_orderkey LIMIT 200")
 def priority_tier_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bounded queue of 200, by tier, then oldest first."""
