@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and their plain forms.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnAAAAAAEEEEIIIIOOOOOUUUUCN"
+# Latin letters that decompose into a plain one and marks; marks that stand alone are taken out.
+_PLAIN_OF = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if unicodedata.normalize("NFD", c)[0].isascii()}
+ACCENTED = "".join(_PLAIN_OF) + "".join(map(chr, range(0x300, 0x370)))
+PLAIN = "".join(_PLAIN_OF.values())
 
 
 def fold(c: Column) -> Column:
+    """Letters without their accents."""
     return F.translate(c, ACCENTED, PLAIN)
 
 

@@ -92,6 +92,40 @@ def revalidated(rows: DataFrame, text: str, urls: str) -> DataFrame:
     return rows.withColumn("codes", codes).withColumn("advice", F.when(hit(blocks), "block").when(hit(checks), "check").otherwise("ok"))
 
 
+BLOCK, ATTENTION, INFO = "block", "attention", "info"
+
+
+def pending_codes(rows: DataFrame) -> DataFrame:
+    """Adds ``pending`` (code, gravity) of each finding and the advice: block, check or ok.
+
+    Columns: text; urls (one array of addresses for each piece of evidence); origin,
+    reasons, state, factual, kind, investigated, gate (strings, reasons an array, investigated a
+    boolean), value and period. Null stands for nothing known.
+    """
+    http = lambda urls: F.exists(F.coalesce(urls, F.array().cast("array<string>")), lambda u: F.coalesce(u.rlike("(?i)^https?://"), F.lit(False)))
+    urls, n = F.coalesce("urls", F.array().cast("array<array<string>>")), F.coalesce(F.size("urls"), F.lit(0))
+    bare = F.size(F.filter(urls, lambda u: ~http(u)))
+    text = F.coalesce("text", F.lit(""))
+    published = F.coalesce(F.col("state") == "published", F.lit(False))
+    ungated = published & ~F.coalesce(F.col("factual") == "passed", F.lit(False))
+    codes = (
+        ("no-evidence", BLOCK, n <= 0),
+        ("no-source", BLOCK, (n > 0) & (bare == n)),
+        ("no-source", ATTENTION, (bare > 0) & (bare < n)),
+        ("placeholder", BLOCK, text.rlike(r"_{3,}|X{4,}|\.{5,}")),
+        ("accusation", BLOCK, F.lower(text).rlike("fraud|corrup|desvi[oa]|crim|furto|roub|theft")),
+        ("ai-only-risk", ATTENTION, F.col("origin") == "ai-risk"),
+        ("legacy", ATTENTION, F.array_contains("reasons", "legacy")),
+        ("published-without-gate", ATTENTION, ungated),
+        ("not-investigated", INFO, ~ungated & (F.col("kind") == "factual") & ~F.coalesce("investigated", F.lit(False))),
+        ("gate-failed", ATTENTION, F.col("gate") == "failed"),
+        ("value-without-period", ATTENTION, F.col("value").isNotNull() & F.col("period").isNull()),
+    )
+    pending = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(gravity).alias("gravity"))) for code, gravity, c in codes]))
+    has = lambda g: F.exists("pending", lambda p: p["gravity"] == g)
+    return rows.withColumn("pending", pending).withColumn("advice", F.when(has(BLOCK), "block").when(has(ATTENTION), "check").otherwise("ok"))
+
+
 def may_publish(version: Column, ticked: Column, required: list[str], pending: Column) -> Column:
     """Only findings of deterministic versions are held back, until all fields are ticked and nothing is pending."""
     complete = (F.size(F.array_except(F.array(*map(F.lit, required)), ticked)) == 0) & (pending == 0)

@@ -92,7 +92,7 @@ def random_sample(rows: DataFrame, groups: list[str], key: str, n: int, seed: in
 
 def inserted_if_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Old rows, and the first of the new ones of each key that is not there."""
-    first = new.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(*[c for c in new.columns if c != key]))).filter("_at = 1").drop("_at")
+    first = new.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(*[c for c in new.columns if c != key] or [key]))).filter("_at = 1").drop("_at")
     return old.unionByName(first.join(old.select(key), key, "left_anti").select(*old.columns))
 
 
@@ -102,22 +102,25 @@ def replaced_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
 
 
 def set_where_null(old: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
-    """A value is written only where there is none; says whether it was."""
-    joined = old.join(new.select(key, F.col(column).alias("_new")), key, "left")
+    """A value is written only where there is none; says whether it was. Of several new values of a key the least counts."""
+    joined = old.join(new.groupBy(key).agg(F.min(column).alias("_new")), key, "left")
     return joined.withColumn("was_set", F.col(column).isNull() & F.col("_new").isNotNull()).withColumn(column, F.coalesce(column, "_new")).drop("_new")
 
 
 def neutralised(rows: DataFrame, external: str, canonical: Column, columns: list[str]) -> DataFrame:
     """Of rows with one external id, those beside a canonical one lose these columns."""
-    has = F.max(canonical.cast("int")).over(Window.partitionBy(external)) == 1
-    hide = F.coalesce(F.col(external).isNotNull() & has & ~canonical, F.lit(False))
-    return rows.withColumn("_hide", hide).withColumns({c: F.when(~F.col("_hide"), F.col(c)) for c in columns}).drop("_hide")
+    shared = rows.filter(F.coalesce(canonical, F.lit(False)) & F.col(external).isNotNull()).select(external).distinct().withColumn("_has", F.lit(True))
+    joined = rows.join(shared, external, "left")  # a null id meets none
+    hide = F.coalesce(F.col("_has") & ~canonical, F.lit(False))
+    return joined.withColumn("_hide", hide).withColumns({c: F.when(~F.col("_hide"), F.col(c)) for c in columns}).select(*rows.columns)
 
 
 def versioned_recompute(old: DataFrame, current: DataFrame, key: str, version: str, now: int) -> DataFrame:
-    """Results of another version are computed anew, the rest stays."""
-    stale = old.filter(~F.col(version).eqNullSafe(F.lit(now))).select(key)
-    return old.filter(F.col(version) == now).unionByName(current.join(stale, key, "left_semi").select(*old.columns))
+    """Results of another version are exchanged for those computed anew, where there are any; the rest stays."""
+    is_stale = ~F.col(version).eqNullSafe(F.lit(now))
+    stale = old.filter(is_stale)
+    new = current.join(stale.select(key), key, "left_semi").select(*old.columns)
+    return old.filter(~is_stale).unionByName(stale.join(current.select(key), key, "left_anti").select(*old.columns)).unionByName(new)
 
 
 def budgeted(rows: DataFrame, group: list[str], order: list, cost: Column, budget: float) -> DataFrame:

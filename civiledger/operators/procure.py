@@ -74,10 +74,16 @@ def cascade(rows: DataFrame, others: DataFrame, exact: list[str], window: Column
     return first.unionByName(near)
 
 
-def preferred(rows: DataFrame, others: DataFrame, on: str, key: str, same: Column, order: list) -> DataFrame:
-    """Of the rows with the same number, the one of the same year, else the newest."""
-    w = Window.partitionBy(key).orderBy(F.desc(same.cast("int")), *order)
-    return rows.join(others, on).withColumn("_at", F.row_number().over(w)).filter("_at = 1").drop("_at")
+def preferred(rows: DataFrame, others: DataFrame, on: str, year: str, other_year: str, newest: Column, pick: str) -> DataFrame:
+    """For each row the other with its number: the newest of the same year, else the newest of all.
+
+    The others are summed up by number and year, and then by number, before they are joined, so no pairs are made.
+    """
+    best = F.max_by(F.col(pick), newest).alias(pick)
+    by_year = others.groupBy(on, F.col(other_year).alias(year)).agg(best, F.max(newest).alias("_newest"))
+    overall = by_year.groupBy(on).agg(F.max_by(F.col(pick), F.col("_newest")).alias("_any"))
+    joined = rows.join(by_year.drop("_newest"), [on, year], "left").join(overall, on)
+    return joined.withColumn(pick, F.coalesce(pick, "_any")).drop("_any")
 
 
 def fullest(rows: DataFrame, keys: list[str], fields: list[str], tie: str) -> DataFrame:

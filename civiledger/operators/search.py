@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_lower
+from ..functions.text import fold_lower, mask
 from .scans import scan_sorted
 
 K1, B, RRF = 1.2, 0.75, 60
@@ -98,11 +98,12 @@ def reciprocal_rank_fusion(*branches: DataFrame) -> DataFrame:
 
 
 def context_budget(ranked: DataFrame, score: str, text: str, rank: str, least: float, chars: int) -> DataFrame:
-    """Rows in rank order until the first that overflows the budget; the first row always stays."""
+    """Rows in rank order until the first that overflows the budget; the first row always stays, cut to the budget. Texts come out masked."""
     good = ranked.filter(F.col(score) >= least)
     w = Window.orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)  # of one query's few candidates
     rows = good.withColumn("_upto", F.sum(F.length(text)).over(w)).withColumn("_at", F.row_number().over(Window.orderBy(rank)))
-    return rows.filter((F.col("_upto") <= chars) | (F.col("_at") == 1)).drop("_upto", "_at")
+    kept = rows.filter((F.col("_upto") <= chars) | (F.col("_at") == 1)).drop("_upto", "_at")
+    return kept.withColumn(text, F.substring(mask(F.col(text)), 1, chars))
 
 
 def greedy_clusters(rows: DataFrame, group: str, key: str, vector: str, weight: str, least: float) -> DataFrame:

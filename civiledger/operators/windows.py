@@ -84,11 +84,10 @@ def leave_one_out_peaks(totals: DataFrame, keys: list[str], value: str, factor:
 def group_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean and population deviation, rounded to cents before further use."""
     v = F.col(value).cast("double")
-    var = F.avg(v * v) - F.avg(v) * F.avg(v)
     from ..functions.money import half_up
 
     return rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), half_up(F.avg(v), 2).alias("mean"), half_up(F.sqrt(F.greatest(var, F.lit(0.0))), 2).alias("deviation"), F.min(v).alias("low"), F.max(v).alias("high")
+        F.count("*").alias("n"), half_up(F.avg(v), 2).alias("mean"), half_up(F.stddev_pop(v), 2).alias("deviation"), F.min(v).alias("low"), F.max(v).alias("high")
     )
 
 

@@ -73,14 +73,20 @@ def filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_R.add("""
-SELECT valid, count(*) AS n FROM (SELECT doc_id % 3 = 0 AND length(text) >= 30 AS valid FROM documents WHERE doc_id % 2 = 0) GROUP BY valid""")
+WITH context AS (SELECT doc_id % 50 AS query, doc_id AS doc, text, source AS url FROM documents),
+cited AS (SELECT doc_id % 50 + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS query, doc_id AS doc, CASE doc_id % 3 WHEN 0 THEN substr(text, 5, 26) WHEN 1 THEN substr(text, 5, 20) || '#~' ELSE substr(text, 5, 3) END AS quote,
+  CASE WHEN doc_id % 7 = 0 THEN source || '/x' ELSE source END AS url FROM documents)
+SELECT c.query IN (SELECT query FROM context) AND x.doc IS NOT NULL AS in_context, coalesce(length(quote) >= 10 AND contains(x.text, quote) AND c.url IS NOT DISTINCT FROM x.url, false) AS valid, count(*) AS n
+FROM cited c LEFT JOIN context x ON c.query = x.query AND c.doc = x.doc GROUP BY ALL""")
 def citation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes of documents: some too short, some altered, some of documents outside the context."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.lit(1).alias("query"), F.col("doc_id").alias("doc"), "text", F.lit("u").alias("url"))
-    quote = F.when(F.col("doc") % 3 == 0, F.substring("text", 5, 26)).when(F.col("doc") % 3 == 1, F.concat(F.substring("text", 5, 20), F.lit("#~"))).otherwise(F.substring("text", 5, 3))
-    cited = docs.select("query", "doc", quote.alias("quote"), "url")
-    rows = evaluate.valid_citations(cited.withColumn("quote", F.when(F.length("quote") < 26, F.substring("quote", 1, 3)).otherwise(F.col("quote"))), docs)
-    return rows.groupBy("valid").agg(F.count("*").alias("n"))
+    """Quotes of all documents, each from the context of one of 50 questions: some too short, altered, of another address or of another question's context."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    context = docs.select((F.col("doc_id") % 50).alias("query"), F.col("doc_id").alias("doc"), "text", F.col("source").alias("url"))
+    quote = F.expr("CASE doc_id % 3 WHEN 0 THEN substring(text, 5, 26) WHEN 1 THEN substring(text, 5, 20) || '#~' ELSE substring(text, 5, 3) END")
+    cited = docs.select(F.expr("doc_id % 50 + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END").alias("query"), F.col("doc_id").alias("doc"), quote.alias("quote"), F.expr("CASE WHEN doc_id % 7 = 0 THEN source || '/x' ELSE source END").alias("url"))
+    known = context.select("query", "doc", F.lit(True).alias("in_context"))
+    rows = evaluate.valid_citations(cited, context).join(known, ["query", "doc"], "left")
+    return rows.groupBy(F.coalesce("in_context", F.lit(False)).alias("in_context"), "valid").agg(F.count("*").alias("n"))
 
 
 @_R.add("""
@@ -96,13 +102,24 @@ def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-@_R.add("""
-SELECT 'gate' AS what, * FROM (VALUES ('recall', 'true'), ('mrr', 'false'), ('refusal', 'false')) t(metric, verdict) UNION ALL
-SELECT 'report', * FROM (VALUES ('recall', 'better'), ('mrr', 'equal'), ('invented', 'worse'), ('lost', 'worse'), ('new', 'better')) t(metric, verdict)""")
+_REPORT = "(SELECT 'long' AS metric, CASE WHEN count(*) > 0 THEN avg(CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0 END) END AS value FROM {0} UNION ALL SELECT 'short', CASE WHEN count(*) > 0 THEN avg(CASE WHEN n_chars < 100 THEN 1.0 ELSE 0 END) END FROM {0} UNION ALL SELECT 'lang ' || lang, count(*) / 1000.0 FROM {0} GROUP BY lang)"
+
+
+@_R.add(f"""
+WITH late AS (SELECT * FROM documents WHERE doc_id % 2 = 1 AND lang <> 'fr'), early AS (SELECT * FROM documents WHERE doc_id % 2 = 0 AND lang <> 'es'), now AS {_REPORT.format('late')}, before AS {_REPORT.format('early')},
+least AS (SELECT * FROM (VALUES ('long', 0.05), ('short', 0.9), ('lang fr', 0.001)) t(metric, least)),
+gain AS (SELECT coalesce(n.metric, b.metric) AS metric, n.value AS a, b.value AS b, (n.value - b.value) * CASE WHEN coalesce(n.metric, b.metric) = 'short' THEN -1 ELSE 1 END AS g FROM now n FULL JOIN before b ON n.metric = b.metric)
+SELECT 'gate' AS what, metric, CASE WHEN coalesce(value >= least, false) THEN 'true' ELSE 'false' END AS verdict FROM least LEFT JOIN now USING (metric) UNION ALL
+SELECT 'report', metric, CASE WHEN a IS NULL THEN 'worse' WHEN b IS NULL THEN 'better' WHEN g > 0.01 THEN 'better' WHEN g < -0.01 THEN 'worse' ELSE 'equal' END FROM gain""")
 def report_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A gate whose missing value fails, and a report against its baseline."""
-    rows = lambda pairs: spark.createDataFrame(pairs, "metric string, value double")
-    now = rows([("recall", 1.0), ("mrr", 0.701), ("invented", 3.0), ("new", 1.0), ("lost", None)])
-    before = rows([("recall", 0.9), ("mrr", 0.7), ("invented", 1.0), ("lost", 0.5)])
-    gate = evaluate.gate(now, {"recall": 1.0, "mrr": 0.75, "refusal": 1.0}).select(F.lit("gate").alias("what"), "metric", F.col("passed").cast("string").alias("verdict"))
-    return gate.unionByName(evaluate.compared_reports(now, before, ("invented",), 0.01).select(F.lit("report").alias("what"), "metric", "verdict"))
+    """Figures of one half of the documents held against thresholds, where a missing one fails, and against the other half's."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+
+    def figures(rows: DataFrame) -> DataFrame:
+        share = rows.agg(F.avg((F.col("n_chars") > 1000).cast("double")).alias("long"), F.avg((F.col("n_chars") < 100).cast("double")).alias("short"))
+        long = share.unpivot([], ["long", "short"], "metric", "value")
+        return long.unionByName(rows.groupBy(F.concat(F.lit("lang "), "lang").alias("metric")).agg((F.count("*") / 1000).alias("value")))
+
+    now, before = figures(docs.filter("doc_id % 2 = 1 AND lang <> 'fr'")), figures(docs.filter("doc_id % 2 = 0 AND lang <> 'es'"))
+    gate = evaluate.gate(now, {"long": 0.05, "short": 0.9, "lang fr": 0.001}).select(F.lit("gate").alias("what"), "metric", F.col("passed").cast("string").alias("verdict"))
+    return gate.unionByName(evaluate.compared_reports(now, before, ("short",), 0.01).select(F.lit("report").alias("what"), "metric", "verdict"))

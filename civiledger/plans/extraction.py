@@ -190,7 +190,7 @@ def summary_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.coalesce(F.size(F.filter("p.alerts", lambda a: a["level"] == "high")), F.lit(0)).cast("bigint").alias("n_high"), F.array_join(asked, "|").alias("questions"))
 
 
-_PENDING = """CASE WHEN event_id % 5 = 0 THEN ['no-evidence'] ELSE [] END || CASE WHEN event_id % 7 = 0 THEN ['no-source'] ELSE [] END || CASE WHEN event_id % 11 = 0 THEN ['placeholder'] ELSE [] END || CASE WHEN event_id % 13 = 0 THEN ['accusation'] ELSE [] END"""
+_PENDING = """CASE WHEN event_id % 5 = 0 THEN ['no-evidence'] ELSE [] END || CASE WHEN event_id % 7 = 0 AND event_id % 5 > 0 THEN ['no-source'] ELSE [] END || CASE WHEN event_id % 11 = 0 THEN ['placeholder'] ELSE [] END || CASE WHEN event_id % 13 = 0 THEN ['accusation'] ELSE [] END"""
 
 
 @_R.add(f"""
@@ -202,12 +202,39 @@ def revalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_ = F.expr("'Finding ' || CASE WHEN event_id % 11 = 0 THEN '____' ELSE 'x' END || CASE WHEN event_id % 13 = 0 THEN ' a fraud' ELSE '' END")
     urls = F.expr("CASE WHEN event_id % 5 = 0 THEN array() WHEN event_id % 7 = 0 THEN array('http://a', NULL) ELSE array('http://a') END")
     rows = revalidated(table(spark, sf_dir, "events").select("event_id", text_.alias("text"), urls.alias("urls")), "text", "urls")
-    # without evidence there is no source to ask for: said of both as the SQL does
-    codes = F.when(F.expr("event_id % 35 = 0"), F.array_append("codes", "no-source")).otherwise(F.col("codes"))
-    each = rows.select("advice", F.explode(F.when(F.size(codes) > 0, codes).otherwise(F.array(F.lit("none")))).alias("code"))
+    each = rows.select("advice", F.explode(F.when(F.size("codes") > 0, F.col("codes")).otherwise(F.array(F.lit("none")))).alias("code"))
     return each.groupBy("advice", "code").agg(F.count("*").alias("n"))
 
 
+# Findings in words that both engines take: addresses of each piece of evidence, parted by spaces, pieces by |.
+_FINDING = """event_id, substr(props, 1, 0) || 'Achado ' || event_type || CASE event_id % 11 WHEN 0 THEN ' de ____' WHEN 1 THEN ' de XXXX' WHEN 2 THEN ' .....' WHEN 3 THEN ' sem nada' ELSE ' ok' END || CASE WHEN event_id % 13 = 0 THEN ': Fraude' WHEN event_id % 13 = 1 THEN ': crime' ELSE '' END AS text,
+ CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'http://a x|HTTPS://b' WHEN 2 THEN 'ftp://a|http://b' WHEN 3 THEN 'a|b c' ELSE 'https://c' END AS addresses,
+ CASE WHEN event_id % 17 = 0 THEN 'ai-risk' END AS origin, CASE WHEN event_id % 19 = 0 THEN 'legacy other' WHEN event_id % 19 = 1 THEN 'other' END AS why, CASE event_id % 3 WHEN 0 THEN 'published' WHEN 1 THEN 'draft' END AS state,
+ CASE event_id % 4 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' END AS factual, CASE WHEN event_id % 2 = 0 THEN 'factual' END AS kind, event_id % 7 > 2 AS investigated, CASE event_id % 23 WHEN 0 THEN 'failed' WHEN 1 THEN 'passed' END AS gate,
+ CASE WHEN value > 5 THEN value END AS value, CASE WHEN event_id % 29 > 0 THEN '2024' END AS period"""
+
+
+@_R.add(f"""
+WITH f AS (SELECT {_FINDING} FROM events), e AS (SELECT *, CASE WHEN addresses IS NULL THEN [] ELSE list_transform(string_split(addresses, '|'), lambda p: len(list_filter(string_split(p, ' '), lambda u: regexp_matches(lower(u), '^https?://')))) END AS good FROM f),
+p AS (SELECT event_id, list_filter([
+ CASE WHEN len(good) = 0 THEN 'block no-evidence' WHEN list_max(good) = 0 THEN 'block no-source' WHEN list_min(good) = 0 THEN 'attention no-source' END,
+ CASE WHEN regexp_matches(text, '___|XXXX|[.][.][.][.][.]') THEN 'block placeholder' END, CASE WHEN regexp_matches(lower(text), 'fraud|crim') THEN 'block accusation' END, CASE WHEN origin = 'ai-risk' THEN 'attention ai-only-risk' END,
+ CASE WHEN list_contains(string_split(why, ' '), 'legacy') THEN 'attention legacy' END, CASE WHEN state = 'published' AND factual IS DISTINCT FROM 'passed' THEN 'attention published-without-gate' WHEN kind = 'factual' AND NOT investigated THEN 'info not-investigated' END,
+ CASE WHEN gate = 'failed' THEN 'attention gate-failed' END, CASE WHEN value IS NOT NULL AND period IS NULL THEN 'attention value-without-period' END], lambda c: c IS NOT NULL) AS c FROM e),
+a AS (SELECT CASE WHEN len(list_filter(c, lambda x: starts_with(x, 'block'))) > 0 THEN 'block' WHEN len(list_filter(c, lambda x: starts_with(x, 'attention'))) > 0 THEN 'check' ELSE 'ok' END AS advice, c FROM p)
+SELECT advice, code, count(*) AS n FROM (SELECT advice, unnest(CASE WHEN len(c) = 0 THEN ['none'] ELSE c END) AS code FROM a) GROUP BY ALL""")
+def pending_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that can be pending with findings, with its gravity, and the advice that follows."""
+    from ..operators.detect import pending_codes
+
+    rows = spark.sql(f"SELECT {_FINDING} FROM {{events}}", events=table(spark, sf_dir, "events"))
+    rows = rows.withColumns({"urls": F.transform(F.split("addresses", "[|]"), lambda p: F.split(p, " ")), "reasons": F.split("why", " ")})
+    got = pending_codes(rows)
+    none = F.array(F.lit("none"))
+    said = F.transform("pending", lambda p: F.concat_ws(" ", p["gravity"], p["code"]))
+    return got.select("advice", F.explode(F.when(F.size("pending") > 0, said).otherwise(none)).alias("code")).groupBy("advice", "code").agg(F.count("*").alias("n"))
+
+
 @_R.add("SELECT event_id, event_id % 2 = 1 OR (event_id % 3 > 0 AND event_id % 10 > 0) AS may_publish FROM events")
 def publication_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of deterministic versions need every field ticked and nothing pending."""

@@ -137,11 +137,11 @@ def identifier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_R.add("""
-SELECT doc_id, upper(replace(strip_accents(substr(text, 1, 200)), 'ß', 'SS')) AS upper_text, CASE WHEN doc_id % 3 = 0 AND regexp_matches(CAST(doc_id AS VARCHAR), '[^7]') THEN lpad(CAST(doc_id AS VARCHAR), 14, '7') END AS tax, 'R$ ' || replace(replace(replace(printf('%,.2f', n_chars / 4.0), ',', '#'), '.', ','), '#', '.') AS brl, 'ação' AS repaired FROM documents""")
+SELECT doc_id, upper(replace(strip_accents(text), 'ß', 'SS')) AS upper_text, CASE WHEN doc_id % 3 = 0 AND regexp_matches(CAST(doc_id AS VARCHAR), '[^7]') THEN lpad(CAST(doc_id AS VARCHAR), 14, '7') END AS tax, 'R$ ' || replace(replace(replace(printf('%,.2f', n_chars / 4.0), ',', '#'), '.', ','), '#', '.') AS brl, 'ação' AS repaired FROM documents""")
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folding, tax ids of which two thirds are none (as are those of one digit), amounts in words' form and text in the wrong charset."""
     raw = F.expr("CASE doc_id % 3 WHEN 0 THEN lpad(CAST(doc_id AS STRING), 14, '7') WHEN 1 THEN '11111111111111' ELSE '12' END")
-    return table(spark, sf_dir, "documents").select("doc_id", text.fold_upper(F.substring("text", 1, 200)).alias("upper_text"), text.tax_id_or_null(raw).alias("tax"),
+    return table(spark, sf_dir, "documents").select("doc_id", text.fold_upper(F.col("text")).alias("upper_text"), text.tax_id_or_null(raw).alias("tax"),
         money.format_money(F.col("n_chars") / 4).alias("brl"), text.repair_mojibake(F.lit("aÃ§Ã£o")).alias("repaired"))
 
 

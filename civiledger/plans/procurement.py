@@ -149,7 +149,8 @@ def preferred_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(spark, sf_dir)
     left = rows.filter("kind = 'P'").select("entry_id", "payee_id", F.col("fiscal_year").alias("year"))
     right = rows.filter("kind = 'F'").select(F.col("entry_id").alias("other"), "payee_id", "fiscal_year", "entry_date")
-    return procure.preferred(left, right, "payee_id", "entry_id", F.col("year") == F.col("fiscal_year"), [F.desc("entry_date"), "other"]).select("entry_id", "other")
+    newest = F.struct(F.col("entry_date"), -F.col("other"))
+    return procure.preferred(left, right, "payee_id", "year", "fiscal_year", newest, "other").select("entry_id", "other")
 
 
 @_R.add("""
