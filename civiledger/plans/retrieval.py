@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import search
+from ..operators import clustering, search, vector_store
 from ..sources.tables import table
 from .indexes import kept_index
 from .registering import Registry
@@ -142,8 +142,18 @@ def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_R.add()
 def greedy_embedding_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of each label in order of id: each joins the nearest centre before it that is alike to 0.6, or becomes one."""
     rows = table(spark, sf_dir, "embeddings").withColumn("weight", F.lit(1.0))
-    return search.greedy_clusters(rows, "label", "vec_id", "embedding", "weight", 0.6)
+    return clustering.greedy_clusters(rows, "label", "vec_id", "embedding", "weight", 0.6).drop("similarity")
+
+
+@_R.add()
+def product_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct descriptions of parts, the most frequent first, clustered by their hashed words."""
+    parts = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
+    named = clustering.weighted_descriptions(parts, "text")
+    vectors = vector_store.hashed_embedding(named, "description", "description", 64).withColumn("all", F.lit(0))
+    return clustering.greedy_clusters(vectors.join(named, "description"), "all", "description", "vector", "weight", 0.6).join(named, "description").select("description", "centre", "weight")
 
 
 @_R.add("SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 5) AS norm, len(embedding) AS dims FROM embeddings")
