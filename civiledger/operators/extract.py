@@ -31,17 +31,76 @@ def ledger_lines(lines: DataFrame, line: str) -> DataFrame:
     )
 
 
-def logical_lines(lines: DataFrame, file: str, number: str, line: str) -> DataFrame:
+#: Lines that one task numbers at a time.
+CHUNK = 50_000
+
+
+def running_sum(rows: DataFrame, file: str, number: str, value: Column, name: str, chunk: int = CHUNK) -> DataFrame:
+    """Adds the sum of ``value`` over a file's lines up to each, itself included.
+
+    Files are summed up in chunks of lines, and each chunk begins with what those before it
+    hold, so only sums of chunks, not lines, of a file meet in a task.
+    """
+    cut = rows.withColumns({"_chunk": F.floor(F.col(number) / chunk), "_v": value.cast("bigint")})
+    w = Window.partitionBy(file).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(file, "_chunk").agg(F.sum("_v").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(w), F.lit(0))).drop("_s")
+    inner = Window.partitionBy(file, "_chunk").orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn("_in", F.sum("_v").over(inner)).join(sums, [file, "_chunk"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_chunk", "_v", "_in", "_before")
+
+
+def logical_lines(lines: DataFrame, file: str, number: str, line: str, chunk: int = CHUNK) -> DataFrame:
     """Lines of a file put together while a quotation is open: a line belongs to the last one that began with an even count of quotes."""
-    w = Window.partitionBy(file).orderBy(number)
     quotes = F.length(line) - F.length(F.replace(F.col(line), F.lit('"'), F.lit("")))
-    before = F.coalesce(F.sum(quotes).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = lines.withColumn("_opens", (before % 2 == 0).cast("int"))
-    rows = rows.withColumn("_at", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = running_sum(lines, file, number, quotes, "_quotes", chunk)
+    opens = ((F.col("_quotes") - quotes) % 2 == 0).cast("int")
+    rows = running_sum(rows, file, number, opens, "_at", chunk)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(number, line))), lambda x: x[line]), "\n")
     return rows.groupBy(file, F.col("_at").alias(number)).agg(joined.alias(line))
 
 
+PAYROLL = "bond string, registration string, year int, month int, name string, masked_id string, status string, admission string, job string, function string, department string, assignment string, job_code string, admitted_on string, hours string, base_salary double, gross double, net double, rubrics array<struct<code:string,description:string,reference:string,earnings:double,deductions:double>>"
+
+
+def plain_number(c: Column) -> Column:
+    """``1.234,56``, ``1234.56`` or ``1234`` as a double; null for anything else."""
+    c = F.trim(c)
+    return F.when(c.rlike(r"^[0-9.]*,[0-9]+$"), F.replace(F.replace(c, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(c).try_cast("double")
+
+
+def payroll_records(lines: DataFrame, file: str, number: str, line: str, chunk: int = CHUNK) -> DataFrame:
+    """file and ``PAYROLL``: the records of a payroll report of quoted fields.
+
+    A record runs from its bond to the next one; what is read of it is its labelled
+    fields, the rubrics behind their heading, and its gross and net pay from the footer,
+    a field of several lines. A record without a footer is left out.
+    """
+    rows = logical_lines(lines, file, number, line, chunk)
+    cells = F.transform(F.split(F.regexp_replace(line, r'(?s)^\s*"|"\s*$', ""), '","'), lambda c: F.trim(F.replace(c, F.lit('""'), F.lit('"'))))
+    rows = rows.select(file, number, cells.alias("c"))
+    start = F.coalesce(F.get("c", F.lit(0)).rlike(r"^Vínculo:\s*\S+\s*/\s*Matrícula:\s*\S+"), F.lit(False))
+    rows = running_sum(rows, file, number, start, "_block", chunk).filter("_block > 0")
+    first, second = F.coalesce(F.get("c", F.lit(0)), F.lit("")), F.coalesce(F.get("c", F.lit(1)), F.lit(""))
+    cell = lambda i: F.coalesce(F.get("c", F.lit(i)), F.lit(""))
+    labelled = lambda head, i, label: F.max(F.when(first.startswith(head), some(cell(i), rf"(?s)^{label}\s*:\s*(.*?)\s*$")))
+    foot = lambda label: F.max(F.when(first.contains("Remuneração Bruta:"), some(first, rf"{label}:\s*([0-9.,]+)")))
+    is_rubric = first.rlike("^[0-9]+$")
+    rubric = F.struct(F.col(number).alias("n"), first.alias("code"), second.alias("description"), some(cell(2), r"^(.+)$").alias("reference"), plain_number(cell(3)).alias("earnings"), plain_number(cell(4)).alias("deductions"))
+    got = rows.groupBy(file, "_block").agg(
+        F.max(some(first, r"^Vínculo:\s*(\S+)")).alias("bond"), F.max(some(first, r"Matrícula:\s*(\S+)")).alias("registration"), labelled("Vínculo", 1, "Nome").alias("name"), labelled("Vínculo", 2, "CPF").alias("masked_id"),
+        labelled("Vínculo", 3, "Situação").alias("status"), labelled("Forma de Admissão", 0, "Forma de Admissão").alias("admission"), labelled("Forma de Admissão", 1, "Cargo").alias("job"), labelled("Forma de Admissão", 2, "Função").alias("function"),
+        labelled("Secretaria", 0, "Secretaria").alias("department"), labelled("Secretaria", 1, "Salário base").alias("salary"), labelled("Secretaria", 2, "Competência").alias("period"), labelled("Secretaria", 3, "Carga horária semanal/plantões").alias("hours"),
+        labelled("Lotação", 0, "Lotação").alias("assignment"), labelled("Lotação", 1, "Sigla do Cargo").alias("job_code"), labelled("Lotação", 2, "Data de Admissão").alias("admitted_on"),
+        foot("Remuneração Bruta").alias("gross"), foot("Total da Remuneração Após Deduções").alias("net"), F.min(F.when(first.contains("Remuneração Bruta:"), F.col(number))).alias("_foot"),
+        F.max(F.when((first == "Cód") & (second == "Descrição"), F.col(number))).alias("_head"), F.array_sort(F.collect_list(F.when(is_rubric, rubric))).alias("_rubrics"),
+    ).filter("_foot IS NOT NULL")
+    part = lambda g: F.regexp_extract("period", "([0-9]{2})/([0-9]{4})", g).try_cast("int")
+    inside = F.filter("_rubrics", lambda r: (r["n"] > F.col("_head")) & (r["n"] < F.col("_foot")))
+    return got.select(
+        file, "bond", "registration", part(2).alias("year"), part(1).alias("month"), "name", "masked_id", "status", "admission", "job", "function", "department", "assignment", "job_code", "admitted_on", "hours",
+        plain_number(F.col("salary")).alias("base_salary"), plain_number(F.col("gross")).alias("gross"), plain_number(F.col("net")).alias("net"), F.transform(inside, lambda r: r.dropFields("n")).alias("rubrics"),
+    )
+
+
 def payroll_blocks(lines: DataFrame, file: str, number: str, line: str) -> DataFrame:
     """Records of a payroll report: a block runs from its registration to its totals; one without totals is left out.
 
