@@ -37,19 +37,19 @@ def _supported(names: Column, first: Column, oaths: Column) -> Column:
     return F.transform(good, lambda x: x["n"])
 
 
-def resolved(mention: Column, present: Column) -> Column:
-    """The only one present whose name holds the mention; null if none or several do."""
-    m = F.regexp_replace(spaced(mention), TITLE, " ")
-    found = F.filter(present, lambda p: F.contains(spaced(p), m))
-    return F.when((F.length(F.trim(m)) > 0) & (F.size(found) == 1), F.get(found, 0))
+def resolved(mention: Column, people: Column) -> Column:
+    """The only one of the people (name, norm) whose name holds the mention; null if none or several do."""
+    def one(m: Column) -> Column:
+        return let(F.filter(people, lambda p: F.contains(p["norm"], m)), lambda found: F.when((F.length(F.trim(m)) > 0) & (F.size(found) == 1), F.get(found, 0)))
 
+    return let(F.regexp_replace(spaced(mention), TITLE, " "), one)
 
-def place_in(name: Column, excerpt: Column, present: Column) -> Column:
+
+def place_in(person: Column, excerpt: Column, people: Column) -> Column:
     """Where an excerpt holds the shortest beginning of a name that nobody else present has; 0 if it does not."""
-    words = F.split(F.trim(spaced(name)), " ")
-    forms = F.transform(words, lambda _, i: F.concat(F.lit(" "), F.array_join(F.slice(words, F.lit(1), i + 1), " "), F.lit(" ")))
-    others = F.transform(F.filter(present, lambda p: p != name), spaced)
-    own = F.get(F.filter(forms, lambda f: ~F.exists(others, lambda o: F.contains(o, f))), 0)
+    forms = lambda words: F.transform(words, lambda _, i: F.concat(F.lit(" "), F.array_join(F.slice(words, F.lit(1), i + 1), " "), F.lit(" ")))
+    free = lambda f: ~F.exists(people, lambda o: (o["name"] != person["name"]) & F.contains(o["norm"], f))
+    own = F.get(F.filter(let(F.split(F.trim(person["norm"]), " "), forms), free), 0)
     return F.coalesce(F.instr(excerpt, own), F.lit(0))
 
 
@@ -84,6 +84,8 @@ def validated(rows: DataFrame, key: str, text: str, said: str, today: Column) ->
     rows = rows.withColumns({"all": names, "away": F.array_compact(F.coalesce("_s.absent", none))})
     rows = rows.select(key, "_s", "norm", "first", "all", "away", F.explode(F.array(F.struct(_supported(F.col("all"), F.col("first"), F.col("oaths")).alias("present"), _supported(F.col("away"), F.col("first"), F.col("oaths")).alias("absent")))).alias("who"))
     present = F.col("who.present")
+    rows = rows.withColumn("people", F.explode(F.array(F.transform(present, lambda p: F.struct(p.alias("name"), spaced(p).alias("norm"))))))
+    people = F.col("people")
     distinct = lambda a: F.size(F.array_distinct(F.transform(a, spaced)))
     d = F.col("_s.day")
     month = F.get(F.array(*map(F.lit, MONTHS)), F.month(d) - 1)
@@ -95,8 +97,8 @@ def validated(rows: DataFrame, key: str, text: str, said: str, today: Column) ->
 
         def judge(e: Column) -> Column:
             def one(n: Column) -> Column:
-                full = resolved(n["name"], present)
-                return let(F.struct(full.alias("name"), n["vote"].alias("vote"), F.when(full.isNotNull(), place_in(full, e, present)).otherwise(0).alias("at")), lambda x: F.struct(
+                found = let(resolved(n["name"], people), lambda full: F.struct(full["name"].alias("name"), n["vote"].alias("vote"), F.when(full.isNotNull(), place_in(full, e, people)).otherwise(0).alias("at")))
+                return let(found, lambda x: F.struct(
                     x["name"].alias("name"), x["vote"].alias("vote"), (x["at"] <= 0).alias("outside"), F.when(x["at"] > 0, ~nearest_vote(e, x["at"]).eqNullSafe(x["vote"])).otherwise(False).alias("wrong")))
 
             def tallied(all_: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import markup
+from ..sources.scratch import stored
 from ..sources.tables import table
 from .registering import Registry
 
@@ -49,7 +50,7 @@ SELECT k, m.kind AS kind, m.number AS number, CAST(m.year AS INT) AS year, m.aut
 def law_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Laws of listings whose rows are left open, each with the file of the row behind it, and how many pages a listing has."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).selectExpr("k", f"{_LAWS} AS html")
-    found = markup.elements(rows, "k", "html", ("tr", "td", "a"))
+    found = stored(markup.elements(rows, "k", "html", ("tr", "td", "a")), "elements")  # read more than once
     pages = rows.select("k", F.size(markup.page_numbers(F.col("html"), 25)).cast("bigint").alias("n_pages"))
     return markup.law_rows(found, "k").drop("file_name").join(pages, "k")
 
@@ -65,6 +66,6 @@ SELECT k, m.kind AS kind, m.number AS number, CAST(m.year AS INT) AS project_yea
 def council_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projects in the boxes of a council's search, and the member beside each."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).selectExpr("k", f"{_BOX} AS html")
-    found = markup.elements(rows, "k", "html", ("div", "a"))
+    found = stored(markup.elements(rows, "k", "html", ("div", "a")), "elements")  # read more than once
     got = markup.projects(found, "k").select("k", "kind", "number", "project_year", "author", "summary", "status", "file")
     return got.join(markup.members(found, "k").select("k", "member_id"), "k")

@@ -133,13 +133,24 @@ def elements(pages: DataFrame, key: str, html: str, tags: tuple[str, ...] = ())
     ]
     names = [f.split()[0] for f in FIELDS.split(", ")]
 
+    def packed(held: list[tuple], keys: list, kind: pa.DataType) -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(keys, kind), *columns], [key, *names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):  # a page at a time bounds what is held
-                found = Reader(wanted).read(batch.column(1)[i].as_py())
-                if found:
-                    columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(found), batch.schema.types[0]), *columns], [key, *names])
+            held, keys, size, kind = [], [], 0, batch.schema.types[0]
+            for i in range(batch.num_rows):  # a few pages at a time bound what is held
+                page = batch.column(1)[i].as_py()
+                found = Reader(wanted).read(page)
+                held += found
+                keys += [batch.column(0)[i].as_py()] * len(found)
+                size += len(page or "")
+                if held and (len(held) >= 4096 or size >= 4 << 20):
+                    yield packed(held, keys, kind)
+                    held, keys, size = [], [], 0
+            if held:
+                yield packed(held, keys, kind)
 
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, {FIELDS}")
 
