@@ -25,7 +25,8 @@ in 300,000 cases.
 Cases: null or empty texts and texts without words have empty sets and link
 with nothing (their component is their own id). Repeated rows are one class and
 each comes out. Rows without an id take part and never lend their id. Other
-columns are ignored. An empty table gives no rows.
+columns are ignored. Very long texts are taken whole; only their sets are held.
+Ties between representatives go to the smallest id. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ task. Only the histogram and the plan, both bounded by the capacity, reach the
 driver.
 
 Null texts count as empty (the end id alone). Repeated rows are packed as often
-as they occur. An empty table gives no rows.
+as they occur; of pieces of equal length any may take a place. A text of any
+length is encoded whole and cut into full pieces. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ Cases: null texts count as empty and get a score from their (zero) features.
 Repeated rows are scored each; a label that is repeated for an id counts once, two
 different ones count each; of several texts with a labelled id the one with the
 least features teaches. Labels that are null are not used. With no labels at all every score is 0.5, with one class near that
-class. A row without an id is not held out. Other columns are ignored. Empty
+class. A row without an id is not held out.
+Texts of any length are read whole; scores may be equal, and each row has its own. Other columns are ignored. Empty
 tables give no rows.
 """
 

@@ -15,7 +15,8 @@ the documents.
 Cases: a null or empty text has no words and fails the base rule. Null
 languages and sources are groups of their own. Repeated rows count and are
 judged as often as they occur. Other columns are ignored, or carried along on
-request. An empty table gives no rows.
+request. Texts of any length are read whole. A document at a fence stays, so ties
+at it do not matter. An empty table gives no rows.
 """
 
 from __future__ import annotations

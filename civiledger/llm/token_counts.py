@@ -6,6 +6,8 @@ encoded again.
 
 Null texts count as empty: no bytes, no tokens. Rows are never merged, so
 repeated rows come out as often as they came in; other columns are ignored.
+Texts of any length are counted whole, unit by unit. A count of exactly the limit
+is not over it. An empty table gives no rows.
 """
 
 from __future__ import annotations

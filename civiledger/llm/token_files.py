@@ -17,7 +17,8 @@ names the files of those attempts that Spark committed, so a lost executor or a
 repeated task leaves stray files but no wrong ones.
 
 Null texts count as empty: only the end id. Repeated rows are documents of
-their own. An empty table makes an empty manifest and no rows.
+their own. A text of any length is encoded whole; readers and writers hold it
+and one block. An empty table makes an empty manifest and no rows.
 """
 
 from __future__ import annotations
