@@ -134,7 +134,11 @@ def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items.select(F.col("item_id").alias("query"), F.explode(tokens(F.col("text"), 8)).alias("w"))
     shared = d.join(i, "w").groupBy("query", "doc").agg(F.count("*").alias("s"))
     results = shared.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "doc"))).select("query", "doc", "rank")
-    texts = shared.select("query", "doc").join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").join(items.select(F.col("item_id").alias("query"), F.col("text").alias("item")), "query")
+    # a text that holds an item has its inner words: of three of them at most two are cut at its ends
+    df = d.groupBy("w").agg(F.count("*").alias("df"))
+    rare = i.join(df, "w").groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "w"))), 1, 3).alias("r")).select("query", F.explode("r.w").alias("w"))
+    candidates = d.join(rare, "w").select("query", "doc").distinct()
+    texts = candidates.join(items.select(F.col("item_id").alias("query"), F.col("text").alias("item")), "query").join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
     relevant = texts.filter(F.contains("text", "item")).select("query", "doc")
     out = search.retrieval_quality(results, relevant, 10)
     return out.select("n_queries", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))

@@ -165,6 +165,33 @@ def test_hybrid_stays_within_its_budget(spark):
     assert lengths and (len(lengths) == 1 or sum(lengths) <= 12_000)
 
 
+def test_snippets_against_a_plain_cut(spark):
+    fold = lambda w: "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c)).lower()
+    hit = lambda w: re.match("[^a-z0-9]*(the|ing|eres)", fold(w))
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        words = [w for w in re.split("[ \t\n\x0b\f\r]+", r["text"]) if w]
+        first = next((k for k, w in enumerate(words) if hit(w)), None)
+        if first is not None:
+            cut = words[max(first - 8, 0) :][:24]
+            want[r["doc_id"]] = " ".join(f"[{w}]" if hit(w) else w for w in cut)
+    assert {r["doc_id"]: r["snippet"] for r in catalogue.QUERIES["snippets"](spark, SF).collect()} == want
+
+
+def test_hybrid_takes_the_best_that_fit(spark):
+    fused = sorted(((-r["score"], r["doc"]) for r in catalogue.QUERIES["rrf_fusion"](spark, SF).collect()))[:20]
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    # ranks are of the first twenty; those that are no documents leave a gap
+    want, used = [], 0
+    for rank, (score, doc) in enumerate(fused, 1):
+        if doc in texts:
+            if want and used + len(texts[doc]) > 12_000:
+                break
+            want.append((doc, rank, -score))
+            used += len(texts[doc])
+    assert [(r["doc"], r["rank"], r["score"]) for r in catalogue.QUERIES["hybrid_retrieve"](spark, SF).orderBy("rank").collect()] == want
+
+
 def test_every_query_is_registered():
     import __spark_entry__ as entry
 
