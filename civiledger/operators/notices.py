@@ -61,8 +61,21 @@ MONTHS = ("janeiro", "fevereiro", "marco", "abril", "maio", "junho", "julho", "a
 CONTROLS = (rf"(?is)PNCP\s*:?\s*([0-9]{{14}}-[0-9]-[0-9]{{5,8}}/20[0-9]{{2}})", r"\b([0-9]{14}-[0-9]-[0-9]{5,8}/20[0-9]{2})\b")
 
 
+def cased(pattern: str) -> str:
+    """A pattern that takes accented letters of either case alike, too."""
+    return pattern.replace("(?is)", "(?isu)").replace("(?i)", "(?iu)")
+
+
+def extracted(c: Column | str, pattern: str, group: int) -> Column:
+    return F.regexp_extract(c, cased(pattern), group)
+
+
+def replaced(c: Column | str, pattern: str, by: str) -> Column:
+    return F.regexp_replace(c, cased(pattern), by)
+
+
 def single_spaced(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    return F.trim(replaced(F.coalesce(c, F.lit("")), r"\s+", " "))
 
 
 def _some(c: Column) -> Column:
@@ -96,23 +109,23 @@ def _supplier(text: Column, ids: Column, own: tuple[str, ...]) -> Column:
     """struct(winner, tax_id) or null."""
     options = []
     for p in SUPPLIERS:
-        found = F.struct(let(F.regexp_extract(text, p, 1), supplier_name).alias("winner"), digits(F.regexp_extract(text, p, 2)).alias("tax_id"))
+        found = F.struct(let(extracted(text, p, 1), supplier_name).alias("winner"), digits(extracted(text, p, 2)).alias("tax_id"))
         options.append(let(found, lambda s: F.when((F.length(s["tax_id"]) == 14) & ~s["tax_id"].isin(*own) & s["winner"].isNotNull(), s)))
     # a single foreign id: its name is what stands before it
     sole = F.when(F.size(ids) == 1, ids[0])
-    dotted = F.regexp_replace(sole, "^(..)(...)(...)(....)(..)$", r"$1.$2.$3/$4-$5")
+    dotted = replaced(sole, "^(..)(...)(...)(....)(..)$", r"$1.$2.$3/$4-$5")
 
     def named(place: Column) -> Column:
         before = F.substring(text, F.greatest(place - 240, F.lit(1)), F.least(place - 1, F.lit(240)))
-        before = F.trim(F.regexp_replace(F.regexp_replace(before, rf"(?i)\bCNPJ\s*:?\s*{TAX_ID}\s*", " "), ID_WORDS, ""))
+        before = F.trim(replaced(replaced(before, rf"(?i)\bCNPJ\s*:?\s*{TAX_ID}\s*", " "), ID_WORDS, ""))
         # the first form that is there decides, whether or not it is a name
-        loose = lambda b: let(_first([_some(F.regexp_extract(b, p, 1)) for p in BEFORE_ID]), supplier_name)
+        loose = lambda b: let(_first([_some(extracted(b, p, 1)) for p in BEFORE_ID]), supplier_name)
         return F.when(place > 0, let(before, loose))
 
     name = let(F.greatest(F.instr(text, dotted), F.instr(text, sole)), named)
     options.append(let(name, lambda n: F.when(n.isNotNull(), F.struct(n.alias("winner"), sole.alias("tax_id")))))
     for p in DECLARED:
-        name = let(F.regexp_extract(text, p, 1), supplier_name)
+        name = let(extracted(text, p, 1), supplier_name)
         options.append(let(name, lambda n: F.when(n.isNotNull(), F.struct(n.alias("winner"), F.lit(None).cast("string").alias("tax_id")))))
     return _first(options)
 
@@ -121,21 +134,21 @@ def _value(text: Column, kind: Column) -> Column:
     def of(pattern: str, in_notices: bool):
         def one(whole: Column) -> Column:
             after = F.substring(text, F.instr(text, whole) + F.length(whole), F.lit(180))
-            good = (whole != "") & ~after.rlike(PER_UNIT)
-            value = F.when(good if in_notices else good & (kind != "notice"), parse_money(F.regexp_extract(whole, pattern, 1)))
+            good = (whole != "") & ~after.rlike(cased(PER_UNIT))
+            value = F.when(good if in_notices else good & (kind != "notice"), parse_money(extracted(whole, pattern, 1)))
             return let(value, lambda v: F.when(v > 0, v))
 
         return one
 
-    return _first([let(F.regexp_extract(text, p, 0), of(p, i < IN_NOTICES)) for i, p in enumerate(VALUES)])
+    return _first([let(extracted(text, p, 0), of(p, i < IN_NOTICES)) for i, p in enumerate(VALUES)])
 
 
 def spelled_date(c: Column) -> Column:
     """The first ``dd/mm/yyyy``, else the first ``d de month de yyyy`` of a text."""
     p = r"(?i)\b([0-9]{1,2})\s+de\s+([a-zç]+)\s+de\s+([0-9]{4})\b"
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), fold_lower(F.regexp_extract(c, p, 2)))
-    spelled = F.when(month > 0, F.concat(F.regexp_extract(c, p, 3), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(F.regexp_extract(c, p, 1), 2, "0")))
-    plain = F.regexp_extract(c, r"\b([0-9]{2}/[0-9]{2}/[0-9]{4})\b", 1)
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), fold_lower(extracted(c, p, 2)))
+    spelled = F.when(month > 0, F.concat(extracted(c, p, 3), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(extracted(c, p, 1), 2, "0")))
+    plain = extracted(c, r"\b([0-9]{2}/[0-9]{2}/[0-9]{4})\b", 1)
     return F.when(plain != "", F.try_to_date(plain, "dd/MM/yyyy")).otherwise(F.try_to_date(spelled, "yyyy-MM-dd"))
 
 
@@ -151,9 +164,9 @@ def award_day(text: Column) -> Column:
 
 
 def control(text: Column) -> Column:
-    found = _first([_some(F.regexp_extract(text, p, 1)) for p in CONTROLS])
+    found = _first([_some(extracted(text, p, 1)) for p in CONTROLS])
     p = "^([0-9]{14})-([0-9])-([0-9]+)/([0-9]{4})$"
-    part = lambda g: F.regexp_extract(found, p, g)
+    part = lambda g: extracted(found, p, g)
     return F.when(found.isNotNull(), F.concat(part(1), F.lit("-"), part(2), F.lit("-"), F.when(F.length(part(3)) < 6, F.lpad(part(3), 6, "0")).otherwise(part(3)), F.lit("/"), part(4)))
 
 
@@ -195,7 +208,7 @@ UNIT_INSIDE = rf"(?is)^(.+?)\s+({UNITS})\s+({NUMERIC})\s+(.+)$"
 
 def _segments(region: Column, mark: str) -> Column:
     """What follows each mark, with the number in front."""
-    return F.slice(F.split(F.regexp_replace(region, mark, "\u0001$1\u0002"), "\u0001"), 2, 1 << 30)
+    return F.slice(F.split(replaced(region, mark, "\u0001$1\u0002"), "\u0001"), 2, 1 << 30)
 
 
 def _number(c: Column) -> Column:
@@ -205,12 +218,12 @@ def _number(c: Column) -> Column:
 def table_items(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, item, unit, quantity, description of the item table of a text; unit and quantity may stand before or inside the description."""
     t = single_spaced(F.col(text))
-    head = F.instr(t, F.regexp_extract(t, ITEM_HEAD, 0))
-    region = F.when(t.rlike(ITEM_HEAD), F.substring(t, head, F.length(t)))
-    region = F.regexp_replace(region, r"(?is)\b2\.\s+DA\s+JUSTIFICATIVA\b.*$", "")
+    head = F.instr(t, extracted(t, ITEM_HEAD, 0))
+    region = F.when(t.rlike(cased(ITEM_HEAD)), F.substring(t, head, F.length(t)))
+    region = replaced(region, r"(?is)\b2\.\s+DA\s+JUSTIFICATIVA\b.*$", "")
     rows = docs.select(key, F.explode(_segments(region, r"(?:^|\s)([0-9]{1,4})\.\s+")).alias("s"))
     rows = rows.select(key, F.split_part("s", F.lit("\u0002"), F.lit(1)).cast("int").alias("item"), F.trim(F.split_part("s", F.lit("\u0002"), F.lit(2))).alias("body")).filter("item > 0")
-    first, inside = (lambda g: F.regexp_extract("body", UNIT_FIRST, g)), (lambda g: F.regexp_extract("body", UNIT_INSIDE, g))
+    first, inside = (lambda g: extracted("body", UNIT_FIRST, g)), (lambda g: extracted("body", UNIT_INSIDE, g))
     is_first = first(1) != ""
     out = rows.select(
         key, "item", F.lower(F.when(is_first, first(1)).otherwise(inside(2))).alias("unit"), _number(F.when(is_first, first(2)).otherwise(inside(3))).alias("quantity"),
@@ -229,9 +242,9 @@ PLATFORM_ROW = r"(?is)1\s*[°º]\s+([A-ZÀ-Ú0-9][A-ZÀ-Ú0-9 .&'/-]{3,180}?)\s+
 
 def _section(t: Column, head: str, ends: str) -> Column:
     """From the first heading to the next end, null without the heading."""
-    found = F.regexp_extract(t, rf"\b({head})\b", 1)
+    found = extracted(t, rf"\b({head})\b", 1)
     rest = F.substring(t, F.instr(t, found) + F.length(found), F.length(t))
-    return F.when(found != "", F.regexp_replace(rest, rf"(?s)\b(?:{ends})\b.*$", ""))
+    return F.when(found != "", replaced(rest, rf"(?s)\b(?:{ends})\b.*$", ""))
 
 
 def item_results(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -246,30 +259,30 @@ def item_results(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def rows_of(region: Column, mark: str, rank: int, layout: str, sure: float, fields) -> Column:
         def one(s: Column) -> Column:
-            item, body = F.regexp_extract(s, "^([0-9]+)", 1).cast("int"), F.trim(F.split_part(s, F.lit("\u0002"), F.lit(2)))
+            item, body = extracted(s, "^([0-9]+)", 1).cast("int"), F.trim(F.split_part(s, F.lit("\u0002"), F.lit(2)))
             description, supplier, amount = fields(F.split_part(s, F.lit("\u0002"), F.lit(1)), body)
             return F.struct(F.lit(rank).alias("rank"), F.lit(layout).alias("layout"), F.lit(sure).alias("confidence"), item.alias("item"), F.trim(description).alias("description"), supplier_name(supplier).alias("supplier"), value(amount).alias("value"))
 
         found = F.filter(F.transform(_segments(region, mark), one), lambda r: r["supplier"].isNotNull() & (r["value"] > 0) & (F.length(r["description"]) > 0))
         return F.coalesce(found, none)
 
-    extract = lambda p, g: (lambda _, body: F.regexp_extract(body, p, g))
+    extract = lambda p, g: (lambda _, body: extracted(body, p, g))
     three = lambda p, a, b, c: (lambda head, body: (extract(p, a)(head, body), extract(p, b)(head, body), extract(p, c)(head, body)))
 
     def platform(head: Column, body: Column):
-        title = F.regexp_extract(head, r"^[0-9]+\s*[-–]\s*(.+)$", 1)
-        said = F.regexp_extract(body, r"(?is)Descri\S*o\s+complementar:\s*(.{2,700}?)(?:\s+Quantidade:|\s+Estimado:|\s+Unidade\s+de\s+medida:)", 1)
+        title = extracted(head, r"^[0-9]+\s*[-–]\s*(.+)$", 1)
+        said = extracted(body, r"(?is)Descri\S*o\s+complementar:\s*(.{2,700}?)(?:\s+Quantidade:|\s+Estimado:|\s+Unidade\s+de\s+medida:)", 1)
         good = fold_lower(body).startswith("aprovado")
-        return F.when(title != "", title).otherwise(said), F.when(good, F.regexp_extract(body, PLATFORM_ROW, 1)).otherwise(""), F.regexp_extract(body, PLATFORM_ROW, 3)
+        return F.when(title != "", title).otherwise(said), F.when(good, extracted(body, PLATFORM_ROW, 1)).otherwise(""), extracted(body, PLATFORM_ROW, 3)
 
     def declared(_: Column, body: Column):
-        before = F.regexp_extract(body, rf"(?is)^(.*?){MONEY}", 1)
+        before = extracted(body, rf"(?is)^(.*?){MONEY}", 1)
         parts = F.filter(F.transform(F.split(before, r"\s*[|.]\s*"), lambda p: F.trim(p)), lambda p: p != "")
-        good = body.rlike(r"(?i)\b[VN]ence\w*")
-        return F.get(parts, 0), F.when(good, F.array_join(F.slice(parts, 2, 99), " ")).otherwise(""), F.regexp_extract(body, MONEY, 1)
+        good = body.rlike(cased(r"(?i)\b[VN]ence\w*"))
+        return F.get(parts, 0), F.when(good, F.array_join(F.slice(parts, 2, 99), " ")).otherwise(""), extracted(body, MONEY, 1)
 
     def labelled(_: Column, body: Column):
-        return F.lit("-"), F.regexp_extract(body, r"(?is)^vencedor[a]?\s*:\s*([^,;|]{3,120}?)\s*(?:[,;|-]|\s+no\s+valor|\s+valor|CNPJ)", 1), F.regexp_extract(body, MONEY, 1)
+        return F.lit("-"), extracted(body, r"(?is)^vencedor[a]?\s*:\s*([^,;|]{3,120}?)\s*(?:[,;|-]|\s+no\s+valor|\s+valor|CNPJ)", 1), extracted(body, MONEY, 1)
 
     dotted, dashed = r"(?:^|\s)([0-9]{1,4})\.\s+", r"\b([0-9]{1,4})\s*[-–]\s+"
     marked = docs.select(
@@ -302,30 +315,30 @@ def form_field(text: Column, *labels: str) -> Column:
     words = "|".join(x.replace(".", r"\.") for x in sorted(LABELS, key=len, reverse=True))
     options = []
     for label in labels:
-        rest = F.regexp_extract(text, rf"(?is){label.replace('.', '[.]')}\s*:\s*(.{{0,800}})", 1)
-        cut = F.regexp_replace(rest, rf"(?is)\s*(?:(?:^|\s)(?:{words})\s*:|\s[0-9]{{1,2}}\s*[–—-]\s*[A-ZÀ-Ü]).*$", "")
+        rest = extracted(text, rf"(?is){label.replace('.', '[.]')}\s*:\s*(.{{0,800}})", 1)
+        cut = replaced(rest, rf"(?is)\s*(?:(?:^|\s)(?:{words})\s*:|\s[0-9]{{1,2}}\s*[–—-]\s*[A-ZÀ-Ü]).*$", "")
         options.append(_some(F.trim(cut)))
     return _first(options)
 
 
 def earmarks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, number, legislator, role, party, sphere, kind, object, detail, value, own_value, received, starts, year of the forms that are of an earmark."""
-    rows = docs.select(key, F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " ").alias("t")).filter((F.length("t") >= 50) & F.col("t").rlike(EARMARK))
+    rows = docs.select(key, replaced(F.coalesce(F.col(text), F.lit("")), r"\s+", " ").alias("t")).filter((F.length("t") >= 50) & F.col("t").rlike(cased(EARMARK)))
     t = F.col("t")
     who = form_field(t, "NOME DO PARLAMENTAR")
-    part = lambda g: F.trim(F.regexp_extract(who, r"^(.+?)\s*[-–—]\s*(.+)$", g))
-    sphere = reduce(lambda w, s: w.when(t.rlike(s[1]), s[0]), SPHERES, F)
-    amount = lambda label: _number(F.regexp_extract(form_field(t, label), r"R\$\s*([0-9.,]*[0-9])", 1))
-    day = lambda *labels: F.try_to_date(F.regexp_extract(form_field(t, *labels), "([0-9]{2}/[0-9]{2}/[0-9]{4})", 1), "dd/MM/yyyy")
+    part = lambda g: F.trim(extracted(who, r"^(.+?)\s*[-–—]\s*(.+)$", g))
+    sphere = reduce(lambda w, s: w.when(t.rlike(cased(s[1])), s[0]), SPHERES, F)
+    amount = lambda label: _number(extracted(form_field(t, label), r"R\$\s*([0-9.,]*[0-9])", 1))
+    day = lambda *labels: F.try_to_date(extracted(form_field(t, *labels), "([0-9]{2}/[0-9]{2}/[0-9]{4})", 1), "dd/MM/yyyy")
     number = form_field(t, "N.o DA EMENDA", "No DA EMENDA", "Nº DA EMENDA", "N.º DA EMENDA")
     got = rows.select(
         key, number.alias("number"), F.when(part(1) != "", part(1)).otherwise(who).alias("legislator"), _some(part(2)).alias("role"), form_field(t, "PARTIDO DO PARLAMENTAR").alias("party"), sphere.alias("sphere"),
         form_field(t, "TIPO DE EMENDA").alias("kind"), form_field(t, "OBJETO").alias("object"), form_field(t, "OBJETO DETALHADO").alias("detail"), amount("VALOR DO REPASSE").alias("value"),
         amount("VALOR DA CONTRAPARTIDA").alias("own_value"), day("DATA DE RECEBIMENTO DO RECURSO").alias("received"), day("INICIO", "INÍCIO").alias("starts"),
     )
-    federal = F.regexp_extract(digits(F.col("number")), "^(20[0-9]{2})[0-9]{8}$", 1)
-    state = F.regexp_extract("number", r"/\s*(20[0-9]{2})\b", 1)
-    year = F.coalesce(F.year("received"), F.when(F.col("number").rlike(r"^\s*[0-9][0-9\s.]*$"), _some(federal)).cast("int"), _some(state).cast("int"), F.year("starts"))
+    federal = extracted(digits(F.col("number")), "^(20[0-9]{2})[0-9]{8}$", 1)
+    state = extracted("number", r"/\s*(20[0-9]{2})\b", 1)
+    year = F.coalesce(F.year("received"), F.when(F.col("number").rlike(cased(r"^\s*[0-9][0-9\s.]*$")), _some(federal)).cast("int"), _some(state).cast("int"), F.year("starts"))
     return got.withColumn("year", year).withColumns({c: F.col(c).cast("string") for c in ("received", "starts")})
 
 
@@ -337,11 +350,11 @@ CREDIT_SOURCES = (("annulment", r"(?i)anulad|anula[cç]|anr\S{0,3}a[cç]"), ("su
 def credits(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, number, day, total, source: decrees that open a credit, read as scanning leaves them; the source is told in the 600 characters from where means are named."""
     t = single_spaced(F.col(text))
-    means = F.regexp_extract(t, r"(?is)(como\s+recursos.{0,588})", 1)
-    named = F.array_compact(F.array(*[F.when(means.rlike(p), F.lit(n)) for n, p in CREDIT_SOURCES]))
-    total = F.replace(F.regexp_replace(F.regexp_extract(t, CREDIT_TOTAL, 1), r"[\s.]", ""), F.lit(","), F.lit(".")).try_cast("decimal(18,2)").cast("double")
+    means = extracted(t, r"(?is)(como\s+recursos.{0,588})", 1)
+    named = F.array_compact(F.array(*[F.when(means.rlike(cased(p)), F.lit(n)) for n, p in CREDIT_SOURCES]))
+    total = F.replace(replaced(extracted(t, CREDIT_TOTAL, 1), r"[\s.]", ""), F.lit(","), F.lit(".")).try_cast("decimal(18,2)").cast("double")
     out = docs.select(
-        key, _some(F.regexp_extract(t, r"(?i)decreto\s+n[º°o]?\s*([0-9][0-9./-]*)", 1)).alias("number"), spelled_date(F.regexp_extract(t, r"(?i)((?:de|em)\s+[0-9]{1,2}\s+de\s+\S+\s+de\s+[0-9]{4})", 1)).cast("string").alias("day"),
+        key, _some(extracted(t, r"(?i)decreto\s+n[º°o]?\s*([0-9][0-9./-]*)", 1)).alias("number"), spelled_date(extracted(t, r"(?i)((?:de|em)\s+[0-9]{1,2}\s+de\s+\S+\s+de\s+[0-9]{4})", 1)).cast("string").alias("day"),
         total.alias("total"), F.when(F.size(named) > 1, "mixed").otherwise(F.get(named, 0)).alias("source"),
     )
     return out.filter("number IS NOT NULL OR total IS NOT NULL")
@@ -354,7 +367,7 @@ LAW = r"(?i)\bLei\s+(?:Municipal\s+|Ordin[aá]ria\s+(?:Municipal\s+)?)?(?:n[ºo
 def law_citations(docs: DataFrame, key: str, text: str, own: Column, least_number: int = 1, least_year: int = 0) -> DataFrame:
     """key, number, year of the laws that a text cites, once each, but for the law that it is itself (``own``)."""
     t = single_spaced(F.col(text))
-    found = [F.regexp_extract_all(t, F.lit(LAW), F.lit(g)) for g in (1, 2, 3)]
+    found = [F.regexp_extract_all(t, F.lit(cased(LAW)), F.lit(g)) for g in (1, 2, 3)]
     each = docs.select(key, own.alias("_own"), F.explode(F.arrays_zip(*[f.alias(n) for f, n in zip(found, ("n", "a", "b"), strict=True)])).alias("c"))
     year = F.when(F.col("c.a") != "", F.col("c.a")).otherwise(F.col("c.b")).cast("int")
     rows = each.select(key, "_own", digits(F.col("c.n")).cast("int").alias("number"), year.alias("year"))
