@@ -59,10 +59,18 @@ def greedy_forward_windows(entries: DataFrame, key: str, date: str, value: str,
 
 
 def best_month_window(daily: DataFrame, key: str, date: str, value: str, months: int) -> DataFrame:
-    """The start whose following calendar months hold most, by key; the end day counts."""
-    one = daily.select(key, F.col(date).alias("start"), F.add_months(date, months).alias("end"))
-    two = daily.select(F.col(key).alias("_k"), F.col(date).alias("_d"), F.col(value).alias("_v"))
-    sums = one.join(two, (one[key] == two["_k"]) & F.col("_d").between(F.col("start"), F.col("end"))).groupBy(key, "start", "end").agg(F.sum("_v").alias("total"))
+    """The start whose following calendar months hold most, by key; the end day counts. ``daily`` has a row a key and day.
+
+    A window's total is the running sum at its end less what is before its start: ends are put among the days, so no pairs of days are made.
+    """
+    order = Window.partitionBy(key)
+    before = F.coalesce(F.sum(value).over(order.orderBy(date).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = daily.select(key, F.col(date).alias("start"), F.add_months(date, months).alias("end"), F.col(value).alias("_v"), before.alias("_before"))
+    points = days.select(key, F.col("start").alias("_at"), F.lit(0).alias("_is_end"), "_v", "start", "end", "_before").unionByName(
+        days.select(key, F.col("end").alias("_at"), F.lit(1).alias("_is_end"), (F.col("_v") * 0).cast(days.schema["_v"].dataType).alias("_v"), "start", "end", "_before")
+    )
+    upto = F.sum("_v").over(order.orderBy("_at", "_is_end").rowsBetween(Window.unboundedPreceding, 0))
+    sums = points.withColumn("_upto", upto).filter("_is_end = 1").select(key, "start", "end", (F.col("_upto") - F.col("_before")).alias("total"))
     return latest_row(sums, [key], F.desc("total"), F.col("start"))
 
 
