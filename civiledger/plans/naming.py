@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, keys, money, text
+from ..functions import dates, keys, money, suppliers, text
 from ..operators import quality, search
 from ..sources.tables import ledger, table
 from .registering import LEDGER, Registry
@@ -170,3 +170,28 @@ def logical_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     three = quality.table_hash(rows.withColumn("n_name", F.when(F.col("n_nationkey") == 1, "x").otherwise(F.col("n_name"))).withColumn("seen", F.lit(1)), ("seen",)).toDF(*[f"c_{i}" for i in range(2)])
     same = lambda x, y: F.sum((F.col(f"{x}_0").eqNullSafe(F.col(f"{y}_0")) & F.col(f"{x}_1").eqNullSafe(F.col(f"{y}_1"))).cast("bigint"))
     return one.join(two, F.lit(True)).join(three, F.lit(True)).agg(same("a", "b").alias("same_rows"), same("a", "c").alias("changed_rows"))
+
+
+# Names in words that both engines take.
+_RAW = """CASE k % 17 WHEN 0 THEN 'A empresa ' || n || ', inscrita no CNPJ 1' WHEN 1 THEN 'Empresa contratada: ' || n || ' CNPJ nº' WHEN 2 THEN 'CONTRATADA' WHEN 3 THEN 'Empresa ____' WHEN 4 THEN 'x DOCUMENTO DA EMPRESA ' || n WHEN 5 THEN 'Razão Social: ' || n || ', neste ato por y'
+ WHEN 6 THEN 'Rua das Flores, 1' WHEN 7 THEN '12.345.678/0001' WHEN 8 THEN 'Prefeitura Municipal' WHEN 9 THEN 'Secretaria Municipal de Obras' WHEN 10 THEN 'OI' WHEN 11 THEN 'ME' WHEN 12 THEN NULL WHEN 13 THEN 'Vencedor(a) do certame' WHEN 14 THEN n || ', doravante contratada' WHEN 15 THEN 'inscrita no CNPJ sob o nº' ELSE '-' || n || ' ];' END"""
+
+
+def _families_sql() -> str:
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    out = "trim(regexp_replace(coalesce(raw, ''), '\\s+', ' ', 'g'))"
+    for p in suppliers.BEFORE + suppliers.WORDS:
+        out = f"regexp_replace({out}, {q(p)}, {q(chr(92) + '1') if '([' in p else q('')}, 'g')"
+    name = f"trim(regexp_replace(trim(regexp_replace({out}, '\\s+', ' ', 'g')), {q(suppliers.ENDS)}, '', 'g'))"
+    cases = " ".join(f"WHEN regexp_matches(f, {q(p)}) THEN {q(r)}" for r, p in suppliers.INVALID)
+    return f"""
+WITH r AS (SELECT k, {_RAW} AS raw FROM (SELECT c_custkey AS k, c_name || ' LTDA' AS n FROM customer)), c AS (SELECT k, {name} AS name FROM r), f AS (SELECT k, name, trim(lower(strip_accents(name))) AS f FROM c),
+w AS (SELECT k, name, CASE {cases} WHEN length(f) = 1 OR (length(f) = 2 AND f <> 'oi') THEN 'short' END AS reason FROM f) SELECT k, CASE WHEN reason IS NULL THEN name END AS name, reason FROM w"""
+
+
+@_R.add(_families_sql())
+def supplier_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of suppliers, cleaned, and why the others are none."""
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_name || ' LTDA' AS n").selectExpr("k", f"{_RAW} AS raw")
+    s = suppliers.supplier(F.col("raw"))
+    return rows.select("k", F.explode(F.array(s)).alias("s")).select("k", "s.name", "s.reason")

@@ -109,3 +109,16 @@ def test_cited_laws(spark):
 @pytest.mark.parametrize("text, day", [("em 31/02/2024", None), ("dia 3 de Março de 2024", "2024-03-03"), ("1 de março de 2024 e 05/06/2023", "2023-06-05"), ("2 de marte de 2024", None), ("", None)])
 def test_dates(spark, text, day):
     assert texts_of(spark, [text]).select(notices.spelled_date(F.col("text")).cast("string")).first()[0] == day
+
+
+@pytest.mark.parametrize("raw, name, reason", [
+    ("A empresa Padaria  Sol Ltda, inscrita no CNPJ sob o nº 1", "Padaria Sol Ltda", None), ("EMPRESA CONTRATADA: ALFA - CNPJ nº", "ALFA", None), ("Prefeitura Municipal de Vila Nova - MG Beta ME", "Beta ME", None),
+    ("lote 3 DOCUMENTO DO REPRESENTANTE Gama S/A, neste ato representada", "Gama S/A", None), ("Contratada Razão Social: Ção Ltda", "Ção Ltda", None), ("Município de Vila Nova", None, "public body"),
+    ("Fundo Municipal de Saúde", None, "public body"), ("LICITANTES", None, "placeholder"), ("Empresa ____", None, "placeholder"), ("CNPJ sob o nº", None, "empty"), ("Bairro Centro", None, "address"), ("36.300 - 123", None, "address"),
+    ("x", None, "short"), ("Oi", "Oi", None), ("undefined", None, "empty"), (None, None, "empty"), ("  ", None, "empty"),
+])
+def test_suppliers_names(spark, raw, name, reason):
+    from civiledger.functions import suppliers
+
+    got = spark.createDataFrame([(raw,)], "c string").select(suppliers.supplier(F.col("c"), "vila nova").alias("s")).first()["s"]
+    assert (got["name"], got["reason"]) == (name, reason)
