@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, documents, pick, stored
+from .common import DOC_COLUMNS, documents, pick, small_batches, stored
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -50,7 +50,10 @@ PERCENT = 80
 PAIRS_A_COPY = 256
 #: 64-bit numbers of a mask of departures.
 MASK_LONGS = 8
-_WORDS = 1_000_000
+#: Rows of a batch that goes to a Python worker: a row holds up to two whole sets or a text.
+BATCH_ROWS = 512
+#: Word hashes that a worker keeps.
+_WORDS = 200_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -274,6 +277,11 @@ def open_pairs(described: DataFrame, labels: DataFrame, percent: int) -> DataFra
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return _near_duplicates(docs, size, percent)  # all Python work is done and written when it returns
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     docs = pick(docs, "doc_id", "text")
     signed = stored(signatures(docs, size), "minhash-documents")
     classes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"))

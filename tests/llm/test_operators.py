@@ -264,6 +264,25 @@ def test_a_large_group_around_one_text(spark):
     assert got == dict(enumerate(root))
 
 
+def test_whole_sets_go_to_python_in_small_batches(spark, monkeypatch):
+    key, plain, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", minhash.stored, {}
+
+    def noted(df, name):
+        seen[name] = int(spark.conf.get(key))
+        return plain(df, name)
+
+    before = spark.conf.get(key)
+    monkeypatch.setattr(minhash, "stored", noted)
+    texts = [" ".join(f"w{k % 40}" for k in range(i % 3, 60)) for i in range(30)]
+    assert minhash.near_duplicates(docs_of(spark, texts)).count() == 30
+    assert {"minhash-documents", "minhash-sets", "minhash-measured", "minhash-cores", "minhash-departures"} <= set(seen)
+    assert max(seen.values()) <= 512 and spark.conf.get(key) == before
+    hashes = minhash.WordHashes()
+    for k in range(450_000):
+        hashes[b"%d" % k]
+    assert len(hashes) <= 200_000
+
+
 def test_minhash_on_awkward_rows(awkward, nothing):
     got = minhash.near_duplicates(awkward, 4).collect()
     assert len(got) == len(ROWS)
