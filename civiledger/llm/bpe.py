@@ -14,24 +14,28 @@ import os
 import re
 import struct
 from functools import lru_cache
-from itertools import accumulate, chain, pairwise
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct units kept by a worker before the table starts anew: a bound on memory, not on work.
 CACHE_UNITS = 400_000
-#: Words with their ids in each of two tables, the newer and the older.
-WORD_UNITS = 450_000
+#: Words without signs behind them, with their ids, in each of two tables, the newer and the older.
+WORD_UNITS = 250_000
 _ENCODED_AT_ONCE = 4096
 _JOINED = 64
 #: Lower-case words that normalising and splitting leave whole.
 _PLAIN_WORD = re.compile("[a-zß-öø-ÿ]+")
-#: Those with signs behind them, which are one piece, too (an apostrophe may start another).
-_SIGNED_WORD = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+#: Signs behind such words are one piece, too (an apostrophe may start another).
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 #: Blanks that both vocabularies and Python agree on.
 _UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
 #: White space of any other kind: such a text is one unit.
 _RARE_SPACE = re.compile(r"[^\S \t\n\r]|[\x1c-\x1f\x85᠎​﻿]")
+#: What Python takes for white space but for the four blanks.
+_OTHER_SPACE = "[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\r") + "]"
 #: Longer units are not kept.
 _LONG_UNIT = 64
 
@@ -69,64 +73,84 @@ class WordIds:
         self.signs: dict[str, bytes] = {}
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of each word. Plain words go many at once: each is one piece, whose last token alone ends a word."""
-        out: dict[str, bytes] = {}
-        plain = [w for w in words if _PLAIN_WORD.fullmatch(w)]
-        groups = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
+        """Ids of each word by the library."""
+        out: list[bytes] = []
+        for at in range(0, len(words), _ENCODED_AT_ONCE):
+            got = self.tokenizer.encode_batch_fast(words[at : at + _ENCODED_AT_ONCE], add_special_tokens=False)
+            out += [struct.pack(f"<{len(e)}I", *e.ids) for e in got]
+        return out
+
+    def _plain_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words, many at once: each is one piece, whose last token alone ends a word."""
+        out: list[bytes] = []
+        groups = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
         for at in range(0, len(groups), 64):
             got = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups[at : at + 64]], add_special_tokens=False)
             for group, e in zip(groups[at : at + 64], got, strict=True):
                 ids = np.array(e.ids, "<u4")
                 raw, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-                if len(ends) == len(group):
-                    out.update(zip(group, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
-        rest = [w for w in words if w not in out]
-        for at in range(0, len(rest), _ENCODED_AT_ONCE):
-            got = self.tokenizer.encode_batch_fast(rest[at : at + _ENCODED_AT_ONCE], add_special_tokens=False)
-            out.update((w, struct.pack(f"<{len(e)}I", *e.ids)) for w, e in zip(rest[at : at + _ENCODED_AT_ONCE], got, strict=True))
-        return [out[w] for w in words]
+                out += map(raw.__getitem__, map(slice, [0, *ends], ends)) if len(ends) == len(group) else self._ids(group)
+        return out
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
-        split = {w: m.groups() for w in new if (m := _SIGNED_WORD.fullmatch(w))}
-        signs = list({tail for _, tail in split.values()}.difference(self.signs))
-        if len(self.signs) + len(signs) > _ENCODED_AT_ONCE:
-            self.signs, signs = {}, list({tail for _, tail in split.values()})
-        self.signs.update(zip(signs, self._ids(signs), strict=True))
-        plain = list({split[w][0] if w in split else w for w in new}.difference(self.known))
-        got = dict(zip(plain, self._ids(plain), strict=True))
-        for w, (body, tail) in split.items():
-            got[w] = (got.get(body) or self.known[body]) + self.signs[tail]
-        return got
-
-    def _units(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        lower = text.isascii()
-        if not lower:
-            try:
-                text.encode("latin-1")  # in this range, too, lower case is one letter for one
-                lower = True
-            except UnicodeEncodeError:
-                pass
-        words = (text.lower() if lower else text).split()
-        # rarer white space than these four is left to the library
-        plain = len(text) - sum(map(text.count, " \n\t\r"))
-        return words if sum(map(len, words)) == plain else [text]
+        plain = [w for w in new if _PLAIN_WORD.fullmatch(w)]
+        rest = list(new.difference(plain))
+        return dict(zip(plain, self._plain_ids(plain), strict=True)) | dict(zip(rest, self._ids(rest), strict=True))
+
+    def _tails(self, tails: list[str]) -> list[bytes]:
+        """Ids of signs behind words; none for none."""
+        new = set(tails).difference(self.signs)
+        if len(self.signs) + len(new) > _ENCODED_AT_ONCE:
+            self.signs, new = {}, set(tails)
+        order = list(new)
+        self.signs.update(zip(order, self._ids(order), strict=True))
+        return list(map(self.signs.__getitem__, tails))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._units(t) for t in texts]
-        flat = list(chain.from_iterable(cut))
-        ids = list(map(self.known.get, flat))
+    @staticmethod
+    def _lower(text: str | None) -> str | None:
+        if not text or text.isascii():
+            return text and text.lower()
+        try:
+            text.encode("latin-1")  # in this range, too, lower case is one letter for one
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, out of the tables or learned."""
+        ids = list(map(self.known.get, words))
         if None in ids:
-            absent = {w for w, x in zip(flat, ids, strict=True) if x is None}
+            absent = {w for w, x in zip(words, ids, strict=True) if x is None}
             new = {w: self.older[w] for w in absent if w in self.older}
             new |= self._learn(absent.difference(new))
-            ids = [new[w] if x is None else x for w, x in zip(flat, ids, strict=True)]
+            ids = [new[w] if x is None else x for w, x in zip(words, ids, strict=True)]
             if len(self.known) + len(new) > WORD_UNITS:
                 self.known, self.older = {}, self.known  # words in use move on to the new table
             self.known.update((w, x) for w, x in new.items() if len(w) <= _LONG_UNIT)
-        ends = [0, *accumulate(map(len, cut))]
-        return [b"".join(ids[a:b]) for a, b in pairwise(ends)]
+        return ids
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units: those of the word and of the signs behind it, where it is plain."""
+        bodies = [u.rstrip(_SIGNS) for u in units]
+        bodies = [b if len(b) == len(u) or _PLAIN_WORD.fullmatch(b) else u for b, u in zip(bodies, units, strict=True)]
+        tails = self._tails([u[len(b) :] for b, u in zip(bodies, units, strict=True)])
+        return [x + t if t else x for x, t in zip(self._words(bodies), tails, strict=True)]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        lower = pa.array(map(self._lower, texts), pa.large_string())
+        # texts with rarer white space than these four are left to the library
+        whole = pc.fill_null(pc.match_substring_regex(lower, _OTHER_SPACE), False)
+        words = pc.ascii_split_whitespace(pc.if_else(whole, "", lower))
+        units = words.flatten().dictionary_encode()
+        ids = pa.array(self._units(units.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(units.indices)
+        # the ids of all texts lie in a row; those of a text end with its last word's
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[words.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
+        data = memoryview(ids.buffers()[2] or b"")
+        out = [bytes(data[a:b]) for a, b in pairwise(ends)]
+        rare = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
+        for k, got in zip(rare, self._ids([texts[k] for k in rare]), strict=True):
+            out[k] = got
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -636,6 +636,14 @@ def test_word_ids_are_the_library_s():
     assert word_ids(path).encode(texts) == want
 
 
+def test_a_word_is_kept_once_whatever_signs_are_behind_it():
+    path = tokenizer_path(packing.VOCABULARY)
+    texts = ["zwolf, zwolf. Zwolf!! zwolf", " \n", None, "zwolf\x0bzwolf,", "2.0. 2.0"]
+    encoder = bpe.WordIds(path)
+    assert encoder.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in load_tokenizer(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert {w for w in encoder.known if "zwolf" in w} == {"zwolf"}
+
+
 def contaminated(texts, items):
     out = {}
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, t in items for w in decontamination.words(t)}), 1)}
