@@ -187,7 +187,12 @@ class PrefixCounts:
             self.rank[key] = order
             self.parts.setdefault(ids[a + b], key)
         self.order = {i: self.rank[p] for i, p in self.parts.items()}
-        self.longest = max(map(len, self.id_of))
+        #: Lengths of the tokens with the same last three bytes, long ones first; shorter tokens may end anywhere.
+        self.sizes: dict[bytes, tuple[int, ...]] = {}
+        for word in self.id_of:
+            if len(word) > 2:
+                self.sizes[word[-3:]] = (*self.sizes.get(word[-3:], ()), len(word))
+        self.sizes = {tail: (*sorted(set(sizes), reverse=True), 2, 1) for tail, sizes in self.sizes.items()}
         self.fits: dict[tuple[int, int], bool] = {}
         self.done: dict[bytes, list[int]] = {}
         self.known: dict[str, np.ndarray] = {}
@@ -196,6 +201,7 @@ class PrefixCounts:
         import public_tokenizers
 
         self.totals: dict[str, int] = {}
+        self.piece_totals: dict[str, int] = {}
         self.pieces = regex.compile(public_tokenizers.PATTERN)
         self.blank_runs = regex.compile(r"\s{2,}")
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
@@ -238,16 +244,13 @@ class PrefixCounts:
         self.fits[key] = ok
         return ok
 
-    def piece(self, raw: bytes) -> list[int]:
-        """Token counts of all prefixes of a piece that the merges see whole."""
-        done = self.done.get(raw)
-        if done is not None:
-            return done
-        id_of, longest, fits, stand = self.id_of, self.longest, self.fits, self._stand
-        last, count = [-1], [0]
-        for end in range(1, len(raw) + 1):
-            for start in range(max(0, end - longest), end):
-                token = id_of.get(raw[start:end])
+    def _extend(self, raw: bytes, last: list[int], count: list[int]) -> None:
+        """Go on with the table of a piece, from the prefix that ``last`` and ``count`` reach, to its end."""
+        id_of, sizes, fits, stand = self.id_of, self.sizes, self.fits, self._stand
+        for end in range(len(last), len(raw) + 1):
+            for size in sizes.get(raw[max(0, end - 3) : end], (2, 1)):
+                start = end - size
+                token = id_of.get(raw[start:end]) if start >= 0 else None
                 if token is not None:
                     if start:
                         left = last[start]
@@ -261,6 +264,14 @@ class PrefixCounts:
                     break
             else:
                 raise ValueError("a byte is missing from the vocabulary")
+
+    def piece(self, raw: bytes) -> list[int]:
+        """Token counts of all prefixes of a piece that the merges see whole."""
+        done = self.done.get(raw)
+        if done is not None:
+            return done
+        count = [0]
+        self._extend(raw, [-1], count)
         del count[0]
         if len(raw) <= _LONG_UNIT:
             if len(self.done) >= CACHE_UNITS:
@@ -268,6 +279,46 @@ class PrefixCounts:
             self.done[raw] = count
         return count
 
+    def _piece_totals(self, pieces: set[str]) -> dict[str, int]:
+        """The last entry of each piece's table.
+
+        In order of their bytes, so that a table goes on from the prefix that the
+        piece has in common with the one before.
+        """
+        out, before, last, count = {}, b"", [-1], [0]
+        for raw, piece in sorted((p.encode(), p) for p in pieces):
+            same = 0
+            for x, y in zip(before, raw):  # noqa: B905
+                if x != y:
+                    break
+                same += 1
+            del last[same + 1 :], count[same + 1 :]
+            self._extend(raw, last, count)
+            out[piece] = count[-1]
+            before = raw
+        return out
+
+    def _unit_totals(self, units: list[str]) -> dict[str, int]:
+        """Tokens of each unit: the sum over its pieces, each worked out once."""
+        out, cut = {}, {}
+        for u in units:
+            if u[-1].isspace() or ("<|" in u and self.special and self.special.search(u)):
+                out[u] = int(self.unit(u)[-1])
+            else:
+                cut[u] = self.pieces.findall(u)
+        known = self.piece_totals
+        wanted = {p for pieces in cut.values() for p in pieces}
+        new = self._piece_totals(wanted.difference(known))
+        if len(known) + len(new) > CACHE_UNITS:
+            self.piece_totals = known = {p: known[p] for p in wanted if p in known}
+        known |= new
+        for u, pieces in cut.items():
+            out[u] = known[pieces[0]] if len(pieces) == 1 else sum(map(known.__getitem__, pieces))
+        for p in new:
+            if len(p) > _LONG_UNIT:
+                del known[p]
+        return out
+
     def _plain(self, text: str) -> list[int]:
         """Counts at the ends of the bytes of a text without special tokens.
 
@@ -320,16 +371,16 @@ class PrefixCounts:
         """The units of each text and the tokens of each unit.
 
         Their running sum is the prefix table at the ends of units; the last
-        entry of a unit's own table is its count, worked out once.
+        entry of a unit's own table is its count, worked out once. Only that
+        entry is kept here, and the table is made of its pieces' (see ``piece``).
         """
         cut = [self.units(t) for t in texts]
         totals = self.totals
-        new = sorted({u for units in cut for u in units}.difference(totals))
+        new = self._unit_totals(list({u for units in cut for u in units}.difference(totals)))
         if len(totals) + len(new) > CACHE_UNITS:
             keep = {u: totals[u] for units in cut for u in units if u in totals}
             self.totals = totals = keep
-        for u in new:
-            totals[u] = int(self.unit(u)[-1])
+        totals |= new
         out = [(units, [totals[u] for u in units]) for units in cut]
         for u in new:
             if len(u) > _LONG_UNIT:

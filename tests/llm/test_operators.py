@@ -600,6 +600,18 @@ def test_counts_come_from_the_prefix_tables(monkeypatch):
     assert got == [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
 
 
+def test_whole_counts_keep_no_tables_and_go_on_from_common_prefixes():
+    counts = bpe.PrefixCounts(tokenizer_path(token_counts.VOCABULARY))
+    words = [" inter", " international", " internationally", " interxq", "naïve", "naïves", "日本", "日本語", "a" * 70, "a" * 71, "!!", "!!!"]
+    assert counts._piece_totals(set(words)) == {w: counts.piece(w.encode())[-1] for w in words}
+    texts = ["  two blanks\n\nand  \n", "a <|endoftext|> b", "don't stop ... 12345 \t", None, "", "word words wordless"] + words
+    fresh = bpe.PrefixCounts(tokenizer_path(token_counts.VOCABULARY))
+    assert [sum(n) for _, n in fresh.unit_ends(texts)] == [int(counts.prefixes(t)[-1]) if t else 0 for t in texts]
+    plain = bpe.PrefixCounts(tokenizer_path(token_counts.VOCABULARY))
+    plain.unit_ends(["word words wordless"])
+    assert not plain.known and not plain.done  # a unit's count is kept, not its table
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_token_files_round_trip(spark, awkward, nothing, kind):
     path = tokenizer_path(token_files.VOCABULARY)
