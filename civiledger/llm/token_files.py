@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_path, word_ids
-from .common import documents, pick, scratch_path, stored
+from .common import documents, pick, scratch_path, small_batches, stored
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -44,6 +44,8 @@ MAGIC = b"CLPLANE1"
 BLOCK_IDS = 1 << 16
 LEVEL = 3
 SLICE = 256
+#: Rows of a batch to Python: whole texts by the usual 10,000 stand in memory several times.
+BATCH_ROWS = 512
 MANIFEST = "shard bigint, path string, n_docs bigint, n_ids bigint, n_bytes bigint"
 
 
@@ -208,7 +210,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, kind
 
     tie = F.xxhash64("text")
     rows = pick(docs, "doc_id", "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    return stored(rows.mapInArrow(run, MANIFEST), "token-manifest")
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return stored(rows.mapInArrow(run, MANIFEST), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

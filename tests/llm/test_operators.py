@@ -612,6 +612,14 @@ def test_whole_counts_keep_no_tables_and_go_on_from_common_prefixes():
     assert not plain.known and not plain.done  # a unit's count is kept, not its table
 
 
+def test_token_files_send_few_rows_to_python_at_once(spark, awkward, monkeypatch):
+    key, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], token_files.stored
+    before = spark.conf.get(key)
+    monkeypatch.setattr(token_files, "stored", lambda df, name: seen.append(int(spark.conf.get(key))) or write(df, name))
+    token_files.write_token_files(awkward, scratch_path(spark, "files"), tokenizer_path(token_files.VOCABULARY), token_files.END_ID)
+    assert max(seen) <= 512 and spark.conf.get(key) == before
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_token_files_round_trip(spark, awkward, nothing, kind):
     path = tokenizer_path(token_files.VOCABULARY)
