@@ -9,7 +9,9 @@ Lists, tables, links, listings and records are then filters and groupings of suc
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -25,6 +27,8 @@ ENDS = {
 }
 APART = frozenset("p div li tr td th table ul ol h1 h2 h3 h4 h5 h6 br option dt dd title article section footer nav header".split())
 UNSEEN = frozenset(("script", "style", "template"))
+#: An ampersand, and the reference that it begins, if that ends in a semicolon.
+REFERENCE = re.compile(r"&(?:(#[0-9]+;|#[xX][0-9a-fA-F]+;)|([a-zA-Z][a-zA-Z0-9]*;))?")
 FIELDS = "node int, parent int, tag string, attributes map<string,string>, classes array<string>, ancestors array<int>, tags_above array<string>, text string, own_text string, table_node int, row int, col int, rows int, cols int"
 
 
@@ -39,11 +43,20 @@ class _Open:
         self.at_row = -1
 
 
+def _ended(page: str) -> str:
+    """The page with every ampersand that begins no reference ended by a semicolon standing for itself."""
+    return REFERENCE.sub(lambda m: m[0] if m[1] or m[2] in html5 else "&amp;" + m[0][1:], page)
+
+
 class Reader(HTMLParser):
-    """Reads one page; ``done`` holds the elements with one of the tags (all, if none are named), in the order of their beginnings."""
+    """Reads one page; ``done`` holds the elements with one of the tags (all, if none are named), in the order of their beginnings.
 
-    def __init__(self, tags: frozenset[str]):
+    HTML also reads some references without their semicolon; ``ended`` leaves those as they are written.
+    """
+
+    def __init__(self, tags: frozenset[str], ended: bool = False):
         super().__init__(convert_charrefs=True)
+        self.ended = ended
         self.tags, self.stack, self.done, self.text, self.length, self.count = tags, [], [], [], 0, 0
 
     def _say(self, text: str) -> None:
@@ -113,7 +126,7 @@ class Reader(HTMLParser):
 
     def read(self, page: str | None) -> list[tuple]:
         if page:
-            self.feed(page)
+            self.feed(_ended(page) if self.ended else page)
             self.close()
             self._close(0)
         whole = "".join(self.text)
@@ -124,8 +137,11 @@ class Reader(HTMLParser):
         return out
 
 
-def elements(pages: DataFrame, key: str, html: str, tags: tuple[str, ...] = ()) -> DataFrame:
-    """One row an element of these tags (of all, if none are named): the key and ``FIELDS``. A null or empty page has none."""
+def elements(pages: DataFrame, key: str, html: str, tags: tuple[str, ...] = (), ended: bool = False) -> DataFrame:
+    """One row an element of these tags (of all, if none are named): the key and ``FIELDS``. A null or empty page has none.
+
+    With ``ended``, only references that end in a semicolon are read.
+    """
     wanted = frozenset(tags)
     rows = pages.select(F.col(key), F.col(html))
     kinds = [
@@ -142,7 +158,7 @@ def elements(pages: DataFrame, key: str, html: str, tags: tuple[str, ...] = ())
             held, keys, size, kind = [], [], 0, batch.schema.types[0]
             for i in range(batch.num_rows):  # a few pages at a time bound what is held
                 page = batch.column(1)[i].as_py()
-                found = Reader(wanted).read(page)
+                found = Reader(wanted, ended).read(page)
                 held += found
                 keys += [batch.column(0)[i].as_py()] * len(found)
                 size += len(page or "")

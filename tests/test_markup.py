@@ -1,7 +1,9 @@
 """Hand-made pages with single quotes, nested lists, spans and ends left out."""
 
 import pytest
+from civiledger.plans import catalogue
 from civiledger.sources import markup
+from comparing import duck_rows, rows_of
 from pyspark.sql import functions as F
 
 
@@ -21,6 +23,24 @@ def test_elements_of_a_page(spark):
     assert [r["tag"] for r in read(spark, "<p>a<b>c</b></p>", tags=("b",)).collect()] == ["b"]
 
 
+def test_references_without_their_semicolon(spark):
+    page = "<div class='ad' title='a&amp;b&copy=1'>x &amp;&amp &#38; &eacute &notit; &lt;p&gt; &</div>"
+    rows = spark.createDataFrame([(0, page)], "id int, html string")
+    ended, plain = (markup.elements(rows, "id", "html", (), ended=e).first() for e in (True, False))
+    assert (ended["text"], ended["attributes"]["title"]) == ("x &&amp & &eacute &notit; <p> &", "a&b&copy=1")
+    assert plain["text"] == "x && & é ¬it; <p> &"
+
+
+def test_outlines_of_pages_with_cut_references(spark, duck, tmp_path):
+    html = "<html><head><title>a &amp b</title></head><body><h1>c&&amp</h1><div class=\"ad\">d&lt e&amp;f</div><p>g<a href=\"/h?i&amp=1\">j&gt k</a></body></html>"
+    spark.createDataFrame([(1, "http://x.y/z", html)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    own = duck.cursor()
+    own.execute(f"CREATE TEMP VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("page_outlines", "page_links"):
+        got = catalogue.QUERIES[name](spark, str(tmp_path))
+        assert (sorted(got.columns), rows_of(got)) == duck_rows(own, catalogue.ORACLES[name])
+
+
 def test_tables_with_spans_and_open_rows(spark):
     found = read(spark, "<table><tr><th rowspan='2'>A<th colspan=2>B<tr><td>c<td>d</table>", "<table><tr><td>1<table><tr><td>in</table></td><td rowspan=9>2</td></tr><tr><td>3</td></tr></table>", "<table><td>x</table><tr><td>stray</td></tr>")
     got = {(r["id"], r["table_node"], r["row"]): r["cells"] for r in markup.table_rows(found, "id").collect()}
