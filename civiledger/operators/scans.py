@@ -38,33 +38,3 @@ def scan_sorted(rows: DataFrame, keys: list[str], order: list, schema: str, scan
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     return dealt.mapInArrow(run, schema)
-
-
-def greedy_jaccard_clusters(rows: DataFrame, keys: list[str], order: list, schema: str, least: float) -> DataFrame:
-    """keys, key, centre: a row joins the first centre of its key whose tokens are alike enough, or becomes one.
-
-    ``rows`` are keys, key, tokens. What is held for a key are its centres; each
-    is found through its tokens, so few are compared.
-    """
-
-    def scan() -> Callable[[tuple | None], list[tuple]]:
-        centres: list[tuple[object, frozenset]] = []
-        holding: dict[str, list[int]] = {}
-
-        def step(row: tuple | None) -> list[tuple]:
-            if row is None:
-                return []
-            *group, name, tokens = row
-            tokens = frozenset(tokens or ())
-            for i in sorted({i for t in tokens for i in holding.get(t, ())}):
-                other = centres[i][1]
-                if len(tokens & other) >= least * len(tokens | other):
-                    return [(*group, name, centres[i][0])]
-            for t in tokens:
-                holding.setdefault(t, []).append(len(centres))
-            centres.append((name, tokens))
-            return [(*group, name, name)]
-
-        return step
-
-    return scan_sorted(rows, keys, order, schema, scan)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import extract, scans
+from ..operators import clustering, extract
 from ..sources.tables import table
 from .registering import LEDGER, Registry
 
@@ -248,8 +248,7 @@ def publication_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_R.add()
 def greedy_jaccard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source in order of id: a text joins the first centre whose words are alike to 0.75."""
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", text.tokens(F.col("text")).alias("tokens"))
-    return scans.greedy_jaccard_clusters(rows, ["source"], ["doc_id"], "source string, doc_id bigint, centre bigint", 0.75)
+    return clustering.greedy_jaccard_clusters(table(spark, sf_dir, "documents"), "source", "doc_id", text.tokens(F.col("text")), 0.75)
 
 
 @_R.add()
