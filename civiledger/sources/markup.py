@@ -224,13 +224,27 @@ PROJECT_LABELS = {"year": r"Exerc[íi]cio", "author": r"Autor\(es\)", "summary":
 
 
 def law_rows(found: DataFrame, key: str) -> DataFrame:
-    """key, kind, number, year, author, summary, file, file_name: a row of four cells says what a law is, the next row links its file."""
-    w = Window.partitionBy(key, "table_node").orderBy("row")
-    rows = table_rows(found, key)
-    hrefs = found.filter(F.array_contains("classes", "cliqueaqui") & (F.col("tag") == "a")).select(key, F.explode("ancestors").alias("tr"), F.struct(F.col("node"), F.try_element_at("attributes", F.lit("href")).alias("href"), "text").alias("link"))
-    trs = found.filter("tag = 'tr' AND table_node IS NOT NULL").select(key, "table_node", "row", F.col("node").alias("tr"))
-    linked = trs.join(hrefs, [key, "tr"], "left").groupBy(key, "table_node", "row").agg(F.min("link").alias("link"))
-    both = linked.join(rows, [key, "table_node", "row"], "left").withColumn("next", F.lead("link").over(w))
+    """key, kind, number, year, author, summary, file, file_name: a row of four cells says what a law is, the next row links its file.
+
+    Elements are dealt by page once and only grouped after that: nothing is joined, so nothing is sent around whole.
+    """
+    w = Window.partitionBy(key, "table_node")
+    is_row, is_cell = (F.col("tag") == "tr") & F.col("table_node").isNotNull(), F.col("tag").isin("td", "th") & F.col("table_node").isNotNull()
+    is_link = (F.col("tag") == "a") & F.array_contains("classes", "cliqueaqui")
+    cell = F.when(is_cell, F.struct("col", "cols", "rows", "node", "text")).alias("cell")
+    link = F.struct(F.col("node"), F.try_element_at("attributes", F.lit("href")).alias("href"), "text")
+    own = F.struct(F.col("node").alias("at"), "table_node", "row", is_row.alias("is_row"), cell, F.when(is_link, link).alias("link"))
+    # a link says itself to all that it stands in
+    said = F.when(is_link, F.transform("ancestors", lambda t: F.struct(t.alias("at"), F.lit(None).cast("int").alias("table_node"), F.lit(None).cast("int").alias("row"), F.lit(False).alias("is_row"), F.when(F.lit(False), F.struct("col", "cols", "rows", "node", "text")).alias("cell"), link.alias("link")))).otherwise(F.array(own))
+    each = found.filter(is_row | is_cell | is_link).select(key, F.explode(said).alias("s")).select(key, "s.*").repartition(key)
+    nodes = each.groupBy(key, "at").agg(F.max("table_node").alias("table_node"), F.max("row").alias("row"), F.max("is_row").alias("is_row"), F.max("cell").alias("cell"), F.min("link").alias("link")).filter("table_node IS NOT NULL")
+    nodes = nodes.withColumn("last", F.max(F.when(F.col("is_row"), F.col("row"))).over(w))
+    until = F.greatest("row", F.least("last", F.col("row") + F.coalesce("cell.rows", F.lit(1)) - 1))
+    places = F.transform(F.sequence("cell.col", F.col("cell.col") + F.col("cell.cols") - 1), lambda c: F.struct(c.alias("col"), F.col("cell.node").alias("node"), F.col("cell.text").alias("text")))
+    nodes = nodes.select(key, "table_node", F.explode(F.sequence("row", until)).alias("row"), "is_row", places.alias("places"), F.when(F.col("is_row"), F.col("link")).alias("link"))
+    texts = F.transform(F.array_sort(F.flatten(F.collect_list("places"))), lambda c: c["text"])
+    rows = nodes.groupBy(key, "table_node", "row").agg(F.max("is_row").alias("is_row"), F.min("link").alias("link"), texts.alias("cells")).filter("is_row")
+    both = rows.withColumn("next", F.lead("link").over(w.orderBy("row")))
     part = lambda g: F.regexp_extract(F.get("cells", 0), LAW_ROW, g)
     cell = lambda i: F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
     return both.filter(part(1) != "").select(key, part(1).alias("kind"), part(2).alias("number"), part(3).cast("int").alias("year"), cell(1).alias("author"), cell(2).alias("summary"), F.col("next.href").alias("file"), F.col("next.text").alias("file_name"))

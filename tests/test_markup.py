@@ -3,7 +3,7 @@
 import pytest
 from civiledger.plans import catalogue
 from civiledger.sources import markup
-from comparing import duck_rows, rows_of
+from comparing import SF, duck_rows, rows_of
 from pyspark.sql import functions as F
 
 
@@ -88,3 +88,21 @@ def test_council_pages(spark):
     assert (r["kind"], r["number"], r["project_year"], r["year"], r["author"], r["summary"], r["status"], r["file"]) == ("Projeto de Lei", "12", 2023, "2023", "Ana & Rui", "Cria a feira", "Aprovado", "http://f/1.pdf")
     assert [tuple(x) for x in markup.members(found, "id").collect()] == [(0, 77, "Bia Reis")]
     assert spark.range(1).select(markup.terms(F.lit("2021 a 2024 (ABC) e 2025 a 2028 ( DEF )"))).first()[0] == [(2021, 2024, "ABC"), (2025, 2028, "DEF")]
+
+
+def test_laws_are_listed_without_joins(spark):
+    """A table of elements is small in files and large in memory, so none may be broadcast."""
+    got = catalogue.QUERIES["law_listings"](spark, SF)
+    got.collect()
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_law_rows_with_spans_nested_tables_and_several_links(spark):
+    page = """<a class=cliqueaqui href='/out'>out</a><table><tr><td rowspan=2>Lei nº 1 2001<td>Ana<td>x<td>y<tr><td>Rui<td><div><a class='cliqueaqui' href='/2'>second</a><a class=cliqueaqui href='/3'>third</a></div>
+<tr><td colspan=2>Decreto nº 2 2002<td>z<td>u<tr><td><table><tr><td>Portaria nº 3 2003<td>in<tr><td><a class=cliqueaqui href='/in'>inner</a></table><td><a href='/no'>no</a></table><table><td>Lei nº 4 2004</table>"""
+    found = read(spark, page, None, "<table><tr><td>Lei nº 5 2005</table>")
+    got = {(r["id"], r["kind"], r["number"], r["year"], r["author"], r["summary"], r["file"], r["file_name"]) for r in markup.law_rows(found, "id").collect()}
+    assert got == {
+        (0, "Lei", "1", 2001, "Ana", "x", "/2", "second"), (0, "Lei", "1", 2001, "Rui", "secondthird", None, None), (0, "Decreto", "2", 2002, "Decreto nº 2 2002", "z", "/in", "inner"),
+        (0, "Portaria", "3", 2003, "in", "", "/in", "inner"), (2, "Lei", "5", 2005, "", "", None, None),
+    }
